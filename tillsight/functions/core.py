@@ -34,10 +34,25 @@ def finite_all(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def round_half_away(c: Column, digits: int = 4) -> Column:
+    """``round(c * 10^d) / 10^d`` in binary floating point — the same steps SQL
+    engines such as DuckDB take, so ties resolve identically (``F.round``
+    rounds the decimal string of the double instead)."""
+    m = float(10 ** digits)
+    return F.round(c * m, 0) / m
+
+
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Round every double column (stable values for cross-engine comparison)."""
-    cols = [F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-            else F.col(f.name) for f in df.schema.fields]
+    """Round every double column and widen every integer column to BIGINT
+    (stable values and types for cross-engine comparison)."""
+    cols = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            cols.append(round_half_away(F.col(f.name).cast("double"), digits).alias(f.name))
+        elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
+            cols.append(F.col(f.name).cast("bigint").alias(f.name))
+        else:
+            cols.append(F.col(f.name))
     return df.select(*cols)
 
 

@@ -31,8 +31,8 @@ ASOF = "tenant_asof AS (SELECT organization_id, MAX(date) AS as_of FROM fact GRO
 def _cal_sql(src: str) -> str:
     return with_fact(f"""
 WITH {SFACT}, {tenant_years_sql(src)}, {holiday_ctes()}
-SELECT organization_id, CAST(table_year AS INTEGER) AS table_year, name, holiday_date, category,
-       {r4('demand_multiplier', 'demand_multiplier')}, CAST(pre_days AS INTEGER) AS pre_days, advice
+SELECT organization_id, CAST(table_year AS BIGINT) AS table_year, name, holiday_date, category,
+       {r4('demand_multiplier', 'demand_multiplier')}, CAST(pre_days AS BIGINT) AS pre_days, advice
 FROM hol""")
 
 
@@ -61,23 +61,23 @@ hd AS (SELECT DISTINCT organization_id, holiday_date, category, pre_days FROM ho
 dates AS (SELECT DISTINCT organization_id, date FROM {src})
 SELECT d.organization_id, d.date,
   CAST(COALESCE((SELECT MAX(CASE WHEN h.holiday_date = d.date THEN 1 ELSE 0 END) FROM hd h
-                  WHERE h.organization_id = d.organization_id), 0) AS INTEGER) AS is_holiday,
+                  WHERE h.organization_id = d.organization_id), 0) AS BIGINT) AS is_holiday,
   CAST(COALESCE((SELECT MIN(date_diff('day', d.date, h.holiday_date)) FROM hd h
                   WHERE h.organization_id = d.organization_id
-                    AND h.holiday_date BETWEEN d.date AND d.date + INTERVAL 90 DAY), 30) AS INTEGER)
+                    AND h.holiday_date BETWEEN d.date AND d.date + INTERVAL 90 DAY), 30) AS BIGINT)
        AS days_to_holiday,
   CAST(COALESCE((SELECT MIN(date_diff('day', h.holiday_date, d.date)) FROM hd h
                   WHERE h.organization_id = d.organization_id
-                    AND h.holiday_date BETWEEN d.date - INTERVAL 90 DAY AND d.date), 30) AS INTEGER)
+                    AND h.holiday_date BETWEEN d.date - INTERVAL 90 DAY AND d.date), 30) AS BIGINT)
        AS days_since_holiday,
   CAST(COALESCE((SELECT MAX(1) FROM hd h WHERE h.organization_id = d.organization_id
                   AND h.category = 'ramadan' AND h.pre_days > 0
                   AND d.date >= h.holiday_date - to_days(CAST(h.pre_days AS INTEGER))
-                  AND d.date < h.holiday_date), 0) AS INTEGER) AS in_ramadan_window,
+                  AND d.date < h.holiday_date), 0) AS BIGINT) AS in_ramadan_window,
   CAST(COALESCE((SELECT MAX(1) FROM hd h WHERE h.organization_id = d.organization_id
                   AND h.category = 'eid' AND h.pre_days > 0
                   AND d.date >= h.holiday_date - to_days(CAST(h.pre_days AS INTEGER))
-                  AND d.date < h.holiday_date), 0) AS INTEGER) AS in_eid_window
+                  AND d.date < h.holiday_date), 0) AS BIGINT) AS in_eid_window
 FROM dates d""")
 
 
