@@ -1,7 +1,7 @@
 """Named queries over the given tables; importing this package registers them all."""
 
 from tillsight.plans.catalog import REGISTRY, Query  # noqa: F401
-from tillsight.plans import dashboards, calendar, features, inventory, health, insights  # noqa: F401
+from tillsight.plans import dashboards, calendar, features, inventory, health, insights, models  # noqa: F401
 
 
 def all_queries() -> dict:
