@@ -86,6 +86,30 @@ def tenant_as_of(df: DataFrame, as_of=None, date_col: str = "date", name: str =
     return df.groupBy(ORG).agg(F.max(date_col).alias(name))
 
 
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+_ROW_COUNTS: dict = {}
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, key=None) -> DataFrame:
+    """Broadcast-hint ``df`` only after proving it small: one count over the
+    (already projected, dimension-sized) frame. Beyond ``max_rows`` the frame
+    is returned as is and the planner falls back to a shuffle join.
+
+    Spark's own size estimate multiplies the sizes of joined inputs, so a
+    chain of tiny dimension joins looks huge to the planner; the explicit
+    count gives the bound the estimate lacks.
+    """
+    if key is not None and key in _ROW_COUNTS:
+        n = _ROW_COUNTS[key]
+    else:
+        n = df.count()
+        if key is not None:
+            _ROW_COUNTS[key] = n
+    return F.broadcast(df) if n <= max_rows else df
+
+
 def require(df: DataFrame, *cols: str) -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:

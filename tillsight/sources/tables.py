@@ -12,12 +12,13 @@ sales                 ``sum(l_quantity)``
 sell_price            ``sum(l_extendedprice) / sum(l_quantity)`` (NULL when 0)
 ====================  =====================================================
 
-Scale notes: the lineitem scan reads five columns only (ReadSchema is pruned by
-Catalyst); the dimension joins are written without hints so the planner
-broadcasts them when their measured size is under
-``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at runtime) and
-shuffles otherwise. The final aggregate is a partial + final hash aggregate,
-so each task pre-aggregates its rows before the shuffle.
+Scale notes: the lineitem scan reads six columns only (ReadSchema is pruned by
+Catalyst). Region and nation are fixed-size (5 and 25 rows) and broadcast;
+part and supplier grow with the scale factor, so they are broadcast only
+after a row count proves them small (``checked_broadcast``) — beyond the bound
+the planner shuffles lineitem by the join key instead. The final aggregate is
+a partial + final hash aggregate, so each task pre-aggregates its rows before
+the shuffle.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillsight.functions.core import checked_broadcast
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -45,12 +48,15 @@ def _line_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     supp = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    geo = (supp.join(nation, supp.s_nationkey == nation.n_nationkey)
-               .join(region, nation.n_regionkey == region.r_regionkey)
+    places = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)  # 25 x 5 rows
+    geo = (supp.join(F.broadcast(places), supp.s_nationkey == places.n_nationkey)
                .select("s_suppkey", F.col("r_name").alias("organization_id"),
                        F.col("n_name").alias("store_id")))
-    return (li.join(part, li.l_partkey == part.p_partkey)
-              .join(geo, li.l_suppkey == geo.s_suppkey)
+    # part / supplier grow with the data: broadcast only below a counted bound,
+    # else the planner shuffles lineitem by the join key.
+    base = sf_dir.rstrip("/")
+    return (li.join(checked_broadcast(part, key=(base, "part")), li.l_partkey == part.p_partkey)
+              .join(checked_broadcast(geo, key=(base, "supplier")), li.l_suppkey == geo.s_suppkey)
               .select("organization_id", "store_id",
                       F.concat_ws("/", "p_brand", "p_type").alias("item_id"),
                       F.col("p_type").alias("category"),
