@@ -24,10 +24,25 @@ def _fixed_array() -> F.Column:
                      for m, d, n in C.FIXED_HOLIDAYS])
 
 
+_CONST: dict = {}
+
+
+def _constant(spark: SparkSession, name: str, build) -> DataFrame:
+    """A fixed lookup table, created once per session (it is a literal table)."""
+    key = (id(spark), name)
+    df = _CONST.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = build()
+        _CONST[key] = df
+    return df
+
+
 def islamic_table(spark: SparkSession) -> DataFrame:
-    rows = [(y, n, d) for y, items in C.ISLAMIC_HOLIDAYS.items() for n, d in items]
-    return (spark.createDataFrame(rows, "table_year int, name string, d string")
-                 .select("table_year", "name", F.to_date("d").alias("holiday_date")))
+    def build():
+        rows = [(y, n, d) for y, items in C.ISLAMIC_HOLIDAYS.items() for n, d in items]
+        return (spark.createDataFrame(rows, "table_year int, name string, d string")
+                     .select("table_year", "name", F.to_date("d").alias("holiday_date")))
+    return _constant(spark, "islamic", build)
 
 
 def holidays_for_years(years: DataFrame) -> DataFrame:
@@ -103,9 +118,18 @@ def holiday_date_features(frame: DataFrame, date_col: str = "date") -> DataFrame
     ).withColumn("is_holiday", F.coalesce("is_holiday", F.lit(0)))
 
 
-def add_holiday_features(frame: DataFrame, date_col: str = "date") -> DataFrame:
-    """Join the per-date holiday features onto any dated frame."""
-    feats = holiday_date_features(frame, date_col)
+def add_holiday_features(frame: DataFrame, date_col: str = "date", dates_from: DataFrame | None = None) -> DataFrame:
+    """Join the per-date holiday features onto any dated frame.
+
+    ``dates_from`` (a narrow frame with the same tenant dates, e.g. the stored
+    fact) keeps the small date-dimension branch off the wide input's lineage.
+    """
+    from tillsight.sources.tables import materialize
+    # The per-date dimension is bounded by tenants × calendar days; storing it
+    # gives the planner its real (small) size, so it is broadcast into the big
+    # frame instead of shuffling the big frame to meet it.
+    feats = materialize(holiday_date_features(dates_from if dates_from is not None else frame, date_col),
+                        "holiday-dates")
     if date_col != "date":
         feats = feats.withColumnRenamed("date", date_col)
     return frame.join(feats, [ORG, date_col], "left")
@@ -276,11 +300,13 @@ def seasonal_demand_advice(as_of_df: DataFrame) -> DataFrame:
 
 def keyword_table(spark: SparkSession) -> DataFrame:
     """(season, kind, ord, keyword): the fixed seasonal keyword lists as rows."""
-    rows = []
-    for s, (hi, lo, _) in C.SEASONAL_PRODUCT_DEMAND.items():
-        rows += [(s, "high_demand", 0, i, k) for i, k in enumerate(hi)]
-        rows += [(s, "low_demand", 1, i, k) for i, k in enumerate(lo)]
-    return spark.createDataFrame(rows, "season string, alert string, kind int, ord int, keyword string")
+    def build():
+        rows = []
+        for s, (hi, lo, _) in C.SEASONAL_PRODUCT_DEMAND.items():
+            rows += [(s, "high_demand", 0, i, k) for i, k in enumerate(hi)]
+            rows += [(s, "low_demand", 1, i, k) for i, k in enumerate(lo)]
+        return spark.createDataFrame(rows, "season string, alert string, kind int, ord int, keyword string")
+    return _constant(spark, "keywords", build)
 
 
 def seasonal_product_alerts(products: DataFrame, as_of_df: DataFrame) -> DataFrame:

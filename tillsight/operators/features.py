@@ -140,18 +140,23 @@ def price_features(df: DataFrame) -> DataFrame:
 
 
 def all_features(df: DataFrame, weather: DataFrame | None = None, target: str = "sales") -> DataFrame:
-    """Every feature; series windows evaluated together over one sort."""
-    out = time_features(df)
+    """Every feature.
+
+    The series windows (lags, rolling stats, price diffs) run first, on the
+    narrow fact rows, sharing one exchange + sort; the per-row calendar,
+    weather and holiday columns are added afterwards, so the window operator
+    never buffers wide rows.
+    """
+    series_cols = {**price_columns(), **lag_columns(target), **rolling_columns(target)}
+    out = df.withColumns(series_cols)
+    out = out.join(item_price_mean(df), [ORG, "item_id"], "left")
+    out = out.withColumn("price_vs_avg", F.col("sell_price") - F.col("_item_price_mean")).drop("_item_price_mean")
+    out = time_features(out)
     out = season_features(out)
-    out = add_holiday_features(out)
     out = weather_features(out, weather=weather)
+    out = add_holiday_features(out, dates_from=df)
     out = season_weather_interactions(out)
-    out = demand_indicators(out)
-    out = out.join(item_price_mean(df), [ORG, "item_id"], "left")
-    series_cols = {**price_columns(), **lag_columns(target), **rolling_columns(target)}
-    out = out.withColumns(series_cols)
-    out = out.withColumn("price_vs_avg", F.col("sell_price") - F.col("_item_price_mean")).drop("_item_price_mean")
-    return out
+    return demand_indicators(out)
 
 
 NON_FEATURES = {"organization_id", "item_id", "store_id", "date", "category", "pakistan_season", "season",

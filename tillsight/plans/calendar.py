@@ -314,7 +314,7 @@ FROM m""")
 def f16(spark, sf):
     """Seasonal keyword alert for every product name at the tenant's latest date."""
     fact = sales_fact(spark, sf)
-    return K.seasonal_product_alerts(product_dim(spark, sf), tenant_as_of(fact))
+    return K.seasonal_product_alerts(product_dim(spark, sf, fact), tenant_as_of(fact))
 
 
 @query("f17_date_context")

@@ -10,7 +10,7 @@ from tillsight.operators import health as J
 from tillsight.operators import inventory as H
 from tillsight.plans.catalog import query, r4, with_fact
 from tillsight.plans.inventory import SCENARIOS, STATS_STOCK, _dec_sql, _stats
-from tillsight.sources.tables import sales_fact
+from tillsight.sources.tables import SalesTables, sales_fact
 
 
 @query("j01_health_score", with_fact(f"""
@@ -86,8 +86,8 @@ def j03(spark, sf):
     return J.transaction_anomalies(sales_fact(spark, sf))
 
 
-def _decisions(spark, sf):
-    return H.purchase_decisions(_stats(spark, sf))
+def _decisions(spark, sf, tables=None):
+    return H.purchase_decisions(_stats(spark, sf, tables=tables))
 
 
 DEC = f"WITH dec AS ({_dec_sql(STATS_STOCK, SCENARIOS[:1])})"
@@ -179,16 +179,17 @@ def j10(spark, sf):
 @query("j12_alert_counts")
 def j12(spark, sf):
     """All detectors for all tenants, deduped, counted by type (rows only)."""
-    fact = sales_fact(spark, sf)
-    alerts = A.new_alerts(A.detect_all(fact, _decisions(spark, sf)), None)
+    t = SalesTables(spark, sf)
+    alerts = A.new_alerts(A.detect_all(t.fact(), _decisions(spark, sf, t)), None)
     return A.counts_by_type(alerts)
 
 
 @query("j13_alert_summary")
 def j13(spark, sf):
     """Open / unread / per-severity counts over a freshly detected alert table (rows only)."""
-    fact = sales_fact(spark, sf)
-    table = A.to_table_rows(A.new_alerts(A.detect_all(fact, _decisions(spark, sf)), None), "2001-11-05 00:00:00")
+    t = SalesTables(spark, sf)
+    table = A.to_table_rows(A.new_alerts(A.detect_all(t.fact(), _decisions(spark, sf, t)), None),
+                            "2001-11-05 00:00:00")
     return A.alert_counts(table)
 
 

@@ -11,7 +11,7 @@ from tillsight.operators import inventory as H
 from tillsight.plans.catalog import query, r4, with_fact
 from tillsight.plans.inventory import SCENARIOS, STATS_STOCK, _dec_sql, _stats
 from tillsight.plans.sqlcal import holiday_ctes, season_value_sql, tenant_years_sql
-from tillsight.sources.tables import read_table, sales_fact
+from tillsight.sources.tables import SalesTables, read_table, sales_fact
 
 OBS_GROWTH = """
 WITH d AS (SELECT {keys}, date, SUM(sales) AS sales FROM fact GROUP BY {keys}, date),
@@ -181,9 +181,9 @@ SELECT organization_id, round(ts, 2) AS total_sales, round(rev, 2) AS revenue,
 FROM b JOIN gg USING (organization_id) JOIN fin USING (organization_id)"""))
 def i11(spark, sf):
     """Executive totals, 28-day growth and inventory money per tenant."""
-    fact = sales_fact(spark, sf)
-    fin = H.financial_summary(H.purchase_decisions(_stats(spark, sf)))
-    return I.executive_overview(fact, fin)
+    t = SalesTables(spark, sf)
+    fin = H.financial_summary(H.purchase_decisions(_stats(spark, sf, tables=t)))
+    return I.executive_overview(t.fact(), fin)
 
 
 @query("i11_executive_opportunities", with_fact(f"""
@@ -201,8 +201,9 @@ def i11o(spark, sf):
 
 
 def _exec_parts(spark, sf):
-    fact = sales_fact(spark, sf)
-    dec = H.purchase_decisions(_stats(spark, sf))
+    t = SalesTables(spark, sf)
+    fact = t.fact()
+    dec = H.purchase_decisions(_stats(spark, sf, tables=t))
     fin = H.financial_summary(dec)
     ov = I.executive_overview(fact, fin)
     return fact, dec, fin, ov
@@ -315,8 +316,9 @@ ADVISOR_TENANT = "AMERICA"
 def i17(spark, sf):
     """Rule-based answers to every user question in ``conversations`` against one
     tenant's snapshot (rows only)."""
-    fact = sales_fact(spark, sf)
-    dec = H.purchase_decisions(_stats(spark, sf))
+    t = SalesTables(spark, sf)
+    fact = t.fact()
+    dec = H.purchase_decisions(_stats(spark, sf, tables=t))
     fin = H.financial_summary(dec)
     qs = (read_table(spark, sf, "conversations").filter(F.col("role") == "user")
           .select(F.lit(ADVISOR_TENANT).alias(ORG), F.concat_ws(":", "conv_id", "turn").alias("question_id"),

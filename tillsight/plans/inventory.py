@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tillsight.functions.core import tenant_as_of
 from tillsight.operators import inventory as H
 from tillsight.plans.catalog import query, r4, with_fact
-from tillsight.sources.tables import inventory_snapshot, sales_fact
+from tillsight.sources.tables import SalesTables, sales_fact
 
 Z95 = repr(H.Policy().z)
 SCENARIOS = [
@@ -35,9 +35,9 @@ st AS (SELECT s.*, a.as_of, greatest(recent_sum * 1.5, 10.0) AS current_stock
        FROM st0 s JOIN tenant_asof a USING (organization_id))"""
 
 
-def _stats(spark, sf, with_stock=True):
-    fact = sales_fact(spark, sf)
-    return H.series_stats(fact, inventory_snapshot(spark, sf) if with_stock else None)
+def _stats(spark, sf, with_stock=True, tables=None):
+    t = tables or SalesTables(spark, sf)
+    return H.series_stats(t.fact(), t.stock() if with_stock else None)
 
 
 def _rec_raw(stats_cte: str) -> str:

@@ -15,7 +15,7 @@ from tillsight.operators import features as E
 from tillsight.operators import models as G
 from tillsight.operators import registry as R
 from tillsight.plans.catalog import query, r4, with_fact
-from tillsight.sources.tables import sales_fact
+from tillsight.sources.tables import materialize, sales_fact
 
 HORIZON = 28
 
@@ -194,7 +194,8 @@ LIGHT_SPECS = {
 
 
 def _features(spark, sf):
-    fe = E.all_features(sales_fact(spark, sf))
+    # stored once: feature selection, the fit (several passes) and the forecast all read it
+    fe = materialize(E.all_features(sales_fact(spark, sf)), "features")
     return fe, E.select_features(fe)
 
 

@@ -36,14 +36,35 @@ FACT_KEYS = ("organization_id", "item_id", "store_id")
 SERIES_KEYS = FACT_KEYS
 
 
+_SCANS: dict = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Scan of one given (read-only) table. The relation is built once per
+    session and path: its schema comes from the file footer, which Spark reads
+    with a job, and equal scans let the planner reuse exchanges."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _SCANS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _SCANS[key] = df
+    return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster's cores when the scan yields fewer
+    input partitions than cores (e.g. a file with a single row group). Large
+    inputs already have at least as many splits as cores and pass unchanged,
+    so no extra shuffle is added at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _line_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem ⋈ part ⋈ supplier ⋈ nation ⋈ region with canonical key names."""
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    li = spread(read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"))
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     supp = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -64,27 +85,71 @@ def _line_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "l_orderkey", "l_quantity", "l_extendedprice"))
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the session's shared checkpoint folder and
+    return the stored table.
+
+    Used where one derived frame feeds several branches of a plan: column
+    pruning makes each branch's copy of the upstream aggregate differ, so Spark
+    would re-derive it (re-scanning lineitem) per branch. The stored table cuts
+    that lineage once, survives executor loss, and gives the planner real file
+    sizes for its join decisions.
+    """
+    import uuid
+
+    from tillsight.session import scratch_path
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+class SalesTables:
+    """The canonical tables derived from the given tables for one query run.
+
+    ``fact`` is built once (lineitem scanned once) and stored; ``stock`` is an
+    aggregate of the stored fact (sums are associative), not a second scan.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = True):
+        self.spark, self.sf_dir, self.stored = spark, sf_dir, stored
+        self._wide = None
+
+    def _fact_wide(self) -> DataFrame:
+        if self._wide is None:
+            lines = _line_dims(self.spark, self.sf_dir)
+            w = (lines.groupBy("organization_id", "item_id", "store_id", "category", "date")
+                      .agg(F.sum("l_quantity").alias("sales"),
+                           F.sum("l_extendedprice").alias("_revenue"),
+                           F.sum("l_orderkey").alias("_orderkey_sum"))
+                      .select("organization_id", "item_id", "store_id", "category", "date", "sales",
+                              F.try_divide("_revenue", "sales").alias("sell_price"), "_orderkey_sum"))
+            self._wide = materialize(w, "fact") if self.stored else w
+        return self._wide
+
+    def fact(self) -> DataFrame:
+        """The tenant sales frame (all tenants) in canonical form."""
+        return self._fact_wide().drop("_orderkey_sum")
+
+    def stock(self) -> DataFrame:
+        """Stock on hand per series: ``pmod(sum(l_orderkey), 4000)`` (no stock table exists)."""
+        return (self._fact_wide().groupBy("organization_id", "item_id", "store_id")
+                    .agg(F.pmod(F.sum("_orderkey_sum"), F.lit(4000)).cast("double").alias("current_stock")))
+
+
 def sales_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tenant sales frame (all tenants) in canonical form."""
-    lines = _line_dims(spark, sf_dir)
-    return (lines.groupBy("organization_id", "item_id", "store_id", "category", "date")
-                 .agg(F.sum("l_quantity").alias("sales"),
-                      F.sum("l_extendedprice").alias("_revenue"))
-                 .select("organization_id", "item_id", "store_id", "category", "date",
-                         "sales",
-                         F.try_divide("_revenue", "sales").alias("sell_price")))
+    """The tenant sales frame (all tenants) in canonical form, stored once."""
+    return SalesTables(spark, sf_dir).fact()
 
 
 def inventory_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stock on hand per series: ``pmod(sum(l_orderkey), 4000)`` (no stock table exists)."""
-    lines = _line_dims(spark, sf_dir)
-    return (lines.groupBy("organization_id", "item_id", "store_id")
-                 .agg(F.pmod(F.sum("l_orderkey"), F.lit(4000)).cast("double").alias("current_stock")))
+    """Stock on hand per series (see ``SalesTables.stock``)."""
+    return SalesTables(spark, sf_dir).stock()
 
 
-def product_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+def product_dim(spark: SparkSession, sf_dir: str, fact: DataFrame | None = None) -> DataFrame:
     """Products per tenant: name, category, list price as unit price and cost."""
-    lines = _line_dims(spark, sf_dir).select("organization_id", "item_id").distinct()
+    fact = fact if fact is not None else sales_fact(spark, sf_dir)
+    lines = fact.select("organization_id", "item_id").distinct()
     part = read_table(spark, sf_dir, "part")
     items = (part.groupBy(F.concat_ws("/", "p_brand", "p_type").alias("item_id"))
                  .agg(F.min("p_name").alias("name"),
