@@ -325,3 +325,21 @@ def f17(spark, sf):
 
 # Keep the read helper referenced for the events-driven variants added later.
 _ = read_table
+
+
+@query("f03_holidays_in_range", with_fact(f"""
+WITH {ASOF},
+yrs AS (SELECT organization_id, unnest(range(year(as_of - INTERVAL 30 DAY), year(as_of + INTERVAL 60 DAY) + 1)) AS year
+        FROM tenant_asof),
+{holiday_ctes()}
+SELECT h.organization_id, CAST(h.table_year AS BIGINT) AS table_year, h.name, h.holiday_date, h.category
+FROM hol h JOIN tenant_asof a USING (organization_id)
+WHERE h.holiday_date BETWEEN a.as_of - INTERVAL 30 DAY AND a.as_of + INTERVAL 60 DAY"""))
+def f03(spark, sf):
+    """Holidays from 30 days before to 60 days after each tenant's latest date."""
+    a = tenant_as_of(sales_fact(spark, sf))
+    years = a.select(ORG, F.explode(F.sequence(F.year(F.date_sub("as_of", 30)), F.year(F.date_add("as_of", 60))))
+                     .alias("year"))
+    h = K.holidays_for_years(years).join(a, ORG)
+    return h.filter(F.col("holiday_date").between(F.date_sub("as_of", 30), F.date_add("as_of", 60))).select(
+        ORG, "table_year", "name", "holiday_date", "category")

@@ -10,6 +10,7 @@ from tillsight.operators import health as J
 from tillsight.operators import inventory as H
 from tillsight.plans.catalog import query, r4, with_fact
 from tillsight.plans.inventory import SCENARIOS, STATS_STOCK, _dec_sql, _stats
+from tillsight.plans.sqlcal import holiday_ctes
 from tillsight.sources.tables import SalesTables, sales_fact
 
 
@@ -176,7 +177,41 @@ def j10(spark, sf):
     return A.store_zscores(sales_fact(spark, sf))
 
 
-@query("j12_alert_counts")
+J12_SQL = with_fact(f"""{DEC},
+t_asof AS (SELECT organization_id, MAX(date) AS as_of FROM fact GROUP BY organization_id),
+chg AS (
+  SELECT f.organization_id, f.item_id, f.store_id,
+    COALESCE(SUM(CASE WHEN f.date > a.as_of - INTERVAL 7 DAY THEN f.sales END), 0) AS recent,
+    COALESCE(SUM(CASE WHEN f.date <= a.as_of - INTERVAL 7 DAY AND f.date > a.as_of - INTERVAL 28 DAY
+                      THEN f.sales END), 0) AS prior
+  FROM fact f JOIN t_asof a USING (organization_id) GROUP BY 1, 2, 3),
+sd AS (SELECT organization_id, store_id, date, SUM(sales) AS sales FROM fact GROUP BY 1, 2, 3),
+sz AS (
+  SELECT d.organization_id, d.store_id,
+    AVG(CASE WHEN d.date > a.as_of - INTERVAL 7 DAY THEN sales END) AS rm,
+    AVG(CASE WHEN d.date <= a.as_of - INTERVAL 7 DAY THEN sales END) AS hm,
+    STDDEV_SAMP(CASE WHEN d.date <= a.as_of - INTERVAL 7 DAY THEN sales END) AS hs,
+    COUNT(CASE WHEN d.date <= a.as_of - INTERVAL 7 DAY THEN 1 END) AS hn
+  FROM sd d JOIN t_asof a USING (organization_id) GROUP BY 1, 2),
+yrs AS (SELECT organization_id, unnest([year(as_of), year(as_of) + 1]) AS year FROM t_asof),
+{holiday_ctes()},
+up AS (
+  SELECT a.organization_id, date_diff('day', a.as_of, h.holiday_date) AS du
+  FROM t_asof a JOIN hol h ON h.organization_id = a.organization_id AND h.holiday_date >= a.as_of
+  QUALIFY row_number() OVER (PARTITION BY a.organization_id ORDER BY h.holiday_date, h.table_year, h.name) <= 10),
+al AS (
+  SELECT organization_id, 'stockout_risk' AS alert_type FROM dec
+    WHERE stockout_in_days IS NOT NULL AND stockout_in_days <= 7
+  UNION ALL SELECT organization_id, 'overstock' FROM dec WHERE days_of_stock > 90
+  UNION ALL SELECT organization_id, CASE WHEN (recent - prior) / prior * 100 >= 40 THEN 'demand_spike'
+                                         ELSE 'demand_drop' END
+    FROM chg WHERE prior > 0 AND abs((recent - prior) / prior * 100) >= 40
+  UNION ALL SELECT organization_id, 'store_performance' FROM sz WHERE hn >= 14 AND hs > 0 AND abs((rm - hm) / hs) > 2
+  UNION ALL SELECT organization_id, 'upcoming_holiday' FROM up WHERE du BETWEEN 0 AND 7)
+SELECT organization_id, alert_type, COUNT(*) AS n_alerts FROM al GROUP BY 1, 2""")
+
+
+@query("j12_alert_counts", J12_SQL)
 def j12(spark, sf):
     """All detectors for all tenants, deduped, counted by type (rows only)."""
     t = SalesTables(spark, sf)

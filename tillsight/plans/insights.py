@@ -325,3 +325,16 @@ def i17(spark, sf):
                   F.col("text").alias("question")))
     return I.answer_questions(qs, I.sales_summary(fact), fin, dec, I.store_intelligence(fact),
                               I.product_intelligence(fact))
+
+
+@query("d16_store_page_totals", with_fact(OBS_GROWTH.format(keys="organization_id, store_id") + """,
+b AS (SELECT organization_id, store_id, SUM(sales) AS ts, SUM(sales * COALESCE(sell_price, 0)) AS rev
+      FROM fact GROUP BY 1, 2)
+SELECT organization_id, round(SUM(round(ts, 2)), 4) AS total_sales, round(SUM(round(rev, 2)), 4) AS total_revenue,
+       round(AVG(round(growth_pct, 1)), 4) AS avg_growth_pct, COUNT(*) AS n_stores
+FROM b JOIN gg USING (organization_id, store_id) GROUP BY 1"""))
+def d16(spark, sf):
+    """Store page totals over the store drill-down: sales, revenue, mean growth."""
+    from tillsight.operators.dashboards import store_page_totals
+    s = I.store_intelligence(sales_fact(spark, sf)).withColumnRenamed("revenue", "total_revenue")
+    return store_page_totals(s)
