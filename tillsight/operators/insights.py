@@ -625,3 +625,54 @@ def answer_questions(questions: DataFrame, summary: DataFrame, financials: DataF
                     dec.alias("intent_decline"), reo.alias("intent_reorder"), sto.alias("intent_stores"),
                     dem.alias("intent_demand"),
                     F.when(any_intent, body).otherwise(fallback).alias("answer"))
+
+
+# ------------------------------------------------------------ I14 / I16
+
+def business_snapshot(fact: DataFrame, decisions: DataFrame, financials: DataFrame,
+                      stores: DataFrame, products: DataFrame, alerts: DataFrame | None = None,
+                      accuracy: DataFrame | None = None, top_k: int = 12) -> dict[str, DataFrame]:
+    """I16: the named frames of a tenant snapshot — every tenant at once, each
+    list cut to its top ``top_k`` per tenant (the reference's payload size)."""
+    def top(df, order, k=top_k):
+        w = Window.partitionBy(ORG).orderBy(*order)
+        return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    out = {
+        "sales": sales_summary(fact),
+        "financials": financials,
+        "top_reorder_items": top(decisions.select(ORG, "item_id", "store_id", "recommended_order_qty",
+                                                  "stockout_in_days", "overstock_capital", "inventory_value",
+                                                  "days_of_stock"),
+                                 [F.desc("recommended_order_qty"), "item_id", "store_id"]),
+        "stockout_risks": top(decisions.filter(F.col("stockout_in_days").isNotNull())
+                              .select(ORG, "item_id", "store_id", "stockout_in_days"),
+                              ["stockout_in_days", "item_id", "store_id"]),
+        "stores": top(stores, [F.desc("total_sales"), "store_id"]),
+        "products": top(products, [F.desc("total_sales"), "item_id"]),
+    }
+    if alerts is not None:
+        out["alerts"] = top(alerts.select(ORG, "alert_type", "severity", "title", "created_at"),
+                            [F.desc("created_at"), "title"])
+    if accuracy is not None:
+        out["forecast_accuracy"] = top(accuracy, ["horizon_days", "product_id", "store_id"])
+    return out
+
+
+def report_payload(fact: DataFrame, decisions: DataFrame, financials: DataFrame,
+                   accuracy: DataFrame | None = None, registry: DataFrame | None = None,
+                   max_decisions: int = 200, max_accuracy: int = 50) -> dict[str, DataFrame]:
+    """Report frames — decisions (largest orders first), financials,
+    executive overview and summary sentence, active model, accuracy."""
+    w = Window.partitionBy(ORG).orderBy(F.desc("recommended_order_qty"), "item_id", "store_id")
+    dec = decisions.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_decisions)
+    ov = executive_overview(fact, financials, accuracy)
+    out = {"decisions": dec, "financials": financials, "executive": ov,
+           "summary": auto_summary(ov, financials, executive_risks(financials),
+                                   executive_actions(None, financials, ov))}
+    if registry is not None:
+        out["active_model"] = registry.filter(F.col("status") == "active")
+    if accuracy is not None:
+        wa = Window.partitionBy(ORG).orderBy("horizon_days", "product_id", "store_id")
+        out["accuracy"] = accuracy.withColumn("rank", F.row_number().over(wa)).filter(F.col("rank") <= max_accuracy)
+    return out

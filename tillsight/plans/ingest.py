@@ -73,3 +73,23 @@ def a08(spark, sf):
 def b02(spark, sf):
     """Upload profile of the pushed rows (rows only)."""
     return A.validate_upload(pushed_rows(spark, sf).drop("_ts", "event_id")).drop("warnings")
+
+
+@query("a16_materialized_daily_store", """
+WITH e AS (
+  SELECT CAST(ts AS DATE) AS date, 'SKU' || json_extract_string(props, '$.k') AS item_id,
+         greatest(COALESCE(value, 0.0), 0.0) AS sales, event_id, ts
+  FROM events WHERE event_type = 'purchase'),
+r AS (SELECT *, row_number() OVER (PARTITION BY date, item_id ORDER BY ts, event_id) AS rn FROM e),
+c AS (SELECT * FROM r WHERE rn = 1 AND sales <> 0)
+SELECT 'events' AS organization_id, date, 'STORE_001' AS store_id, round(SUM(sales), 4) AS total_sales,
+       COUNT(DISTINCT item_id) AS item_count
+FROM c GROUP BY date""")
+def a16(spark, sf):
+    """Daily-by-store aggregate of the ingested pushed rows, written as a
+    materialized table (A16) and read back."""
+    root = scratch_path(spark, f"agg-{uuid.uuid4().hex}")
+    clean = A.clean_batch(pushed_rows(spark, sf), TENANT, order=["_ts", "event_id"])
+    A.materialize_aggregates(clean, root)
+    return spark.read.parquet(f"{root}/agg_daily_store").select("organization_id", "date", "store_id",
+                                                                 "total_sales", "item_count")

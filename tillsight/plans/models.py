@@ -223,3 +223,15 @@ def g15(spark, sf):
     pairs = G.feature_importance(m, feats, 20)
     return spark.createDataFrame([(i + 1, n, v) for i, (n, v) in enumerate(pairs)],
                                  "rank int, feature string, importance double")
+
+
+@query("a17_forecast_headers", with_fact(f"""WITH {BASE_SQL}
+SELECT organization_id, {r4('SUM(predicted_sales)', 'total_forecast')}, COUNT(DISTINCT date) AS horizon_days,
+       MIN(date) AS start_date, MAX(date) AS end_date,
+       organization_id || ':2001-01-01 00:00:00' AS header_id, 'baseline' AS model_type,
+       TIMESTAMP '2001-01-01 00:00:00' AS created_at
+FROM fc GROUP BY 1"""))
+def a17(spark, sf):
+    """Forecast header rows (A17) of the per-series baseline forecast."""
+    _, hdr, _ = _matured(spark, sf)
+    return hdr
