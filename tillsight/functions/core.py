@@ -76,7 +76,7 @@ def with_as_of(df: DataFrame, as_of=None, date_col: str = "date", name: str = "a
     if as_of is not None:
         return df.withColumn(name, as_date(as_of))
     latest = df.groupBy(ORG).agg(F.max(date_col).alias(name))
-    return df.join(latest, ORG, "left")
+    return df.join(per_tenant(latest), ORG, "left")
 
 
 def tenant_as_of(df: DataFrame, as_of=None, date_col: str = "date", name: str = "as_of") -> DataFrame:
@@ -89,6 +89,15 @@ def tenant_as_of(df: DataFrame, as_of=None, date_col: str = "date", name: str =
 BROADCAST_MAX_ROWS = 1_000_000
 
 
+def per_tenant(df: DataFrame) -> DataFrame:
+    """Broadcast a frame that holds one row per tenant (per-tenant dates,
+    quantiles, ranges, flags). Its size is bounded by the number of tenants —
+    a registry-sized count, not a data-sized one — so it is shipped to the
+    big side instead of shuffling the big side by tenant (which would also put
+    a hot tenant into one task)."""
+    return F.broadcast(df)
+
+
 _ROW_COUNTS: dict = {}
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.functions.core import ORG, round_half_away as rnd, tenant_as_of
+from tillsight.functions.core import ORG, per_tenant, round_half_away as rnd, tenant_as_of
 from tillsight.operators.calendar import upcoming_holidays
 
 ALERT_COLUMNS = [ORG, "alert_type", "severity", "title", "message", "context", "dedup_key"]
@@ -59,7 +59,7 @@ def overstock_alerts(decisions: DataFrame, excess_days: int = 90) -> DataFrame:
 def demand_changes(fact: DataFrame, as_of=None) -> DataFrame:
     """J07 numbers: last-7-day vs the 21 days before, per series, relative to the
     tenant's latest date (calendar cut-offs, unscaled as in the reference)."""
-    f = fact.join(tenant_as_of(fact, as_of), ORG)
+    f = fact.join(per_tenant(tenant_as_of(fact, as_of)), ORG)
     recent = F.col("date") > F.date_sub("as_of", 7)
     prior = (~recent) & (F.col("date") > F.date_sub("as_of", 28))
     g = f.groupBy(ORG, "item_id", "store_id").agg(
@@ -112,7 +112,7 @@ def holiday_alerts(as_of_df: DataFrame, days_ahead: int = 7) -> DataFrame:
 def store_zscores(fact: DataFrame, min_history: int = 14, as_of=None) -> DataFrame:
     """J10 numbers: per store, mean of the last 7 days' daily totals vs its history."""
     d = fact.groupBy(ORG, "store_id", "date").agg(F.sum("sales").alias("sales"))
-    d = d.join(tenant_as_of(fact, as_of), ORG)
+    d = d.join(per_tenant(tenant_as_of(fact, as_of)), ORG)
     recent = F.col("date") > F.date_sub("as_of", 7)
     g = d.groupBy(ORG, "store_id").agg(
         F.avg(F.when(recent, F.col("sales"))).alias("recent_mean"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillsight.functions import calendar as C
-from tillsight.functions.core import ORG, as_date
+from tillsight.functions.core import ORG, as_date, per_tenant
 
 LOOKAHEAD_DAYS = 90
 NO_HOLIDAY_DISTANCE = 30
@@ -318,7 +318,7 @@ def seasonal_product_alerts(products: DataFrame, as_of_df: DataFrame) -> DataFra
     whose cost is products × keywords, linear in the products.
     """
     spark = products.sparkSession
-    p = products.join(as_of_df.select(ORG, "as_of"), ORG).withColumn("season", C.season("as_of"))
+    p = products.join(per_tenant(as_of_df.select(ORG, "as_of")), ORG).withColumn("season", C.season("as_of"))
     kw = F.broadcast(keyword_table(spark))
     m = p.join(kw, (p.season == kw.season) & F.lower(p.name).contains(kw.keyword), "left").drop(kw.season)
     w = Window.partitionBy(ORG, "item_id").orderBy(F.col("kind").asc_nulls_last(), F.col("ord").asc_nulls_last())

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.functions.calendar import season, weekday0
-from tillsight.functions.core import ORG, safe_div
+from tillsight.functions.core import ORG, per_tenant, safe_div
 
 DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
@@ -167,7 +167,7 @@ def price_histogram(fact: DataFrame, bins: int = 50, column: str = "sell_price")
     f = fact.filter(F.col(column).isNotNull())
     rng = f.groupBy(ORG).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
-    b = (f.select(ORG, column).join(rng, ORG)
+    b = (f.select(ORG, column).join(per_tenant(rng), ORG)
           .withColumn("bin", F.when(F.col("_hi") == F.col("_lo"), F.lit(0))
                       .otherwise(F.least(F.floor((F.col(column) - F.col("_lo")) / width), F.lit(bins - 1)))
                       .cast("bigint")))
@@ -181,7 +181,7 @@ def iqr_outliers(fact: DataFrame, k: float = 1.5, column: str = "sales") -> Data
     q = fact.groupBy(ORG).agg(F.percentile(column, 0.25).alias("q1"),
                               F.percentile(column, 0.75).alias("q3"),
                               F.count(F.lit(1)).alias("n_rows"))
-    f = fact.select(ORG, column).join(q, ORG)
+    f = fact.select(ORG, column).join(per_tenant(q), ORG)
     iqr = F.col("q3") - F.col("q1")
     out = (F.col(column) < F.col("q1") - k * iqr) | (F.col(column) > F.col("q3") + k * iqr)
     return (f.groupBy(ORG, "q1", "q3", "n_rows")

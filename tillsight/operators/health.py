@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.functions.core import ORG
+from tillsight.functions.core import ORG, per_tenant
 
 FRAME_COLUMNS = ["item_id", "store_id", "date", "sales", "sell_price", "category"]
 
@@ -44,7 +44,7 @@ def health_score(fact: DataFrame, columns: list[str] = FRAME_COLUMNS) -> DataFra
         F.percentile("sell_price", 0.5).alias("_median_price"),
         F.min("date").alias("min_date"), F.max("date").alias("max_date"),
         F.countDistinct("date").alias("_n_days"))
-    p = fact.select(ORG, "sell_price").join(a.select(ORG, "_median_price"), ORG)
+    p = fact.select(ORG, "sell_price").join(per_tenant(a.select(ORG, "_median_price")), ORG)
     prices = p.groupBy(ORG).agg(
         F.sum((F.col("sell_price") > F.col("_median_price") * 10).cast("bigint")).alias("high_prices"),
         F.sum((F.col("sell_price") == 0).cast("bigint")).alias("zero_prices"),
@@ -88,13 +88,13 @@ def daily_anomalies(fact: DataFrame, z_threshold: float = 3.0, min_days: int = 1
                            F.count(F.lit(1)).alias("_n"))
     ok = s.filter((F.col("_n") >= min_days) & (F.col("_std") > 0))
     z = (F.col("sales") - F.col("_mean")) / F.col("_std")
-    spikes = (d.join(ok, ORG).withColumn("z", z).filter(F.abs("z") >= z_threshold)
+    spikes = (d.join(per_tenant(ok), ORG).withColumn("z", z).filter(F.abs("z") >= z_threshold)
                .select(ORG, F.when(F.col("z") > 0, "sales_spike").otherwise("sales_drop").alias("type"),
                        "date", "sales", F.col("_mean").alias("expected"),
                        (F.round(F.col("z") * 100, 0) / 100).alias("z_score"),
                        F.when(F.abs("z") >= 4, "high").otherwise("medium").alias("severity"),
                        F.lit(0).alias("_part")))
-    gaps = (calendar_gaps(d).join(ok, ORG)
+    gaps = (calendar_gaps(d).join(per_tenant(ok), ORG)
             .select(ORG, F.lit("missing_period").alias("type"), "date", F.lit(0.0).alias("sales"),
                     F.col("_mean").alias("expected"), F.lit(None).cast("double").alias("z_score"),
                     F.lit("low").alias("severity"), F.lit(1).alias("_part")))

@@ -16,7 +16,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillsight.functions.core import ORG, round_half_away as rnd, tenant_as_of
+from tillsight.functions.core import ORG, per_tenant, round_half_away as rnd, tenant_as_of
 
 SERIES = [ORG, "item_id", "store_id"]
 NO_DEMAND_DAYS = 999.0
@@ -69,7 +69,7 @@ def series_stats(fact: DataFrame, stock: DataFrame | None = None, estimate_windo
         return st.withColumn("current_stock", estimate).withColumn("stock_estimated", F.lit(True))
     j = st.join(stock.select(*SERIES, "current_stock"), SERIES, "left")
     known = (j.groupBy(ORG).agg(F.max(F.col("current_stock").isNotNull()).alias("_any_stock")))
-    j = j.join(known, ORG, "left")
+    j = j.join(per_tenant(known), ORG, "left")
     return (j.withColumn("current_stock", F.when(F.col("_any_stock"), F.coalesce("current_stock", F.lit(0.0)))
                          .otherwise(estimate))
              .withColumn("stock_estimated", ~F.col("_any_stock")).drop("_any_stock"))
@@ -122,7 +122,7 @@ def recommendations(stats: DataFrame, policy: Policy = Policy(), multiplier=1.0,
     q = eoq(avg)
     b = stats
     if "as_of" not in b.columns:
-        b = b.join(tenant_as_of(stats.withColumnRenamed("last_date", "date"), as_of), ORG, "left")
+        b = b.join(per_tenant(tenant_as_of(stats.withColumnRenamed("last_date", "date"), as_of)), ORG, "left")
     b = b.select(*SERIES, "as_of", "current_stock", avg.alias("avg_daily_demand"), sd.alias("demand_std"),
                  ss.alias("safety_stock"), rop.alias("reorder_point"), q.alias("eoq"))
     stock, a = F.col("current_stock"), F.col("avg_daily_demand")
@@ -248,7 +248,7 @@ def _policy_cols(policy: Policy) -> dict:
 def _with_as_of(stats: DataFrame, as_of) -> DataFrame:
     if "as_of" in stats.columns:
         return stats
-    return stats.join(tenant_as_of(stats.withColumnRenamed("last_date", "date"), as_of), ORG, "left")
+    return stats.join(per_tenant(tenant_as_of(stats.withColumnRenamed("last_date", "date"), as_of)), ORG, "left")
 
 
 def purchase_decisions(stats: DataFrame, policy: Policy = Policy(), multiplier=1.0, as_of=None) -> DataFrame:

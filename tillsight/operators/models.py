@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillsight.functions import calendar as C
-from tillsight.functions.core import ORG
+from tillsight.functions.core import ORG, per_tenant
 
 SERIES = [ORG, "item_id", "store_id"]
 
@@ -80,7 +80,7 @@ def hash_split(df: DataFrame, keys: list[str], test_pct: int = 20, seed: int = 4
 def holdout_split(df: DataFrame, days: int = 28, date_col: str = "date") -> tuple[DataFrame, DataFrame]:
     """Last ``days`` calendar days of each tenant are the test set."""
     cut = df.groupBy(ORG).agg(F.max(date_col).alias("_max"))
-    j = df.join(cut, ORG)
+    j = df.join(per_tenant(cut), ORG)
     test = F.col(date_col) > F.date_sub("_max", days)
     return j.filter(~test).drop("_max"), j.filter(test).drop("_max")
 
@@ -102,7 +102,7 @@ def baseline_predict(model: DataFrame, rows: DataFrame, per_series: bool = False
                                                .withColumnRenamed("global_mean", "_g"), ORG, "left")
         return j.withColumn("pred", F.coalesce("series_mean", "_g")).drop("series_mean", "global_mean", "_g")
     g = model.select(ORG, "global_mean").distinct()
-    return rows.join(g, ORG, "left").withColumnRenamed("global_mean", "pred")
+    return rows.join(per_tenant(g), ORG, "left").withColumnRenamed("global_mean", "pred")
 
 
 # -------------------------------------------------------------- MLlib models
@@ -280,7 +280,7 @@ def baseline_forecast(fact: DataFrame, horizon: int = 28, as_of=None, per_series
     (tenant latest date minus the horizon when None), for each of the next
     ``horizon`` days."""
     cut = fact.groupBy(ORG).agg(F.max("date").alias("_max"))
-    f = fact.join(cut, ORG)
+    f = fact.join(per_tenant(cut), ORG)
     cutoff = F.date_sub("_max", horizon) if as_of is None else F.to_date(F.lit(as_of))
     train = f.filter(F.col("date") <= cutoff)
     model = baseline_fit(train)

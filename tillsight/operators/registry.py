@@ -12,7 +12,7 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillsight.functions.core import ORG, as_date
+from tillsight.functions.core import ORG, as_date, per_tenant
 from tillsight.operators.alerts import degradation_flag
 from tillsight.operators.models import metric_columns
 
@@ -169,7 +169,7 @@ def matured_accuracy(headers: DataFrame, details: DataFrame, actuals: DataFrame,
         cut = actuals.groupBy(ORG).agg(F.max("date").alias("_asof"))
     else:
         cut = headers.select(ORG).distinct().withColumn("_asof", as_date(as_of))
-    fc = (details.join(headers.select("header_id", "horizon_days"), "header_id").join(cut, ORG)
+    fc = (details.join(headers.select("header_id", "horizon_days"), "header_id").join(per_tenant(cut), ORG)
                  .filter(F.col("forecast_date") <= F.col("_asof")))
     act = actuals.select(ORG, "item_id", "store_id", F.col("date").alias("forecast_date"), "sales") \
                  .dropDuplicates([ORG, "item_id", "store_id", "forecast_date"])
@@ -184,7 +184,7 @@ def live_metrics(headers: DataFrame, details: DataFrame, actuals: DataFrame, as_
         cut = actuals.groupBy(ORG).agg(F.max("date").alias("_asof"))
     else:
         cut = headers.select(ORG).distinct().withColumn("_asof", as_date(as_of))
-    fc = details.join(cut, ORG).filter(F.col("forecast_date") <= F.col("_asof"))
+    fc = details.join(per_tenant(cut), ORG).filter(F.col("forecast_date") <= F.col("_asof"))
     act = actuals.select(ORG, "item_id", "store_id", F.col("date").alias("forecast_date"), "sales") \
                  .dropDuplicates([ORG, "item_id", "store_id", "forecast_date"])
     j = fc.join(act, [ORG, "item_id", "store_id", "forecast_date"])

@@ -52,19 +52,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster's cores when the scan yields fewer
-    input partitions than cores (e.g. a file with a single row group). Large
-    inputs already have at least as many splits as cores and pass unchanged,
-    so no extra shuffle is added at scale."""
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread the rows over the cluster's cores by a high-cardinality key
+    when the scan yields fewer input partitions than cores (e.g. a file with a
+    single row group). Large inputs already have at least as many splits as
+    cores and pass unchanged, so no extra shuffle is added at scale. (Hash
+    rather than round-robin: round-robin must sort rows first to stay
+    deterministic under task retries.)"""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def _line_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem ⋈ part ⋈ supplier ⋈ nation ⋈ region with canonical key names."""
     li = spread(read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"))
+        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"), "l_orderkey")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     supp = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
