@@ -168,3 +168,52 @@ def test_scan_is_pruned_and_no_python_in_hot_path(spark):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     scans = [ln for ln in plan.splitlines() if "lineitem" in ln]
     assert scans and all("l_comment" not in ln and "l_returnflag" not in ln for ln in scans)
+
+
+def test_register_candidates_and_overview(spark):
+    comp = spark.createDataFrame(
+        [("baseline", 10, 5.0, 6.0, 0.1, 50.0, 40.0, 0.0, 0.0, 0.1, None),
+         ("random_forest", 10, 3.0, 4.0, 0.6, 30.0, 25.0, 0.1, 1.0, 2.0, None),
+         ("xgboost", None, None, None, None, None, None, None, None, None, "boom")],
+        "model string, points long, mae double, rmse double, r2 double, mape double, wape double, bias double, "
+        "bias_percent double, training_time_sec double, error string")
+    tenants = spark.createDataFrame([("A",), ("B",)], "organization_id string")
+    reg = R.register_candidates(comp, None, tenants, ["f1", "f2"], {"random_forest": {"numTrees": 100}},
+                                "2026-01-01 00:00:00")
+    assert reg.count() == 4  # failed model not registered
+    assert sorted(r.version for r in reg.filter("organization_id = 'A'").collect()) == [1, 2]
+    best = R.best_candidate(reg).collect()
+    assert {r.algorithm for r in best} == {"random_forest"}
+    promoted = R.promote(reg, R.best_candidate(reg).select("organization_id", "version"), "2026-01-02 00:00:00")
+    ov = {r.organization_id: r for r in R.registry_overview(promoted, "2026-01-05").collect()}
+    assert ov["A"].active_algorithm == "random_forest" and ov["A"].versions == 2
+    assert ov["A"].needs_retrain is False  # 4 days old, not degraded
+    flagged = R.flag_degradation(promoted, promoted.filter("status = 'active' AND organization_id = 'B'"))
+    ovf = {r.organization_id: r for r in R.registry_overview(flagged, "2026-01-05").collect()}
+    assert ovf["B"].active_degraded is True and ovf["B"].needs_retrain is True
+
+
+def test_linear_attribution_sums_to_prediction(spark):
+    from tillsight.operators import models as G
+    df = spark.createDataFrame([("A", "I", "S", D(2026, 1, d), float(d), float(d % 3), 2.0 * d + 1.0 * (d % 3) + 5.0)
+                                for d in range(1, 25)],
+                               "organization_id string, item_id string, store_id string, date date, x1 double, "
+                               "x2 double, sales double")
+    m = G.fit_linear(df, ["x1", "x2"])
+    coefs = dict(zip(["x1", "x2"], map(float, m.coefficients.toArray())))
+    attr = G.linear_attribution(df, coefs, float(m.intercept))
+    tot = attr.groupBy("date", "base_value").agg(F.sum("attribution").alias("s")).join(
+        G.predict(m, df, ["x1", "x2"]).select("date", "pred"), "date").collect()
+    for r in tot:
+        assert r.base_value + r.s == pytest.approx(r.pred, abs=1e-6)
+
+
+def test_daily_recompute_over_ingested_tables(spark):
+    from tillsight.streaming import ingest as M
+    rows = [(f"2026-01-{d:02d}", f"P{p}", "S1", float(d + p), 2.0) for d in range(1, 29) for p in range(3)]
+    df = spark.createDataFrame(rows, "date string, sku string, store string, qty double, price double")
+    root = _root(spark)
+    I.ingest(spark, root, df, "A")
+    out = M.run_daily(spark, root)
+    assert out["decisions"].count() == 3
+    assert out["insights"].filter(F.col("insight_type") == "overall").count() == 1

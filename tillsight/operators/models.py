@@ -345,3 +345,11 @@ def dependence(attr: DataFrame, frame: DataFrame, feature: str, bins: int = 20,
         F.least(F.floor((F.col(feature) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))))
     return b.groupBy("bucket").agg(F.avg(feature).alias("feature_value"), F.avg("attribution").alias("mean_attribution"),
                                    F.count(F.lit(1)).alias("n"))
+
+
+def fit_linear(train: DataFrame, features: list[str], target: str = "sales"):
+    """A linear demand model (MLlib ``LinearRegression``, normal equations:
+    one distributed pass) whose attributions are exact (G16)."""
+    from pyspark.ml.regression import LinearRegression
+    lr = LinearRegression(featuresCol="features", labelCol=target, solver="normal", regParam=0.0)
+    return lr.fit(assemble(train, features).filter(F.col(target).isNotNull()))

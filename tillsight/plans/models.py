@@ -235,3 +235,13 @@ def a17(spark, sf):
     """Forecast header rows (A17) of the per-series baseline forecast."""
     _, hdr, _ = _matured(spark, sf)
     return hdr
+
+
+@query("g16_linear_attribution_top")
+def g16(spark, sf):
+    """Mean |attribution| per feature of a linear demand model, top 20 (rows only)."""
+    fe, feats = _features(spark, sf)
+    m = G.fit_linear(fe, feats)
+    coefs = dict(zip(feats, map(float, m.coefficients.toArray())))
+    attr = G.linear_attribution(fe, coefs, float(m.intercept))
+    return G.global_attribution(attr, 20)
