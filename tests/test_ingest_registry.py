@@ -163,11 +163,15 @@ def test_degradation_and_retrain(spark):
 def test_scan_is_pruned_and_no_python_in_hot_path(spark):
     import __spark_entry__ as E
     from tests.conftest import SF_SMALL
+    from tillsight.sources.tables import SalesTables
     df = E.queries()["h11_purchase_decisions"](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    scans = [ln for ln in plan.splitlines() if "lineitem" in ln]
-    assert scans and all("l_comment" not in ln and "l_returnflag" not in ln for ln in scans)
+    derive = SalesTables(spark, SF_SMALL, stored=False).fact()
+    dplan = derive._jdf.queryExecution().executedPlan().toString()
+    scans = [ln for ln in dplan.splitlines() if "lineitem" in ln]
+    assert scans and all("l_discount" not in ln and "l_returnflag" not in ln for ln in scans)
+    assert "BroadcastHashJoin" in dplan  # small dimensions broadcast after their counted bound
 
 
 def test_register_candidates_and_overview(spark):
