@@ -199,7 +199,7 @@ def last_vs_prior(df: DataFrame, keys: list[str], value: str, k: int, order: str
     what a short history means (NULL growth in the reference).
     """
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    r = df.withColumn("_rn", F.row_number().over(w))
+    r = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2 * k)
     return r.groupBy(*keys).agg(
         F.sum(F.when(F.col("_rn") <= k, F.col(value))).alias("last_sum"),
         F.sum(F.when((F.col("_rn") > k) & (F.col("_rn") <= 2 * k), F.col(value))).alias("prior_sum"),

@@ -276,7 +276,7 @@ def observed_growth(fact: DataFrame, keys: list[str], k: int = 28) -> DataFrame:
     """Sum of the last k observed daily totals vs the k before, per key (trap 2)."""
     d = daily(fact, keys)
     w = Window.partitionBy(*keys).orderBy(F.desc("date"))
-    r = d.withColumn("_rn", F.row_number().over(w))
+    r = d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2 * k)
     g = r.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(F.col("_rn") <= k, F.col("sales"))), F.lit(0.0)).alias("last_sum"),
         F.coalesce(F.sum(F.when((F.col("_rn") > k) & (F.col("_rn") <= 2 * k), F.col("sales"))), F.lit(0.0))
@@ -426,7 +426,10 @@ def item_row_growth(fact: DataFrame, k: int = 28) -> DataFrame:
     """Per item: sum of its last k rows minus the k rows before (rows ordered by
     date then store — row based, as in the reference)."""
     w = Window.partitionBy(ORG, "item_id").orderBy(F.desc("date"), F.desc("store_id"))
-    r = fact.withColumn("_rn", F.row_number().over(w))
+    # rows beyond 2k never count: the filter lets Spark keep only the top 2k rows
+    # per item in each task before the shuffle (WindowGroupLimit), so a hot item
+    # spanning every store never lands whole in one task
+    r = fact.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2 * k)
     return r.groupBy(ORG, "item_id").agg(
         (F.coalesce(F.sum(F.when(F.col("_rn") <= k, F.col("sales"))), F.lit(0.0))
          - F.coalesce(F.sum(F.when((F.col("_rn") > k) & (F.col("_rn") <= 2 * k), F.col("sales"))), F.lit(0.0)))

@@ -329,7 +329,7 @@ def top_changes(scen: DataFrame, k: int = 10) -> DataFrame:
 def stock_estimate(fact: DataFrame, window: int = 28) -> DataFrame:
     """H01 alone: ``max(1.5 × sum of the last 28 rows, 10)`` per series."""
     w = Window.partitionBy(*SERIES).orderBy(F.desc("date"))
-    r = fact.withColumn("_rn", F.row_number().over(w))
+    r = fact.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= window)
     return (r.groupBy(*SERIES)
              .agg(F.sum(F.when(F.col("_rn") <= window, F.col("sales"))).alias("recent_sum"))
              .select(*SERIES, F.greatest(F.col("recent_sum") * 1.5, F.lit(10.0)).alias("estimated_stock")))

@@ -152,9 +152,27 @@ def j07(spark, sf):
         F.col("c.change_pct").cast("double").alias("change_pct"))
 
 
-@query("j09_holiday_alerts_shifted")
+J09_SQL = with_fact(f"""
+WITH sdates AS (SELECT DISTINCT organization_id, CAST(date + INTERVAL 28 YEAR AS DATE) AS as_of FROM fact),
+yrs AS (SELECT DISTINCT organization_id, unnest([year(as_of), year(as_of) + 1]) AS year FROM sdates),
+{holiday_ctes()},
+up AS (
+  SELECT d.organization_id, d.as_of, h.name, h.holiday_date, date_diff('day', d.as_of, h.holiday_date) AS du
+  FROM sdates d JOIN hol h ON h.organization_id = d.organization_id AND h.holiday_date >= d.as_of
+   AND h.table_year IN (year(d.as_of), year(d.as_of) + 1)
+  QUALIFY row_number() OVER (PARTITION BY d.organization_id, d.as_of
+                             ORDER BY h.holiday_date, h.table_year, h.name) <= 10),
+ctx AS (SELECT *, '{{"date":"' || CAST(holiday_date AS VARCHAR) || '","days_until":"' || CAST(du AS VARCHAR)
+                  || '","holiday":"' || name || '"}}' AS context FROM up WHERE du BETWEEN 0 AND 7)
+SELECT organization_id, 'upcoming_holiday' AS alert_type, 'info' AS severity, 'Upcoming holiday: ' || name AS title,
+       name || ' is in ' || CAST(du AS VARCHAR) || ' days. Stock up early.' AS message, context,
+       organization_id || ':upcoming_holiday:' || context AS dedup_key
+FROM ctx""")
+
+
+@query("j09_holiday_alerts_shifted", J09_SQL)
 def j09(spark, sf):
-    """Upcoming-holiday alerts within 7 days of every shifted sales date (rows only)."""
+    """Upcoming-holiday alerts within 7 days of every shifted sales date."""
     f = sales_fact(spark, sf).withColumn("date", F.add_months("date", 336))
     dates = f.select(ORG, F.col("date").alias("as_of")).distinct()
     return A.holiday_alerts(dates)

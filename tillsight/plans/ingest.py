@@ -69,9 +69,20 @@ def a08(spark, sf):
     return out.select(ORG, "item_id", "store_id", "date", "sales", "revenue")
 
 
-@query("b02_validate_upload")
+@query("b02_validate_upload", """
+WITH e AS (SELECT ts, value FROM events WHERE event_type = 'purchase')
+SELECT COUNT(*) AS rows, COUNT(CASE WHEN ts IS NULL THEN 1 END) AS bad_dates,
+       CAST(MIN(ts) AS DATE) AS min_date, CAST(MAX(ts) AS DATE) AS max_date,
+       COUNT(CASE WHEN value IS NULL AND FALSE THEN 1 END) AS non_numeric_sales,
+       round(round(SUM(value), 2), 4) AS sales_sum, round(round(AVG(value), 2), 4) AS sales_mean,
+       round(round(MIN(value), 2), 4) AS sales_min, round(round(MAX(value), 2), 4) AS sales_max,
+       round(round(STDDEV_SAMP(value), 2), 4) AS sales_std, COUNT(CASE WHEN value < 0 THEN 1 END) AS negative_sales,
+       COUNT(CASE WHEN value IS NULL THEN 1 END) AS missing_sales,
+       true AS has_date, true AS has_sales, true AS has_item_id, false AS has_store_id, false AS has_sell_price,
+       COUNT(CASE WHEN value IS NULL AND FALSE THEN 1 END) < COUNT(*) AS is_valid
+FROM e""")
 def b02(spark, sf):
-    """Upload profile of the pushed rows (rows only)."""
+    """Upload profile (validation report) of the pushed rows."""
     return A.validate_upload(pushed_rows(spark, sf).drop("_ts", "event_id")).drop("warnings")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillsight.functions.core import ORG
+from tillsight.functions.core import ORG, round_half_away as rnd
 from tillsight.session import scratch_path
 
 # ---------------------------------------------------------------------------
@@ -116,9 +116,9 @@ def validate_upload(df: DataFrame) -> DataFrame:
     if has["sales"]:
         n = parse_number(F.col("sales"))
         aggs += [F.count(F.when(n.isNull() & F.col("sales").isNotNull(), 1)).alias("non_numeric_sales"),
-                 F.round(F.sum(n), 2).alias("sales_sum"), F.round(F.avg(n), 2).alias("sales_mean"),
-                 F.round(F.min(n), 2).alias("sales_min"), F.round(F.max(n), 2).alias("sales_max"),
-                 F.round(F.stddev_samp(n), 2).alias("sales_std"),
+                 rnd(F.sum(n), 2).alias("sales_sum"), rnd(F.avg(n), 2).alias("sales_mean"),
+                 rnd(F.min(n), 2).alias("sales_min"), rnd(F.max(n), 2).alias("sales_max"),
+                 rnd(F.stddev_samp(n), 2).alias("sales_std"),
                  F.count(F.when(n < 0, 1)).alias("negative_sales"),
                  F.count(F.when(F.col("sales").isNull(), 1)).alias("missing_sales")]
     out = d.agg(*aggs)
