@@ -150,7 +150,8 @@ def forecast_tables(forecast: DataFrame, model_type: str, created_at: str) -> tu
                                     F.countDistinct("date").alias("horizon_days"),
                                     F.min("date").alias("start_date"), F.max("date").alias("end_date"))
     hdr = hdr.withColumns({"header_id": F.concat_ws(":", F.col(ORG), F.lit(created_at)),
-                           "model_type": F.lit(model_type), "created_at": F.lit(created_at).cast("timestamp")})
+                           "model_type": F.lit(model_type),
+                           "created_at": F.lit(created_at).cast("timestamp_ntz")})
     det = forecast.join(hdr.select(ORG, "header_id"), ORG).select(
         "header_id", ORG, "item_id", "store_id", F.col("date").alias("forecast_date"), "predicted_sales")
     return hdr, det

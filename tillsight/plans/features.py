@@ -121,7 +121,50 @@ def e09(spark, sf):
     return E.price_features(sales_fact(spark, sf).select(*KEYS, "sell_price"))
 
 
-@query("e10_all_features")
+def _e10_sql() -> str:
+    lags = ", ".join(r4(f"lag(sales, {n}) OVER ({W})", f"sales_lag_{n}") for n in E.LAGS)
+    sp = season_sql("date")
+    t = f"CAST({season_value_sql('pakistan_season', 0, 25)} AS DOUBLE)"
+    h = f"CAST({season_value_sql('pakistan_season', 1, 50)} AS DOUBLE)"
+    r = f"CAST({season_value_sql('pakistan_season', 2, 5)} AS DOUBLE)"
+    return with_fact(f"""
+WITH w AS (
+  SELECT organization_id, item_id, store_id, category, date, {r4('sales', 'sales')}, {r4('sell_price', 'sell_price')},
+    {r4(f'sell_price - lag(sell_price, 1) OVER ({W})', 'price_change')},
+    {r4(f'sell_price - lag(sell_price, 7) OVER ({W})', 'price_momentum')}, {lags}, {_roll_sql()},
+    {r4('sell_price - avg(sell_price) OVER (PARTITION BY organization_id, item_id)', 'price_vs_avg')}
+  FROM fact),
+hf AS ({_f05_sql('fact')}),
+b AS (SELECT w.*, {sp} AS pakistan_season, hf.is_holiday, hf.days_to_holiday, hf.days_since_holiday,
+             hf.in_ramadan_window, hf.in_eid_window
+      FROM w JOIN hf USING (organization_id, date)),
+c AS (SELECT *, {t} AS temp_c, {h} AS humidity_pct, {r} AS rain_mm FROM b)
+SELECT *,
+  CAST(year(date) AS BIGINT) AS year, CAST(month(date) AS BIGINT) AS month, CAST(day(date) AS BIGINT) AS day,
+  CAST(isodow(date) - 1 AS BIGINT) AS dayofweek, CAST(dayofyear(date) AS BIGINT) AS dayofyear,
+  CAST(weekofyear(date) AS BIGINT) AS week, CAST(quarter(date) AS BIGINT) AS quarter,
+  CAST(isodow(date) >= 6 AS BIGINT) AS is_weekend, CAST(day(date) = 1 AS BIGINT) AS is_month_start,
+  CAST(date = last_day(date) AS BIGINT) AS is_month_end,
+  {', '.join(f"CAST(pakistan_season = '{x}' AS BIGINT) AS season_{x}" for x in _SEASONS)},
+  {r4('sin(2 * pi() * month(date) / 12)', 'month_sin')}, {r4('cos(2 * pi() * month(date) / 12)', 'month_cos')},
+  {r4('sin(2 * pi() * (isodow(date) - 1) / 7)', 'dow_sin')}, {r4('cos(2 * pi() * (isodow(date) - 1) / 7)', 'dow_cos')},
+  {r4('sin(2 * pi() * dayofyear(date) / 365)', 'doy_sin')}, {r4('cos(2 * pi() * dayofyear(date) / 365)', 'doy_cos')},
+  CAST(temp_c >= 35 AS BIGINT) AS is_extreme_heat, CAST(temp_c <= 10 AS BIGINT) AS is_cold_wave,
+  CAST(temp_c BETWEEN 20 AND 30 AS BIGINT) AS is_comfortable_temp,
+  CAST(humidity_pct >= 70 AS BIGINT) AS is_high_humidity, CAST(humidity_pct <= 30 AS BIGINT) AS is_low_humidity,
+  CAST(rain_mm > 5 AS BIGINT) AS is_rainy, CAST(rain_mm > 20 AS BIGINT) AS is_heavy_rain,
+  CAST(pakistan_season = 'Summer' AND temp_c >= 35 AS BIGINT) AS hot_summer,
+  CAST(pakistan_season = 'Winter' AND temp_c <= 10 AS BIGINT) AS cold_winter,
+  CAST(pakistan_season = 'Monsoon' AND rain_mm > 10 AS BIGINT) AS rainy_monsoon,
+  CAST(in_ramadan_window = 1 AND temp_c >= 35 AS BIGINT) AS hot_ramadan,
+  CAST(in_ramadan_window = 1 OR in_eid_window = 1 AS BIGINT) AS is_pre_holiday_shopping,
+  {r4('CASE WHEN days_to_holiday <= 30 THEN greatest(0, 1 - days_to_holiday / 30.0) ELSE 0 END', 'holiday_pressure')},
+  CAST(isodow(date) >= 6 AND pakistan_season = 'Summer' AS BIGINT) AS weekend_in_summer,
+  CAST(isodow(date) >= 6 AND pakistan_season = 'Winter' AS BIGINT) AS weekend_in_winter
+FROM c""")
+
+
+@query("e10_all_features", _e10_sql())
 def e10(spark, sf):
     """The full feature frame (E01-E09) for every fact row."""
     return E.all_features(sales_fact(spark, sf))
