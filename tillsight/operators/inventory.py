@@ -304,7 +304,8 @@ def what_if_deltas(summary: DataFrame) -> DataFrame:
     base = summary.filter(F.col("scenario_id") == 0).select(ORG, *[F.col(k).alias(f"_b_{k}") for k in KPI_COLUMNS])
     s = summary.filter(F.col("scenario_id") != 0).join(base, ORG)
     return s.select(ORG, "scenario_id", "scenario",
-                    *[rnd(F.col(k) - F.col(f"_b_{k}"), 2).alias(f"delta_{k}") for k in KPI_COLUMNS])
+                    *[(rnd(F.col(k) - F.col(f"_b_{k}"), 2) if k != "items_to_reorder"
+                       else F.col(k) - F.col(f"_b_{k}")).alias(f"delta_{k}") for k in KPI_COLUMNS])
 
 
 def top_changes(scen: DataFrame, k: int = 10) -> DataFrame:

@@ -17,9 +17,9 @@ from tillsight.sources.tables import SalesTables, sales_fact
 @query("j01_health_score", with_fact(f"""
 WITH a AS (
   SELECT organization_id, COUNT(*) AS total_rows,
-    SUM(CAST(item_id IS NULL AS BIGINT) + CAST(store_id IS NULL AS BIGINT) + CAST(date IS NULL AS BIGINT)
+    CAST(SUM(CAST(item_id IS NULL AS BIGINT) + CAST(store_id IS NULL AS BIGINT) + CAST(date IS NULL AS BIGINT)
         + CAST(sales IS NULL AS BIGINT) + CAST(sell_price IS NULL AS BIGINT) + CAST(category IS NULL AS BIGINT))
-      AS missing_cells,
+      AS BIGINT) AS missing_cells,
     COUNT(*) - COUNT(DISTINCT (date, item_id, store_id)) AS duplicates,
     CAST(date_diff('day', MIN(date), MAX(date)) + 1 - COUNT(DISTINCT date) AS BIGINT) AS date_gaps,
     CAST(SUM(CAST(sales < 0 AS BIGINT)) AS BIGINT) AS negative_sales,

@@ -180,7 +180,8 @@ f AS (SELECT *, dtr <= lead AS today,
 g AS (SELECT *, ooff + lead AS aoff,
          CASE WHEN dso < 365 AND dso < ooff + lead AND a > 0
               THEN greatest(0, floor(ooff + lead - dso)) * a * price ELSE 0.0 END AS loss FROM f)
-SELECT scenario_id, scenario, organization_id, item_id, store_id, as_of, current_stock,
+SELECT CAST(scenario_id AS BIGINT) AS scenario_id, scenario, organization_id, item_id, store_id, as_of,
+  current_stock,
   a AS avg_daily_demand, sd AS demand_std, ss AS safety_stock, rop AS reorder_point, q AS eoq,
   greatest(0, rop + a * lead - current_stock) AS recommended_order_qty, today AS order_today,
   CASE WHEN today OR dtr < 365 THEN CAST(as_of + to_days(CAST(ooff AS INTEGER)) AS DATE) END AS order_date,
@@ -255,7 +256,8 @@ def h13(spark, sf):
 
 @query("h14_what_if_deltas", _scen_sql(SUMMARY_TAIL + f"""
 SELECT s.organization_id, s.scenario_id, s.scenario,
-  {', '.join(f'round(s.{k} - b.{k}, 2) AS delta_{k}' for k in H.KPI_COLUMNS)}
+  {', '.join(f'round(s.{k} - b.{k}, 2) AS delta_{k}' if k != 'items_to_reorder'
+             else f's.{k} - b.{k} AS delta_{k}' for k in H.KPI_COLUMNS)}
 FROM summ s JOIN summ b ON b.organization_id = s.organization_id AND b.scenario_id = 0
 WHERE s.scenario_id <> 0"""))
 def h14(spark, sf):

@@ -165,7 +165,8 @@ acc AS (SELECT organization_id, horizon_days, item_id, store_id, COUNT(*) AS n,
           AVG(predicted_sales - sales) AS bias
         FROM j JOIN hz USING (organization_id) GROUP BY 1, 2, 3, 4)
 SELECT organization_id, horizon_days, {r4('AVG(mae)', 'mae')}, {r4('AVG(rmse)', 'rmse')}, {r4('AVG(mape)', 'mape')},
-       {r4('AVG(wape)', 'wape')}, {r4('AVG(bias)', 'bias')}, SUM(n) AS eval_points, COUNT(*) AS series
+       {r4('AVG(wape)', 'wape')}, {r4('AVG(bias)', 'bias')}, CAST(SUM(n) AS BIGINT) AS eval_points,
+       COUNT(*) AS series
 FROM acc GROUP BY 1, 2"""))
 def g23(spark, sf):
     """Accuracy summary by horizon per tenant."""
