@@ -108,7 +108,8 @@ def baseline_predict(model: DataFrame, rows: DataFrame, per_series: bool = False
 # -------------------------------------------------------------- MLlib models
 
 MODEL_SPECS = {
-    "random_forest": dict(kind="rf", numTrees=100, maxDepth=10, seed=42),
+    # maxMemoryInMB / cacheNodeIds only change how many tree nodes MLlib splits per pass
+    "random_forest": dict(kind="rf", numTrees=100, maxDepth=10, seed=42, maxMemoryInMB=1024, cacheNodeIds=True),
     "xgboost": dict(kind="gbt", maxIter=200, maxDepth=8, stepSize=0.1, seed=42),
     "lightgbm": dict(kind="gbt", maxIter=200, maxDepth=8, stepSize=0.1, seed=42, maxBins=255,
                      subsamplingRate=0.8),

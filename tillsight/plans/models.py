@@ -188,7 +188,7 @@ def g05(spark, sf):
 # of depth 8 take ~10 minutes even at sf0.01. ``MODEL_SPECS`` keeps the full
 # sizes as the operator defaults.
 LIGHT_SPECS = {
-    "random_forest": dict(kind="rf", numTrees=100, maxDepth=10, seed=42),
+    "random_forest": dict(kind="rf", numTrees=100, maxDepth=10, seed=42, maxMemoryInMB=1024, cacheNodeIds=True),
     "xgboost": dict(kind="gbt", maxIter=20, maxDepth=5, stepSize=0.1, seed=42),
     "lightgbm": dict(kind="gbt", maxIter=20, maxDepth=5, stepSize=0.1, seed=42, maxBins=255, subsamplingRate=0.8),
 }
