@@ -229,6 +229,27 @@ al AS (
 SELECT organization_id, alert_type, COUNT(*) AS n_alerts FROM al GROUP BY 1, 2""")
 
 
+J13_SQL = J12_SQL.replace(
+    "SELECT organization_id, alert_type, COUNT(*) AS n_alerts FROM al GROUP BY 1, 2", """
+SELECT organization_id, COUNT(*) AS open, COUNT(*) AS unread,
+  COUNT(CASE WHEN severity = 'critical' THEN 1 END) AS critical, COUNT(CASE WHEN severity = 'high' THEN 1 END) AS high,
+  COUNT(CASE WHEN severity = 'medium' THEN 1 END) AS medium, COUNT(CASE WHEN severity = 'low' THEN 1 END) AS low,
+  COUNT(CASE WHEN severity = 'info' THEN 1 END) AS info
+FROM al GROUP BY 1""").replace(
+    "SELECT organization_id, 'stockout_risk' AS alert_type FROM dec",
+    "SELECT organization_id, 'stockout_risk' AS alert_type, "
+    "CASE WHEN stockout_in_days <= 3 THEN 'critical' ELSE 'high' END AS severity FROM dec").replace(
+    "UNION ALL SELECT organization_id, 'overstock' FROM dec",
+    "UNION ALL SELECT organization_id, 'overstock', 'medium' FROM dec").replace(
+    "ELSE 'demand_drop' END\n    FROM chg",
+    "ELSE 'demand_drop' END,\n    CASE WHEN (recent - prior) / prior * 100 >= 40 THEN 'high' ELSE 'medium' END\n    FROM chg").replace(
+    "UNION ALL SELECT organization_id, 'store_performance' FROM sz",
+    "UNION ALL SELECT organization_id, 'store_performance', "
+    "CASE WHEN abs((rm - hm) / hs) > 3 THEN 'high' ELSE 'medium' END FROM sz").replace(
+    "UNION ALL SELECT organization_id, 'upcoming_holiday' FROM up",
+    "UNION ALL SELECT organization_id, 'upcoming_holiday', 'info' FROM up")
+
+
 @query("j12_alert_counts", J12_SQL)
 def j12(spark, sf):
     """All detectors for all tenants, deduped, counted by type (rows only)."""
@@ -237,9 +258,9 @@ def j12(spark, sf):
     return A.counts_by_type(alerts)
 
 
-@query("j13_alert_summary")
+@query("j13_alert_summary", J13_SQL)
 def j13(spark, sf):
-    """Open / unread / per-severity counts over a freshly detected alert table (rows only)."""
+    """Open / unread / per-severity counts over a freshly detected alert table."""
     t = SalesTables(spark, sf)
     table = A.to_table_rows(A.new_alerts(A.detect_all(t.fact(), _decisions(spark, sf, t)), None),
                             "2001-11-05 00:00:00")
