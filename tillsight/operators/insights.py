@@ -346,7 +346,8 @@ def product_intelligence(fact: DataFrame, accuracy: DataFrame | None = None) ->
               .groupBy(*keys).agg(F.min_by("m", F.struct(-F.col("_ma"), F.col("m"))).alias("peak_month")))
     hol = holiday_calendar(fact).select(ORG, F.col("holiday_date").alias("date")).distinct().withColumn("_h",
                                                                                                         F.lit(1))
-    hd = d.join(hol, [ORG, "date"], "left").withColumn("_h", F.coalesce("_h", F.lit(0)))
+    # at most 21 holidays per tenant-year: a bounded dimension, broadcast into the daily series
+    hd = d.join(F.broadcast(hol), [ORG, "date"], "left").withColumn("_h", F.coalesce("_h", F.lit(0)))
     hs = hd.groupBy(*keys).agg(F.sum("_h").alias("_nh"),
                                F.avg(F.when(F.col("_h") == 1, F.col("sales"))).alias("_ha"),
                                F.avg(F.when(F.col("_h") == 0, F.col("sales"))).alias("_ba"))
