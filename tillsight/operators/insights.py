@@ -310,7 +310,7 @@ def store_intelligence(fact: DataFrame, weather: DataFrame | None = None, top_k:
                  .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
                      F.col("_rk").alias("rank"), "item_id", "units",
                      (F.col("units") / F.col("_days")).alias("avg_daily")))).alias("best_products")))
-    wt = season_weather(d, "date", weather)
+    wt = season_weather(d, "date", weather)  # C07: daily totals with the day's weather (table or season defaults)
     corr = (wt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("temp_c").alias("_ts"),
                                   F.corr("sales", "temp_c").alias("_c"))
               .select(*keys, F.when((F.col("_n") >= 10) & (F.col("_ts") > 0), rnd(F.col("_c"), 2))

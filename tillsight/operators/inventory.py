@@ -109,7 +109,7 @@ def status_of(stock, ss, rop, q) -> Column:
 
 def recommendations(stats: DataFrame, policy: Policy = Policy(), multiplier=1.0, as_of=None,
                     overstock_days: int = 60) -> DataFrame:
-    """H06 (+H07, H08 columns): the inventory recommendation table per series.
+    """H06 (+H07, H08 columns; H10b: all series in one job): the inventory recommendation table per series.
 
     As in the reference, the lead time is always 7 days here (the request's
     lead time is not passed through) and EOQ uses default costs.

@@ -107,6 +107,7 @@ def baseline_predict(model: DataFrame, rows: DataFrame, per_series: bool = False
 
 # -------------------------------------------------------------- MLlib models
 
+# G02 random forest, G03 boosted trees "A", G04 boosted trees "B" (other bins / subsampling)
 MODEL_SPECS = {
     # maxMemoryInMB / cacheNodeIds only change how many tree nodes MLlib splits per pass
     "random_forest": dict(kind="rf", numTrees=100, maxDepth=10, seed=42, maxMemoryInMB=1024, cacheNodeIds=True),
@@ -208,7 +209,7 @@ def additive_design(daily: DataFrame, yearly_order: int = 10, weekly_order: int
 
 def additive_forecast(daily: DataFrame, horizon: int = 28, yearly_order: int = 10,
                       weekly_order: int = 3) -> DataFrame:
-    """Per tenant, least squares on trend + yearly + weekly Fourier terms of
+    """Per tenant, least squares on trend + yearly + weekly Fourier terms of
     the daily totals; fitted values for history, predictions for ``horizon``
     days after the last date, and a ±1.96 σ(residual) band.
 

@@ -1,0 +1,74 @@
+"""Sorts, limits, top-k and set operations (K01-K06, L01-L04) as reusable helpers.
+
+The operators above use these patterns inline; the helpers name them:
+
+* K01 multi-key sort: never a global sort — series order lives in the window
+  spec ``partitionBy(tenant, item, store).orderBy(date)`` (``features.series_window``).
+* K02 global top-k: ``orderBy(...).limit(k)`` (TakeOrderedAndProject), keys as tie-breakers.
+* K03 top-k per group / K04 last N observed: ``row_number() <= k``; Spark keeps
+  only k rows per group in each task before the shuffle (WindowGroupLimit).
+* K05 arg max / arg min: ``max_by`` / ``min_by`` on a struct ordering (ties -> smallest key).
+* K06 payload caps: optional ``limit`` parameters, off by default.
+* L01 union all: ``unionByName``; L02 set difference: ``left_anti``; L03 distinct:
+  ``select(...).distinct()``; L04 intersect (not used by the reference): ``intersect``.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def _cols(order) -> list:
+    return [order] if isinstance(order, (str, Column)) else list(order)
+
+
+def top_k(df: DataFrame, k: int, order, keys: list[str] | None = None, rank_col: str = "rank") -> DataFrame:
+    """K02 (no keys) / K03 (per group): the first k rows by ``order`` (include tie-breakers)."""
+    if not keys:
+        return df.orderBy(*_cols(order)).limit(k)
+    w = Window.partitionBy(*keys).orderBy(*_cols(order))
+    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
+
+
+def last_n(df: DataFrame, n: int, keys: list[str], date_col: str = "date") -> DataFrame:
+    """The last n observed dates of each group."""
+    return top_k(df, n, [F.desc(date_col)], keys, "_rn").drop("_rn")
+
+
+def arg_best(df: DataFrame, keys: list[str], value: str, by: str, largest: bool = True) -> DataFrame:
+    """The ``value`` at the max (or min) of ``by`` per group; ties -> smallest value."""
+    o = F.struct((-F.col(by)) if largest else F.col(by), F.col(value))
+    return df.groupBy(*keys).agg(F.min_by(value, o).alias(value), (F.max(by) if largest else F.min(by)).alias(by))
+
+
+def capped(df: DataFrame, limit: int | None) -> DataFrame:
+    """An optional payload cap (None = whole result)."""
+    return df if limit is None else df.limit(limit)
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    """Union by column name."""
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``a`` whose keys are not in ``b``."""
+    return a.join(b.select(*keys).distinct(), keys, "left_anti")
+
+
+def distinct_keys(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Distinct combinations (e.g. series, dates)."""
+    return df.select(*cols).distinct()
+
+
+def members(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``a`` whose keys are in ``b`` (semi join: ``b`` adds no columns or rows)."""
+    return a.join(b.select(*keys), keys, "left_semi")
+
+
+def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Set intersection (built in; the reference has none)."""
+    return a.intersect(b)

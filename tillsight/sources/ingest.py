@@ -217,7 +217,7 @@ def melt_sales(wide: DataFrame) -> DataFrame:
 
 
 def merge_sales(long: DataFrame, calendar: DataFrame, prices: DataFrame) -> DataFrame:
-    """Long sales ⟕ calendar on ``d`` ⟕ weekly prices on (store, item, week),
+    """Long sales ⟕ calendar on ``d`` ⟕ weekly prices on (store, item, week),
     then types cleaned. Calendar is small (one row per day); prices are joined
     by key (the planner broadcasts or shuffles by measured size)."""
     j = long.join(calendar, "d", "left").join(prices, ["store_id", "item_id", "wm_yr_wk"], "left")
@@ -379,7 +379,7 @@ def ingest(spark: SparkSession, root: str, df: DataFrame, organization_id, sourc
 
 
 def load_sales(spark: SparkSession, root: str, start=None, end=None, organization_id=None) -> DataFrame:
-    """A06 over ingested tables: sales ⋈ products, optional inclusive date range,
+    """A06 / C01 / B17 over ingested tables: sales ⋈ products, optional tenant and inclusive date range filters,
     ``sell_price = revenue / quantity`` (NULL when quantity is 0)."""
     s = spark.read.parquet(f"{root}/sales")
     if organization_id is not None:

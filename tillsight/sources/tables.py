@@ -64,7 +64,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def _line_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem ⋈ part ⋈ supplier ⋈ nation ⋈ region with canonical key names."""
+    """Lineitem ⋈ part ⋈ supplier ⋈ nation ⋈ region with canonical key names
+    (A03: a column-pruned scan — only the six needed lineitem columns are read)."""
     li = spread(read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"), "l_orderkey")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
