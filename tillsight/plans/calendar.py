@@ -317,10 +317,47 @@ def f16(spark, sf):
     return K.seasonal_product_alerts(product_dim(spark, sf, fact), tenant_as_of(fact))
 
 
-@query("f17_date_context")
+def _f17_sql() -> str:
+    sm = ("CASE season WHEN 'Summer' THEN 1.15 WHEN 'Monsoon' THEN 1.05 WHEN 'Winter' THEN 1.10 "
+          "ELSE 1.0 END")
+    return with_fact(f"""
+WITH {ASOF},
+yrs AS (SELECT organization_id, unnest([year(as_of), year(as_of) + 1]) AS year FROM tenant_asof),
+{holiday_ctes()},
+today AS (SELECT a.organization_id, h.name AS holiday_name FROM tenant_asof a JOIN hol h
+          ON h.organization_id = a.organization_id AND h.holiday_date = a.as_of AND h.table_year = year(a.as_of)),
+pre AS (
+  SELECT a.organization_id, h.name AS pre_holiday_name, h.demand_multiplier AS hm
+  FROM tenant_asof a JOIN hol h ON h.organization_id = a.organization_id AND h.pre_days > 0
+   AND a.as_of >= h.holiday_date - to_days(CAST(h.pre_days AS INTEGER)) AND a.as_of < h.holiday_date
+  QUALIFY row_number() OVER (PARTITION BY a.organization_id ORDER BY h.holiday_date, h.table_year, h.name) = 1),
+nxt AS (
+  SELECT organization_id, string_agg(name || '@' || CAST(holiday_date AS VARCHAR) || '+' || CAST(du AS VARCHAR), '; '
+                                     ORDER BY rk) AS next_holidays
+  FROM (SELECT a.organization_id, h.name, h.holiday_date, date_diff('day', a.as_of, h.holiday_date) AS du,
+               row_number() OVER (PARTITION BY a.organization_id ORDER BY h.holiday_date, h.table_year, h.name) AS rk
+        FROM tenant_asof a JOIN hol h ON h.organization_id = a.organization_id AND h.holiday_date >= a.as_of)
+  WHERE rk <= 3 GROUP BY 1),
+b AS (SELECT a.organization_id, a.as_of, {C.season_sql('a.as_of')} AS season, t.holiday_name,
+             p.pre_holiday_name, COALESCE(p.hm, 1.0) AS hm, n.next_holidays
+      FROM tenant_asof a LEFT JOIN today t USING (organization_id) LEFT JOIN pre p USING (organization_id)
+      LEFT JOIN nxt n USING (organization_id)),
+c AS (SELECT *, CAST({season_value_sql('season', 0, 25)} AS DOUBLE) AS temp_c, {sm} AS sm FROM b)
+SELECT organization_id, as_of, holiday_name, season,
+  round(CAST(CASE WHEN sm > 1.0 THEN sm ELSE 1.0 END * hm *
+        CASE WHEN temp_c >= 35 THEN 1.2 WHEN temp_c <= 10 THEN 1.15 ELSE 1.0 END AS DOUBLE), 2) AS multiplier,
+  pre_holiday_name, temp_c, CAST({season_value_sql('season', 1, 50)} AS DOUBLE) AS humidity_pct,
+  {season_value_sql('season', 3, 'Clear')} AS weather_condition, next_holidays,
+  holiday_name IS NOT NULL AS is_holiday
+FROM c""")
+
+
+@query("f17_date_context", _f17_sql())
 def f17(spark, sf):
     """One context record per tenant: holiday, season, weather, window, multiplier, next holidays."""
-    return K.date_context(tenant_as_of(sales_fact(spark, sf)))
+    c = K.date_context(tenant_as_of(sales_fact(spark, sf)))
+    return c.withColumn("next_holidays", F.array_join(F.transform("next_holidays", lambda x: F.concat(
+        x["name"], F.lit("@"), x["holiday_date"].cast("string"), F.lit("+"), x["days_until"].cast("string"))), "; "))
 
 
 # Keep the read helper referenced for the events-driven variants added later.
