@@ -170,7 +170,28 @@ def e10(spark, sf):
     return E.all_features(sales_fact(spark, sf))
 
 
-@query("e11_feature_selection")
+# Numeric columns of the E10 frame in the order the operator produces them (feature positions).
+E10_FEATURES = (
+    ["sell_price", "price_change", "price_momentum"] + [f"sales_lag_{n}" for n in E.LAGS]
+    + [f"sales_rolling_{k}_{n}" for n in E.WINDOWS for k in ("mean", "std", "max", "min")]
+    + ["price_vs_avg", "year", "month", "day", "dayofweek", "dayofyear", "week", "quarter", "is_weekend",
+       "is_month_start", "is_month_end"] + [f"season_{x}" for x in _SEASONS]
+    + ["month_sin", "month_cos", "dow_sin", "dow_cos", "doy_sin", "doy_cos", "temp_c", "humidity_pct", "rain_mm",
+       "is_extreme_heat", "is_cold_wave", "is_comfortable_temp", "is_high_humidity", "is_low_humidity", "is_rainy",
+       "is_heavy_rain", "is_holiday", "days_to_holiday", "days_since_holiday", "in_ramadan_window", "in_eid_window",
+       "hot_summer", "cold_winter", "rainy_monsoon", "hot_ramadan", "is_pre_holiday_shopping", "holiday_pressure",
+       "weekend_in_summer", "weekend_in_winter"])
+
+
+def _e11_sql() -> str:
+    aggs = ", ".join(f"COUNT({c}) AS {c}__n, MIN({c}) < MAX({c}) AS {c}__v" for c in E10_FEATURES)
+    rows = " UNION ALL ".join(
+        f"SELECT CAST({i} AS BIGINT) AS position, '{c}' AS feature, {c}__n AS n_non_null, {c}__v AS varies, "
+        f"({c}__n > 0 AND COALESCE({c}__v, false)) AS selected FROM agg" for i, c in enumerate(E10_FEATURES))
+    return f"WITH e10 AS ({_e10_sql()}), agg AS (SELECT {aggs} FROM e10)\n{rows}"
+
+
+@query("e11_feature_selection", _e11_sql())
 def e11(spark, sf):
     """Which numeric columns of the full feature frame qualify as model features."""
     return E.feature_profile(E.all_features(sales_fact(spark, sf)))
