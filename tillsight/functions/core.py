@@ -89,6 +89,15 @@ def tenant_as_of(df: DataFrame, as_of=None, date_col: str = "date", name: str =
 BROADCAST_MAX_ROWS = 1_000_000
 
 
+def quantile(c, q: float, exact: bool = True) -> Column:
+    """Linear-interpolated quantile (``percentile``, as pandas / ``quantile_cont``).
+    Its buffer holds each distinct value with a count, so memory grows with the
+    number of distinct values in a group; ``exact=False`` switches to the
+    bounded-memory sketch (``percentile_approx``, accuracy 10 000) for groups
+    with very many distinct values."""
+    return F.percentile(c, q) if exact else F.percentile_approx(c, q, 10000).cast("double")
+
+
 def per_tenant(df: DataFrame) -> DataFrame:
     """Broadcast a frame that holds one row per tenant (per-tenant dates,
     quantiles, ranges, flags). Its size is bounded by the number of tenants —

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.functions.calendar import season, weekday0
-from tillsight.functions.core import ORG, per_tenant, safe_div
+from tillsight.functions.core import ORG, per_tenant, quantile, safe_div
 
 DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
@@ -137,7 +137,7 @@ def event_uplift(frame: DataFrame, flag: str = "is_holiday") -> DataFrame:
                         (safe_div("avg_with_event", "avg_without_event") - 1) * 100)
 
 
-def describe(frame: DataFrame, columns: list[str]) -> DataFrame:
+def describe(frame: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
     """Per tenant and column: count, nulls, mean, sample std, min, quartiles, max.
 
     One aggregation pass: the frame is unpivoted to (column, value) rows and
@@ -151,9 +151,9 @@ def describe(frame: DataFrame, columns: list[str]) -> DataFrame:
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
-        F.percentile("value", 0.25).alias("q25"),
-        F.percentile("value", 0.5).alias("q50"),
-        F.percentile("value", 0.75).alias("q75"),
+        quantile("value", 0.25, exact).alias("q25"),
+        quantile("value", 0.5, exact).alias("q50"),
+        quantile("value", 0.75, exact).alias("q75"),
         F.max("value").alias("max"))
 
 
@@ -176,10 +176,10 @@ def price_histogram(fact: DataFrame, bins: int = 50, column: str = "sell_price")
                      (F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_end"), "count"))
 
 
-def iqr_outliers(fact: DataFrame, k: float = 1.5, column: str = "sales") -> DataFrame:
+def iqr_outliers(fact: DataFrame, k: float = 1.5, column: str = "sales", exact: bool = True) -> DataFrame:
     """Rows outside [Q1 - k·IQR, Q3 + k·IQR] per tenant: count, %, describe."""
-    q = fact.groupBy(ORG).agg(F.percentile(column, 0.25).alias("q1"),
-                              F.percentile(column, 0.75).alias("q3"),
+    q = fact.groupBy(ORG).agg(quantile(column, 0.25, exact).alias("q1"),
+                              quantile(column, 0.75, exact).alias("q3"),
                               F.count(F.lit(1)).alias("n_rows"))
     f = fact.select(ORG, column).join(per_tenant(q), ORG)
     iqr = F.col("q3") - F.col("q1")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.functions.core import ORG, per_tenant
+from tillsight.functions.core import ORG, per_tenant, quantile
 
 FRAME_COLUMNS = ["item_id", "store_id", "date", "sales", "sell_price", "category"]
 
@@ -31,7 +31,7 @@ def calendar_gaps(daily: DataFrame) -> DataFrame:
     return cal.join(daily.select(ORG, "date"), [ORG, "date"], "left_anti")
 
 
-def health_score(fact: DataFrame, columns: list[str] = FRAME_COLUMNS) -> DataFrame:
+def health_score(fact: DataFrame, columns: list[str] = FRAME_COLUMNS, exact: bool = True) -> DataFrame:
     """0-100 score per tenant from missing cells, duplicates, day gaps,
     negative sales and price anomalies (fail −20, warn −8)."""
     cols = [c for c in columns if c in fact.columns]
@@ -41,7 +41,7 @@ def health_score(fact: DataFrame, columns: list[str] = FRAME_COLUMNS) -> DataFra
         F.sum(nulls).alias("missing_cells"),
         F.countDistinct("date", "item_id", "store_id").alias("_distinct_keys"),
         F.sum((F.col("sales") < 0).cast("bigint")).alias("negative_sales"),
-        F.percentile("sell_price", 0.5).alias("_median_price"),
+        quantile("sell_price", 0.5, exact).alias("_median_price"),
         F.min("date").alias("min_date"), F.max("date").alias("max_date"),
         F.countDistinct("date").alias("_n_days"))
     p = fact.select(ORG, "sell_price").join(per_tenant(a.select(ORG, "_median_price")), ORG)
