@@ -213,4 +213,4 @@ def taken(takes: Column) -> Column:
 
 def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its n-th word."""
-    return F.regexp_extract(text, F.concat(F.lit(r"^([\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){0,"), n.cast("string"), F.lit("})")), 1)
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, n), "")

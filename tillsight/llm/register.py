@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import dac, jaccard, line_dedup, mix, packing, quality, secrets
+from tillsight.llm import dac, jaccard, language, line_dedup, mix, mtree, packing, quality, secrets, viterbi
 from tillsight.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,6 +31,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, factor=256.0)
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), threshold=0.8, size=5).drop("text_key")
 
@@ -48,11 +52,22 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.span_list(F.col("found")).alias("spans"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = mix.mix(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "size", "source_size", "target", mix.taken(F.col("takes")).alias("taken"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
+    model = language.fit(docs, ~held_out)
+    return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages", "shares")
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, f"llm-ids-{uuid.uuid4().hex}")
     dac.write(table(spark, sf_dir, "documents"), path, tokenizer())
@@ -89,6 +104,16 @@ SELECT r, {order} AS o, '{kind}' AS kind, s AS b, s + length(m) AS e FROM (
 
 
 _ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 OP5_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 s AS ({_spans_sql(0, 'assign', _ASSIGN, "length(regexp_extract(m, '" + _ASSIGN.replace("'", "''") + "', 2)) >= 12")}
@@ -106,8 +131,8 @@ FROM d LEFT JOIN f USING (r)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op3_jaccard_join, op4_quality_rules, op5_secret_scan, op7_source_mix, op9_token_ids, op10_pack)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_top_k, op3_jaccard_join, op4_quality_rules, op5_secret_scan, op6_token_counts, op7_source_mix, op8_language, op9_token_ids, op10_pack)}
 
 
 def oracles() -> dict:
-    return {"op1_line_dedup": OP1_SQL, "op5_secret_scan": OP5_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_top_k": OP2_SQL, "op5_secret_scan": OP5_SQL}
