@@ -205,7 +205,9 @@ def _decision_columns(p: dict, multiplier) -> list:
     dtr = F.when(avg > 0, (stock - rop) / avg).otherwise(F.lit(NO_DEMAND_DAYS))
     dso = F.when(avg > 0, stock / avg).otherwise(F.lit(NO_DEMAND_DAYS))
     today = dtr <= lead
-    order_off = F.when(today, F.lit(0)).otherwise(F.least(F.floor(dtr), F.lit(3_000_000)).cast("int"))
+    order_off = F.when(today, F.lit(0).cast("bigint")).otherwise(F.floor(dtr))
+    last_off = F.datediff(F.lit("9999-12-31").cast("date"), F.col("as_of"))
+    on = lambda off: F.when(off <= last_off, F.date_add("as_of", off.cast("int")))  # noqa: E731 - NULL: no such date
     arrival_off = order_off + lead
     has_so = dso < HORIZON_DAYS
     price = F.when(F.col("last_price").isNull() | (F.col("last_price") == 0), p["unit_cost"]) \
@@ -222,8 +224,8 @@ def _decision_columns(p: dict, multiplier) -> list:
         avg.alias("avg_daily_demand"), sd.alias("demand_std"), ss.alias("safety_stock"),
         rop.alias("reorder_point"), q.alias("eoq"), qty.alias("recommended_order_qty"),
         today.alias("order_today"),
-        F.when(today | (dtr < HORIZON_DAYS), F.date_add("as_of", order_off)).alias("order_date"),
-        F.date_add("as_of", arrival_off).alias("arrival_date"),
+        F.when(today | (dtr < HORIZON_DAYS), on(order_off)).alias("order_date"),
+        on(arrival_off).alias("arrival_date"),
         F.when(has_so, rnd(dso, 1)).alias("stockout_in_days"),
         F.when(has_so, F.date_add("as_of", F.floor(dso).cast("int"))).alias("stockout_date"),
         status_of(stock, ss, rop, q).alias("status"),
@@ -257,19 +259,36 @@ def purchase_decisions(stats: DataFrame, policy: Policy = Policy(), multiplier=1
     return b.select(*SERIES, "as_of", "current_stock", *_decision_columns(_policy_cols(policy), multiplier))
 
 
+def _units(c: str, digits: int):
+    """Σ of a column rounded to ``digits`` decimals, as a whole number of its last
+    decimal: the same in any order of summation."""
+    return F.sum(F.round(F.col(c) * 10 ** digits).cast("bigint"))
+
+
+def _mean_units(c: str, digits: int):
+    """The mean of a non-negative rounded column, half up, in whole units of its last decimal."""
+    n = F.count(c)
+    return F.floor((_units(c, digits) * 2 + n) / F.nullif(n * 2, F.lit(0)))
+
+
 def financial_summary(decisions: DataFrame, keys=(ORG,)) -> DataFrame:
-    """Financial KPIs (order value = Σ qty × mean price, as in the reference)."""
-    a = decisions.groupBy(*keys).agg(
-        rnd(F.sum("inventory_value"), 2).alias("total_inventory_value"),
-        rnd(F.sum("overstock_capital"), 2).alias("total_overstock_capital"),
-        rnd(F.sum("stockout_revenue_loss"), 2).alias("total_stockout_loss_risk"),
-        rnd(F.sum("carrying_cost"), 2).alias("total_carrying_cost"),
-        rnd(F.sum("potential_savings"), 2).alias("total_potential_savings"),
-        rnd(F.sum("recommended_order_qty") * F.avg("unit_price"), 2).alias("total_recommended_order_value"),
-        rnd(F.avg("inventory_turnover"), 2).alias("avg_inventory_turnover"),
-        rnd(F.avg("days_of_inventory"), 1).alias("avg_days_of_inventory"),
+    """Financial KPIs (order value = Σ qty × mean price, as in the reference).
+
+    Money is summed as whole cents (quantities and prices as whole 1/10,000), so
+    no KPI depends on how the rows are partitioned.
+    """
+    order_value = (_units("recommended_order_qty", 4).cast("double") * _units("unit_price", 4).cast("double")
+                   / (F.count("unit_price") * F.lit(1e8)))
+    return decisions.groupBy(*keys).agg(
+        (_units("inventory_value", 2) / 100).alias("total_inventory_value"),
+        (_units("overstock_capital", 2) / 100).alias("total_overstock_capital"),
+        (_units("stockout_revenue_loss", 2) / 100).alias("total_stockout_loss_risk"),
+        (_units("carrying_cost", 2) / 100).alias("total_carrying_cost"),
+        (_units("potential_savings", 2) / 100).alias("total_potential_savings"),
+        rnd(order_value, 2).alias("total_recommended_order_value"),
+        (_mean_units("inventory_turnover", 2) / 100).alias("avg_inventory_turnover"),
+        (_mean_units("days_of_inventory", 1) / 10).alias("avg_days_of_inventory"),
         F.count(F.when(F.col("recommended_order_qty") > 0, 1)).alias("items_to_reorder"))
-    return a
 
 
 def scenario_decisions(stats: DataFrame, scenarios: list[Policy], multiplier=1.0, as_of=None) -> DataFrame:

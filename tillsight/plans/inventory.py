@@ -185,7 +185,7 @@ SELECT CAST(scenario_id AS BIGINT) AS scenario_id, scenario, organization_id, it
   a AS avg_daily_demand, sd AS demand_std, ss AS safety_stock, rop AS reorder_point, q AS eoq,
   greatest(0, rop + a * lead - current_stock) AS recommended_order_qty, today AS order_today,
   CASE WHEN today OR dtr < 365 THEN CAST(as_of + to_days(CAST(ooff AS INTEGER)) AS DATE) END AS order_date,
-  CAST(as_of + to_days(CAST(aoff AS INTEGER)) AS DATE) AS arrival_date,
+  CASE WHEN aoff <= date_diff('day', as_of, DATE '9999-12-31') THEN CAST(as_of + to_days(CAST(aoff AS INTEGER)) AS DATE) END AS arrival_date,
   CASE WHEN dso < 365 THEN round(dso, 1) END AS stockout_in_days,
   CASE WHEN dso < 365 THEN CAST(as_of + to_days(CAST(floor(dso) AS INTEGER)) AS DATE) END AS stockout_date,
   CASE WHEN current_stock < ss THEN 'CRITICAL' WHEN current_stock < rop THEN 'LOW'
@@ -218,15 +218,26 @@ def h11(spark, sf):
     return H.purchase_decisions(_stats(spark, sf))
 
 
+def _cents(c: str, name: str) -> str:
+    """A sum of money in DECIMAL, independent of the order of the rows."""
+    return f"CAST(SUM(CAST({c} AS DECIMAL(28, 2))) AS DOUBLE) AS {name}"
+
+
+KPI_SQL = f"""{_cents('inventory_value', 'total_inventory_value')},
+  {_cents('overstock_capital', 'total_overstock_capital')}, {_cents('stockout_revenue_loss', 'total_stockout_loss_risk')},
+  {_cents('carrying_cost', 'total_carrying_cost')}, {_cents('potential_savings', 'total_potential_savings')},
+  round(CAST(SUM(CAST(round(recommended_order_qty * 10000) AS BIGINT)) AS DOUBLE)
+        * CAST(SUM(CAST(round(unit_price * 10000) AS BIGINT)) AS DOUBLE) / (COUNT(unit_price) * 1e8), 2) AS total_recommended_order_value,
+  floor((SUM(CAST(round(inventory_turnover * 100) AS BIGINT)) * 2 + COUNT(inventory_turnover)) / (COUNT(inventory_turnover) * 2)) / 100
+    AS avg_inventory_turnover,
+  floor((SUM(CAST(round(days_of_inventory * 10) AS BIGINT)) * 2 + COUNT(days_of_inventory)) / (COUNT(days_of_inventory) * 2)) / 10
+    AS avg_days_of_inventory,
+  COUNT(CASE WHEN recommended_order_qty > 0 THEN 1 END) AS items_to_reorder"""
+
+
 @query("h12_financial_summary", with_fact(f"""
 WITH dec AS ({_dec_sql(STATS_STOCK, SCENARIOS[:1])})
-SELECT organization_id, round(SUM(inventory_value), 2) AS total_inventory_value,
-  round(SUM(overstock_capital), 2) AS total_overstock_capital,
-  round(SUM(stockout_revenue_loss), 2) AS total_stockout_loss_risk,
-  round(SUM(carrying_cost), 2) AS total_carrying_cost, round(SUM(potential_savings), 2) AS total_potential_savings,
-  round(SUM(recommended_order_qty) * AVG(unit_price), 2) AS total_recommended_order_value,
-  round(AVG(inventory_turnover), 2) AS avg_inventory_turnover, round(AVG(days_of_inventory), 1) AS avg_days_of_inventory,
-  COUNT(CASE WHEN recommended_order_qty > 0 THEN 1 END) AS items_to_reorder
+SELECT organization_id, {KPI_SQL}
 FROM dec GROUP BY organization_id"""))
 def h12(spark, sf):
     """Financial KPIs of the purchase decisions per tenant."""
@@ -238,13 +249,7 @@ def _scen_sql(tail: str) -> str:
 
 
 SUMMARY_TAIL = """, summ AS (
-SELECT organization_id, scenario_id, scenario, round(SUM(inventory_value), 2) AS total_inventory_value,
-  round(SUM(overstock_capital), 2) AS total_overstock_capital,
-  round(SUM(stockout_revenue_loss), 2) AS total_stockout_loss_risk,
-  round(SUM(carrying_cost), 2) AS total_carrying_cost, round(SUM(potential_savings), 2) AS total_potential_savings,
-  round(SUM(recommended_order_qty) * AVG(unit_price), 2) AS total_recommended_order_value,
-  round(AVG(inventory_turnover), 2) AS avg_inventory_turnover, round(AVG(days_of_inventory), 1) AS avg_days_of_inventory,
-  COUNT(CASE WHEN recommended_order_qty > 0 THEN 1 END) AS items_to_reorder
+SELECT organization_id, scenario_id, scenario, """ + KPI_SQL + """
 FROM dec GROUP BY organization_id, scenario_id, scenario)"""
 
 
