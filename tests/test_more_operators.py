@@ -102,10 +102,12 @@ def test_snapshot_and_report_payloads(spark):
     fact = t.fact()
     dec = H.purchase_decisions(H.series_stats(fact, t.stock()))
     fin = H.financial_summary(dec)
-    snap = INS.business_snapshot(fact, dec, fin, INS.store_intelligence(fact), INS.product_intelligence(fact))
+    snap = INS.business_snapshot(fact, dec, fin, INS.store_intelligence(fact), INS.product_intelligence(fact), top_k=12)
     assert set(snap) >= {"sales", "financials", "top_reorder_items", "stockout_risks", "stores", "products"}
     assert snap["top_reorder_items"].groupBy("organization_id").count().agg(F.max("count")).first()[0] <= 12
-    rep = INS.report_payload(fact, dec, fin)
+    whole = INS.business_snapshot(fact, dec, fin, INS.store_intelligence(fact), INS.product_intelligence(fact))
+    assert whole["top_reorder_items"].count() == dec.count()  # no cap unless asked for
+    rep = INS.report_payload(fact, dec, fin, max_decisions=200)
     assert rep["summary"].count() == fact.select("organization_id").distinct().count()
     assert rep["decisions"].groupBy("organization_id").count().agg(F.max("count")).first()[0] <= 200
 
@@ -122,18 +124,3 @@ def test_holiday_distances_brute_force(spark):
         nxt = next((k for k in range(0, 91) if d + dt.timedelta(days=k) in hs), 30)
         prv = next((k for k in range(0, 91) if d - dt.timedelta(days=k) in hs), 30)
         assert (r.days_to_holiday, r.days_since_holiday) == (nxt, prv)
-
-
-def test_relational_helpers(spark):
-    from tillsight.operators import relational as RL
-    df = spark.createDataFrame([("A", "x", 3.0), ("A", "y", 5.0), ("A", "z", 5.0), ("B", "x", 1.0)],
-                               "organization_id string, item_id string, units double")
-    top = RL.top_k(df, 1, [F.desc("units"), "item_id"], ["organization_id"]).collect()
-    assert sorted((r.organization_id, r.item_id) for r in top) == [("A", "y"), ("B", "x")]
-    best = {r.organization_id: r.item_id for r in RL.arg_best(df, ["organization_id"], "item_id", "units").collect()}
-    assert best == {"A": "y", "B": "x"}
-    assert RL.union_all([df, df]).count() == 8
-    assert RL.difference(df, df.filter("item_id = 'x'"), ["item_id"]).count() == 2
-    assert RL.members(df, df.filter("item_id = 'x'"), ["item_id"]).count() == 2
-    assert RL.intersect(df, df.filter("units > 2")).count() == 3
-    assert RL.capped(df, None).count() == 4 and RL.capped(df, 2).count() == 2

@@ -132,7 +132,7 @@ SEASONAL_PRODUCT_DEMAND = {
          "samosa", "medicine", "cold relief", "cough syrup",
          "umbrella", "raincoat", "towel", "soap", "detergent"],
         ["ice cream", "cold drink", "sunblock", "sunglasses"],
-        "\U0001f327️ Monsoon season — stock umbrellas, raincoats, hot beverages, and snacks.",
+        "🌧️ Monsoon season — stock umbrellas, raincoats, hot beverages, and snacks.",
     ),
     "Winter": (
         ["tea", "coffee", "green tea", "kashmiri chai", "soup",
@@ -145,12 +145,12 @@ SEASONAL_PRODUCT_DEMAND = {
     "Spring": (
         ["juice", "fresh fruit", "yogurt", "salad", "green vegetable"],
         [],
-        "\U0001f338 Spring — focus on fresh produce, dairy, and light beverages.",
+        "🌸 Spring — focus on fresh produce, dairy, and light beverages.",
     ),
     "Autumn": (
         ["tea", "coffee", "soup", "dry fruit", "nuts"],
         ["ice cream", "cold drink"],
-        "\U0001f342 Autumn — mild demand for warm beverages and dry fruits.",
+        "🍂 Autumn — mild demand for warm beverages and dry fruits.",
     ),
 }
 SUMMER_HEAT_THRESHOLD = 35
@@ -263,14 +263,14 @@ def extreme_weather_advice(temp, season_col, humidity, condition, rain) -> Colum
     tf = F.format_number(t, 0)
     parts = F.filter(F.array(
         F.when(t >= SUMMER_HEAT_THRESHOLD, F.concat(
-            F.lit("\U0001f525 Extreme heat ("), F.format_string("%.0f", t.cast("double")),
+            F.lit("🔥 Extreme heat ("), F.format_string("%.0f", t.cast("double")),
             F.lit("°C) — high demand for cold drinks, water, ice cream."))),
         F.when(t <= WINTER_COLD_THRESHOLD, F.concat(
             F.lit("❄️ Cold wave ("), F.format_string("%.0f", t.cast("double")),
             F.lit("°C) — stock up on tea, coffee, soups, warm clothing."))),
         F.when((r > 10) | cond.contains("rain"),
-               F.lit("\U0001f327️ Heavy rain — umbrellas, raincoats, indoor snacks will see higher demand.")),
-        F.when(h > 80, F.lit("\U0001f4a7 High humidity — beverages and cold drinks may see increased demand.")),
+               F.lit("🌧️ Heavy rain — umbrellas, raincoats, indoor snacks will see higher demand.")),
+        F.when(h > 80, F.lit("💧 High humidity — beverages and cold drinks may see increased demand.")),
     ), lambda x: x.isNotNull())
     del tf
     season_adv = seasonal_advice(season_col)

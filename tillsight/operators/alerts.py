@@ -84,12 +84,11 @@ def demand_change_alerts(fact: DataFrame, spike_pct: float = 40.0, drop_pct: flo
 
 
 def degradation_flag(registry: DataFrame) -> Column:
-    """Live WAPE > 1.25 × eval WAPE, or |bias| / |live WAPE| > 0.15."""
-    lw, w, b = F.col("live_wape"), F.col("wape"), F.col("live_bias")
-    ratio = F.when(lw.isNotNull() & w.isNotNull() & (w > 0), lw > w * 1.25).otherwise(F.lit(False))
-    bias = F.when(b.isNotNull() & lw.isNotNull() & (F.abs(lw) > 0), F.abs(b) / F.abs(lw) > 0.15) \
-            .otherwise(F.lit(False))
-    return ratio | bias
+    """False unless both WAPEs are known; then live WAPE > 1.25 × eval WAPE, or
+    |bias| > 0.15 × |live WAPE| (× 1 when the live WAPE is 0; a missing bias is 0)."""
+    lw, w, b = F.col("live_wape"), F.col("wape"), F.abs(F.coalesce("live_bias", F.lit(0.0)))
+    scale = F.when(lw == 0, F.lit(1.0)).otherwise(F.abs(lw))
+    return F.coalesce((lw > w * 1.25) | (w.isNotNull() & (b / scale > 0.15)), F.lit(False))
 
 
 def degradation_alerts(registry: DataFrame) -> DataFrame:

@@ -20,7 +20,8 @@ INSIGHT_COLUMNS = [ORG, "insight_type", "insight_text", "category", "severity"]
 DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 DAY_ABBR = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 MONTH_ABBR = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
-SEASON_EMOJI = {"Spring": "\U0001f338", "Summer": "☀️", "Monsoon": "\U0001f327️", "Autumn": "\U0001f342",
+# Fixed values that must equal the reference's.
+SEASON_EMOJI = {"Spring": "🌸", "Summer": "☀️", "Monsoon": "🌧️", "Autumn": "🍂",
                 "Winter": "❄️"}
 
 
@@ -264,8 +265,10 @@ def insights(fact: DataFrame, weather: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def latest_insights(table: DataFrame, n: int = 50) -> DataFrame:
-    """A18 / I10 daily job: the newest ``n`` insight rows per tenant."""
+def latest_insights(table: DataFrame, n: int | None = None) -> DataFrame:
+    """A18 / I10 daily job: the insight rows per tenant (the newest ``n`` if given)."""
+    if n is None:
+        return table
     w = Window.partitionBy(ORG).orderBy(F.desc("created_at"), "insight_type")
     return table.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
@@ -449,12 +452,13 @@ def executive_opportunities(fact: DataFrame, top_k: int = 3) -> DataFrame:
 
 
 def executive_actions(alerts: DataFrame | None, financials: DataFrame, overview: DataFrame,
-                      max_alerts: int = 5) -> DataFrame:
-    """I11 prioritised actions: first alerts, reorder action, revenue decline; by priority."""
+                      max_alerts: int | None = None) -> DataFrame:
+    """I11 prioritised actions: alerts (the newest ``max_alerts`` if given), reorder action, revenue decline; by priority."""
     parts = []
     if alerts is not None:
         w = Window.partitionBy(ORG).orderBy(F.desc("created_at"), "dedup_key")
-        a = alerts.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_alerts)
+        a = alerts.withColumn("_rn", F.row_number().over(w))
+        a = a if max_alerts is None else a.filter(F.col("_rn") <= max_alerts)
         parts.append(a.select(ORG, F.when(F.col("severity").isin("critical", "high"), 1).otherwise(2).alias("priority"),
                               F.col("alert_type").alias("type"), "title", F.col("message").alias("detail"),
                               "severity", F.col("_rn").alias("_seq")))
@@ -528,6 +532,7 @@ def auto_summary(overview: DataFrame, financials: DataFrame | None, risks: DataF
     return o.select(ORG, "total_sales", "growth_pct", F.concat_ws(" ", *parts).alias("summary"))
 
 
+# Fixed values that must equal the reference's: the words that name an intent.
 INTENTS = {
     "decline": ["why", "declin", "drop", "down", "decreas"],
     "reorder": ["reorder", "order", "stock up", "purchase", "buy"],
@@ -537,11 +542,13 @@ INTENTS = {
 
 
 def answer_questions(questions: DataFrame, summary: DataFrame, financials: DataFrame,
-                     decisions: DataFrame, stores: DataFrame, products: DataFrame, top_k: int = 12) -> DataFrame:
+                     decisions: DataFrame, stores: DataFrame, products: DataFrame, alerts: DataFrame | None = None,
+                     top_k: int | None = None) -> DataFrame:
     """Rule-based answers for a batch of question rows ``(organization_id, question_id, question)``.
 
-    Each tenant's snapshot (sales summary, financials, top-k reorder items,
-    stores and products) is built once as a single row per tenant and joined
+    Each tenant's snapshot (sales summary, financials, reorder items, stores,
+    products and open alerts; of stores and products the ``top_k`` largest if
+    given) is built once as a single row per tenant and joined
     to its questions on the tenant key; intents are keyword tests on the
     lower-cased question, lines are templated and joined with newlines.
     """
@@ -550,7 +557,8 @@ def answer_questions(questions: DataFrame, summary: DataFrame, financials: DataF
            .groupBy(ORG).agg(F.sort_array(F.collect_list(F.struct(
                "_rk", "item_id", "store_id", "recommended_order_qty", "stockout_in_days", "days_of_stock"))).alias("reorder")))
     w_st = Window.partitionBy(ORG).orderBy(F.desc("total_sales"), "store_id")
-    st = stores.withColumn("_rk", F.row_number().over(w_st)).filter(F.col("_rk") <= top_k)
+    st = stores.withColumn("_rk", F.row_number().over(w_st))
+    st = st if top_k is None else st.filter(F.col("_rk") <= top_k)
     best = st.filter(F.col("_rk") <= 3).groupBy(ORG).agg(F.sort_array(F.collect_list(
         F.struct("_rk", "store_id", "total_sales"))).alias("best_stores"))
     w_wk = Window.partitionBy(ORG).orderBy(F.coalesce("growth_pct", F.lit(0.0)), "_rk")
@@ -558,13 +566,26 @@ def answer_questions(questions: DataFrame, summary: DataFrame, financials: DataF
                .groupBy(ORG).agg(F.sort_array(F.collect_list(F.struct("_wk", "store_id", "growth_pct")))
                                  .alias("weak_stores")))
     w_pr = Window.partitionBy(ORG).orderBy(F.desc("total_sales"), "item_id")
-    pr = products.withColumn("_rk", F.row_number().over(w_pr)).filter(F.col("_rk") <= top_k)
-    prod = pr.groupBy(ORG).agg(
-        F.sort_array(F.collect_list(F.when(F.col("growth_pct") < -10, F.struct("_rk", "item_id")))).alias("declining"),
-        F.sort_array(F.collect_list(F.when(F.col("growth_pct") > 10, F.struct("_rk", "item_id", "growth_pct"))))
+    pr = products.withColumn("_rk", F.row_number().over(w_pr))
+    pr = pr if top_k is None else pr.filter(F.col("_rk") <= top_k)
+    # the answers name the first five of each kind: ranked, so no tenant's products meet in one row
+    kind = F.when(F.col("growth_pct") < -10, "declining").when(F.col("growth_pct") > 10, "growing")
+    w_kind = Window.partitionBy(ORG, "_kind").orderBy("_rk")
+    first = (pr.withColumn("_kind", kind).filter("_kind is not null")
+               .withColumn("_n", F.row_number().over(w_kind)).filter("_n <= 5"))
+    prod = first.groupBy(ORG).agg(
+        F.sort_array(F.collect_list(F.when(F.col("_kind") == "declining", F.struct("_rk", "item_id")))).alias("declining"),
+        F.sort_array(F.collect_list(F.when(F.col("_kind") == "growing", F.struct("_rk", "item_id", "growth_pct"))))
          .alias("growing"))
     snap = (summary.join(financials, ORG, "left").join(re_, ORG, "left").join(best, ORG, "left")
                    .join(worst, ORG, "left").join(prod, ORG, "left"))
+    if alerts is None:
+        snap = snap.withColumn("alert_titles", F.lit(None).cast("array<string>"))
+    else:
+        w_al = Window.partitionBy(ORG).orderBy(F.desc("created_at"), "title")
+        three = alerts.withColumn("_n", F.row_number().over(w_al)).filter("_n <= 3")
+        titles = three.groupBy(ORG).agg(F.sort_array(F.collect_list(F.struct("_n", "title"))).alias("_t"))
+        snap = snap.join(titles.select(ORG, F.col("_t.title").alias("alert_titles")), ORG, "left")
     q = questions.join(snap, ORG, "left").withColumn("_q", F.lower("question"))
 
     def has(words):
@@ -597,6 +618,8 @@ def answer_questions(questions: DataFrame, summary: DataFrame, financials: DataF
         F.when(dec & (F.size(F.coalesce("declining", F.array())) > 0), F.concat(
             F.lit("Likely drivers — products with sharp drops: "),
             F.array_join(F.transform(F.slice("declining", 1, 5), lambda x: x["item_id"]), ", "))),
+        F.when(dec & F.col("alert_titles").isNotNull(), F.concat(
+            F.lit("Open alerts that may relate: "), F.array_join("alert_titles", "; "))),
         F.when(reo, F.when(F.size(F.coalesce("reorder", F.array())) > 0, F.concat_ws(
             "\n", F.lit("Recommended reorders (top by quantity):"), F.array_join(reorder_lines, "\n")))
             .otherwise(F.lit("No urgent reorders detected."))),
@@ -622,7 +645,8 @@ def answer_questions(questions: DataFrame, summary: DataFrame, financials: DataF
         n0(F.coalesce(F.col("total_sales"), F.lit(0.0))), F.lit(" total sales).")),
         F.when(F.col("total_inventory_value").isNotNull(), F.concat(
             F.lit("Inventory value $"), n0("total_inventory_value"), F.lit("; "),
-            F.col("items_to_reorder").cast("string"), F.lit(" items need reordering."))))
+            F.col("items_to_reorder").cast("string"), F.lit(" items need reordering."))),
+        F.when(F.col("alert_titles").isNotNull(), F.concat(F.lit("Open alerts: "), F.array_join("alert_titles", "; "))))
     body = F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")
     any_intent = dec | reo | sto | dem
     return q.select(ORG, "question_id", "question",
@@ -635,12 +659,13 @@ def answer_questions(questions: DataFrame, summary: DataFrame, financials: DataF
 
 def business_snapshot(fact: DataFrame, decisions: DataFrame, financials: DataFrame,
                       stores: DataFrame, products: DataFrame, alerts: DataFrame | None = None,
-                      accuracy: DataFrame | None = None, top_k: int = 12) -> dict[str, DataFrame]:
+                      accuracy: DataFrame | None = None, top_k: int | None = None) -> dict[str, DataFrame]:
     """I16: the named frames of a tenant snapshot — every tenant at once, each
-    list cut to its top ``top_k`` per tenant (the reference's payload size)."""
+    list ranked, and cut to its top ``top_k`` per tenant if given."""
     def top(df, order, k=top_k):
         w = Window.partitionBy(ORG).orderBy(*order)
-        return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        ranked = df.withColumn("rank", F.row_number().over(w))
+        return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
     out = {
         "sales": sales_summary(fact),
@@ -665,11 +690,12 @@ def business_snapshot(fact: DataFrame, decisions: DataFrame, financials: DataFra
 
 def report_payload(fact: DataFrame, decisions: DataFrame, financials: DataFrame,
                    accuracy: DataFrame | None = None, registry: DataFrame | None = None,
-                   max_decisions: int = 200, max_accuracy: int = 50) -> dict[str, DataFrame]:
+                   max_decisions: int | None = None, max_accuracy: int | None = None) -> dict[str, DataFrame]:
     """Report frames — decisions (largest orders first), financials,
     executive overview and summary sentence, active model, accuracy."""
     w = Window.partitionBy(ORG).orderBy(F.desc("recommended_order_qty"), "item_id", "store_id")
-    dec = decisions.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_decisions)
+    dec = decisions.withColumn("rank", F.row_number().over(w))
+    dec = dec if max_decisions is None else dec.filter(F.col("rank") <= max_decisions)
     ov = executive_overview(fact, financials, accuracy)
     out = {"decisions": dec, "financials": financials, "executive": ov,
            "summary": auto_summary(ov, financials, executive_risks(financials),
@@ -678,5 +704,6 @@ def report_payload(fact: DataFrame, decisions: DataFrame, financials: DataFrame,
         out["active_model"] = registry.filter(F.col("status") == "active")
     if accuracy is not None:
         wa = Window.partitionBy(ORG).orderBy("horizon_days", "product_id", "store_id")
-        out["accuracy"] = accuracy.withColumn("rank", F.row_number().over(wa)).filter(F.col("rank") <= max_accuracy)
+        acc = accuracy.withColumn("rank", F.row_number().over(wa))
+        out["accuracy"] = acc if max_accuracy is None else acc.filter(F.col("rank") <= max_accuracy)
     return out

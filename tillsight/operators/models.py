@@ -98,8 +98,8 @@ def baseline_predict(model: DataFrame, rows: DataFrame, per_series: bool = False
     """G01 prediction: the tenant constant (reference) or the series mean (``per_series``)."""
     if per_series:
         m = model.select(*SERIES, "series_mean", "global_mean")
-        j = rows.join(m, SERIES, "left").join(model.select(ORG, "global_mean").distinct()
-                                               .withColumnRenamed("global_mean", "_g"), ORG, "left")
+        j = rows.join(m, SERIES, "left").join(per_tenant(model.select(ORG, "global_mean").distinct()
+                                                          .withColumnRenamed("global_mean", "_g")), ORG, "left")
         return j.withColumn("pred", F.coalesce("series_mean", "_g")).drop("series_mean", "global_mean", "_g")
     g = model.select(ORG, "global_mean").distinct()
     return rows.join(per_tenant(g), ORG, "left").withColumnRenamed("global_mean", "pred")
@@ -252,13 +252,14 @@ CALENDAR_PARTS = {
 
 
 def future_frame(features: DataFrame, horizon: int = 28) -> DataFrame:
-    """Each series' last feature row repeated for ``horizon`` days ahead with
-    only year / month / day / dayofweek / quarter / is_weekend recomputed (the
-    reference's default: lags are not refreshed)."""
+    """Each series' last feature row repeated for the ``horizon`` days after its
+    tenant's last date, with only year / month / day / dayofweek / quarter /
+    is_weekend recomputed (the reference's default: lags are not refreshed)."""
     w = Window.partitionBy(*SERIES).orderBy(F.desc("date"))
     last = features.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    fut = last.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(horizon)))) \
-              .withColumn("date", F.date_add("date", F.col("_k"))).drop("_k")
+    origin = features.groupBy(ORG).agg(F.max("date").alias("_origin"))
+    fut = last.join(per_tenant(origin), ORG).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(horizon)))) \
+              .withColumn("date", F.date_add("_origin", F.col("_k"))).drop("_k", "_origin")
     return fut.withColumns({c: fn(F.col("date")) for c, fn in CALENDAR_PARTS.items() if c in fut.columns})
 
 
@@ -287,7 +288,7 @@ def baseline_forecast(fact: DataFrame, horizon: int = 28, as_of=None, per_series
     train = f.filter(F.col("date") <= cutoff)
     model = baseline_fit(train)
     origin = train.groupBy(ORG).agg(F.max("date").alias("origin"))
-    series = model.join(origin, ORG)
+    series = model.join(per_tenant(origin), ORG)
     fc = series.select(*SERIES, "origin", "series_mean", "global_mean",
                        F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
     pred = F.col("series_mean") if per_series else F.col("global_mean")

@@ -27,16 +27,29 @@ STATUSES = ("active", "candidate", "archived", "failed", "rolled_back")
 def register_candidates(comparison: DataFrame, registry: DataFrame | None, tenants: DataFrame,
                         features: list[str], specs: dict, trained_at: str) -> DataFrame:
     """One candidate row per successfully trained model and tenant; versions
-    continue after the tenant's highest. Returns only the new rows."""
+    continue after the tenant's highest. Returns only the new rows.
+
+    ``comparison`` holds one row per tenant and model (``organization_id`` among
+    its columns). A comparison pooled over tenants (no such column, one row per
+    model) gives every tenant of ``tenants`` its rows.
+    """
     spark = comparison.sparkSession
     base = (registry.groupBy(ORG).agg(F.max("version").alias("_v")) if registry is not None
             else spark.createDataFrame([], "organization_id string, _v int"))
     ok = comparison.filter(F.col("error").isNull() & F.col("mae").isNotNull())
-    hp = F.create_map(*[x for k, v in specs.items() for x in (F.lit(k), F.lit(json.dumps(v, sort_keys=True)))])
-    # comparison is tenant-pooled (one row per model); each tenant gets a candidate per model
-    t = tenants.select(ORG).distinct().withColumn("_k", F.lit(0))
-    c = ok.withColumn("_k", F.lit(0))
-    j = t.join(F.broadcast(c), "_k").join(base, ORG, "left")
+    hp = F.create_map(*[x for k, v in specs.items() for x in (F.lit(k), F.lit(json.dumps(v, sort_keys=True)))]) if specs \
+        else F.create_map(F.lit(""), F.lit(""))
+    t = tenants.select(ORG).distinct()
+    if ORG in comparison.columns:
+        per_model = ok.join(per_tenant(t), ORG, "left_semi")
+    else:
+        # one array with a struct per model: as many as there are model kinds, whatever the data
+        models = ok.groupBy().agg(F.collect_list(F.struct(*ok.columns)).alias("_m"))
+        rows = models.first()["_m"]
+        per_model = t.select(ORG, F.explode(F.array(*[F.struct(*[F.lit(r[c]).cast(ok.schema[c].dataType).alias(c) for c in ok.columns])
+                                                      for r in rows])).alias("_m")).select(ORG, "_m.*") if rows \
+            else spark.createDataFrame([], f"{ORG} string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ok.schema))
+    j = per_model.join(per_tenant(base), ORG, "left")
     w = Window.partitionBy(ORG).orderBy("model")
     return j.select(
         ORG, (F.coalesce("_v", F.lit(0)) + F.row_number().over(w)).cast("int").alias("version"),
@@ -51,8 +64,12 @@ def register_candidates(comparison: DataFrame, registry: DataFrame | None, tenan
 
 
 def best_candidate(registry: DataFrame) -> DataFrame:
-    """Per tenant, the newest batch's best candidate — lowest WAPE, else lowest MAE."""
+    """Per tenant, the best candidate of its newest batch (latest ``trained_at``):
+    lowest WAPE, else lowest MAE. A registry without that column is one batch."""
     c = registry.filter(F.col("status") == "candidate")
+    if "trained_at" in registry.columns:
+        newest = registry.groupBy(ORG).agg(F.max("trained_at").alias("_t"))
+        c = c.join(per_tenant(newest), ORG).filter(F.col("trained_at").eqNullSafe(F.col("_t"))).drop("_t")
     w = Window.partitionBy(ORG).orderBy(F.col("wape").asc_nulls_last(), F.col("mae").asc_nulls_last(),
                                         F.desc("version"))
     return c.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
@@ -157,10 +174,11 @@ def forecast_tables(forecast: DataFrame, model_type: str, created_at: str) -> tu
     return hdr, det
 
 
-def forecast_history(headers: DataFrame, limit: int = 50) -> DataFrame:
-    """Latest forecast headers per tenant."""
+def forecast_history(headers: DataFrame, limit: int | None = None) -> DataFrame:
+    """Forecast headers per tenant, newest first; the first ``limit`` if given."""
     w = Window.partitionBy(ORG).orderBy(F.desc("created_at"), F.desc("header_id"))
-    return headers.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    r = headers.withColumn("rank", F.row_number().over(w))
+    return r if limit is None else r.filter(F.col("rank") <= limit)
 
 
 def matured_accuracy(headers: DataFrame, details: DataFrame, actuals: DataFrame, as_of=None) -> DataFrame:
@@ -226,7 +244,8 @@ def accuracy_listing(accuracy: DataFrame, horizon: int | None = None, product: s
     return a
 
 
-def training_history(history: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest training runs per tenant, and the current best (``is_best``)."""
+def training_history(history: DataFrame, limit: int | None = None) -> DataFrame:
+    """Training runs per tenant, newest first (the first ``limit`` if given), and the current best (``is_best``)."""
     w = Window.partitionBy(ORG).orderBy(F.desc("trained_at"), "model")
-    return history.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    r = history.withColumn("rank", F.row_number().over(w))
+    return r if limit is None else r.filter(F.col("rank") <= limit)

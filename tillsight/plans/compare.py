@@ -17,7 +17,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return float(f"{v:.6g}")
+        return round(v, 4) + 0.0
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         try:
             return norm(v.item())

@@ -309,22 +309,39 @@ def i16(spark, sf):
     return I.sales_summary(sales_fact(spark, sf))
 
 
-ADVISOR_TENANT = "AMERICA"
+def _questions(spark, sf):
+    """User turns of ``conversations``; a conversation belongs to the tenant (region)
+    whose key is its id modulo 5, as the table names none."""
+    region = read_table(spark, sf, "region").select(F.col("r_regionkey").cast("bigint").alias("_r"), F.col("r_name").alias(ORG))
+    users = read_table(spark, sf, "conversations").filter(F.col("role") == "user")
+    return users.join(F.broadcast(region), F.pmod(F.col("conv_id"), F.lit(5)) == F.col("_r")).select(
+        ORG, F.concat_ws(":", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"))
 
 
 @query("i17_advisor_answers")
 def i17(spark, sf):
-    """Rule-based answers to every user question in ``conversations`` against one
+    """Rule-based answers to every user question in ``conversations`` against its
     tenant's snapshot (rows only)."""
+    from tillsight.operators import alerts as A
     t = SalesTables(spark, sf)
     fact = t.fact()
     dec = H.purchase_decisions(_stats(spark, sf, tables=t))
     fin = H.financial_summary(dec)
-    qs = (read_table(spark, sf, "conversations").filter(F.col("role") == "user")
-          .select(F.lit(ADVISOR_TENANT).alias(ORG), F.concat_ws(":", "conv_id", "turn").alias("question_id"),
-                  F.col("text").alias("question")))
-    return I.answer_questions(qs, I.sales_summary(fact), fin, dec, I.store_intelligence(fact),
-                              I.product_intelligence(fact))
+    alerts = A.to_table_rows(A.new_alerts(A.detect_all(fact, dec), None), "2001-11-05 00:00:00")
+    return I.answer_questions(_questions(spark, sf), I.sales_summary(fact), fin, dec, I.store_intelligence(fact),
+                              I.product_intelligence(fact), alerts)
+
+
+@query("i17_question_intents", """
+SELECT r_name AS organization_id, CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS question_id,
+  regexp_matches(lower(text), 'why|declin|drop|down|decreas') AS intent_decline,
+  regexp_matches(lower(text), 'reorder|order|stock up|purchase|buy') AS intent_reorder,
+  regexp_matches(lower(text), 'store|underperform|perform|branch|location') AS intent_stores,
+  regexp_matches(lower(text), 'demand|increase|growth|trend|upcoming|popular') AS intent_demand
+FROM conversations JOIN region ON r_regionkey = conv_id % 5 WHERE role = 'user'""")
+def i17q(spark, sf):
+    """Intents of every user question, by tenant."""
+    return i17(spark, sf).select(ORG, "question_id", "intent_decline", "intent_reorder", "intent_stores", "intent_demand")
 
 
 @query("d16_store_page_totals", with_fact(OBS_GROWTH.format(keys="organization_id, store_id") + """,

@@ -42,11 +42,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared (HDFS / object-store) folder there; we only set
-    our own when the session has none, which is the local/test case.
+    A cluster names a shared (HDFS / object-store) folder there. Only a local
+    master, whose one machine holds driver and executors, may leave it unset:
+    on a cluster a machine's own folder would lose the other machines' files.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir is not set on {master or 'this cluster'}: name a folder all its machines share")
         current = tempfile.mkdtemp(prefix="tillsight-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:

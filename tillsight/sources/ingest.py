@@ -167,10 +167,10 @@ def with_position(df: DataFrame, name: str = "_pos") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def clean_batch(df: DataFrame, organization_id, order: str | list[str] = "_pos") -> DataFrame:
+def clean_batch(df: DataFrame, organization_id, order: str | list[str] = "_pos", keep_order: bool = False) -> DataFrame:
     """B01-B08 as one projection: canonical rows of a batch for one tenant (or a
     tenant column), first occurrence per (date, item, store), skip rule,
-    revenue."""
+    revenue. ``keep_order`` keeps the columns of the input order."""
     d = df if (order != "_pos" or "_pos" in df.columns) else with_position(df)
     has_price = any(c.lower() in PRICE_ALIASES for c in d.columns)
     c = coerce(d)
@@ -184,6 +184,7 @@ def clean_batch(df: DataFrame, organization_id, order: str | list[str] = "_pos")
     c = c.withColumn("revenue", F.col("sales") * F.coalesce(F.col("sell_price"), F.lit(0.0)))  # B08
     keep = [ORG, "date", "item_id", "store_id", "sales", "sell_price", "revenue"]
     keep += [x for x in ("category", "current_stock", "name") if x in c.columns]
+    keep += [x for x in ([order] if isinstance(order, str) else order) if keep_order and x in c.columns and x not in keep]
     return c.select(*keep)
 
 
@@ -305,37 +306,47 @@ def upsert_table(spark: SparkSession, path: str, batch: DataFrame, keys: list[st
     return spark.read.parquet(path)
 
 
-def new_dimension_rows(existing: DataFrame | None, candidates: DataFrame, keys: list[str]) -> DataFrame:
+def _first_each(candidates: DataFrame, keys: list[str], order: list[str] | None) -> DataFrame:
+    """One candidate per key: the first in input order (without the order columns)."""
+    if not order:
+        return candidates.dropDuplicates(keys)
+    return dedupe_first(candidates, keys, order).drop(*order)
+
+
+def new_dimension_rows(existing: DataFrame | None, candidates: DataFrame, keys: list[str],
+                       order: list[str] | None = None) -> DataFrame:
     """Keys not yet in the dimension (``left_anti``)."""
-    c = candidates.dropDuplicates(keys)
+    c = _first_each(candidates, keys, order)
     return c if existing is None else c.join(existing.select(*keys), keys, "left_anti")
 
 
 def fill_missing_attributes(existing: DataFrame, candidates: DataFrame, keys: list[str],
-                            attrs: list[str]) -> DataFrame:
+                            attrs: list[str], order: list[str] | None = None) -> DataFrame:
     """A10: for existing keys, fill only attributes that are missing (old wins)."""
-    c = candidates.dropDuplicates(keys).select(*keys, *[F.col(a).alias(f"_n_{a}") for a in attrs])
+    c = _first_each(candidates, keys, order).select(*keys, *[F.col(a).alias(f"_n_{a}") for a in attrs])
     j = existing.join(c, keys, "left")
     return j.withColumns({a: F.coalesce(F.col(a), F.col(f"_n_{a}")) for a in attrs}).drop(
         *[f"_n_{a}" for a in attrs])
 
 
-def product_rows(clean: DataFrame) -> DataFrame:
-    """Product dimension candidates from a clean batch: sku, name, category, unit price."""
+def product_rows(clean: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Product dimension candidates from a clean batch: sku, name, category, unit price
+    (and the columns of the input order)."""
     cols = [ORG, "item_id",
             (F.col("name") if "name" in clean.columns else F.col("item_id")).alias("name"),
             (F.col("category") if "category" in clean.columns else F.lit(None).cast("string")).alias("category"),
             F.col("sell_price").alias("unit_price"), F.lit(None).cast("double").alias("unit_cost")]
-    return clean.select(*cols)
+    return clean.select(*cols, *(order or []))
 
 
 def upsert_dimension(existing: DataFrame | None, candidates: DataFrame, keys: list[str],
-                     attrs: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(new dimension content, newly created rows)."""
-    created = new_dimension_rows(existing, candidates, keys)
+                     attrs: list[str], order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new dimension content, newly created rows); of several
+    candidates for a key the first in input order counts."""
+    created = new_dimension_rows(existing, candidates, keys, order)
     if existing is None:
         return created, created
-    return fill_missing_attributes(existing, candidates, keys, attrs).unionByName(
+    return fill_missing_attributes(existing, candidates, keys, attrs, order).unionByName(
         created.select(*existing.columns)), created
 
 
@@ -349,13 +360,14 @@ def ingest(spark: SparkSession, root: str, df: DataFrame, organization_id, sourc
     """
     job_id = job_id or uuid.uuid4().hex
     received = df.count()
-    clean = clean_batch(df, organization_id, order).cache()
+    by = [order] if isinstance(order, str) else list(order)
+    clean = clean_batch(df, organization_id, order, keep_order=True).cache()
     imported = clean.count()
     prod_path, store_path = f"{root}/products", f"{root}/stores"
     old_p = spark.read.parquet(prod_path) if _exists(spark, prod_path) else None
     old_s = spark.read.parquet(store_path) if _exists(spark, store_path) else None
-    prods, new_p = upsert_dimension(old_p, product_rows(clean), [ORG, "item_id"], ["category", "unit_price"])
-    stores, new_s = upsert_dimension(old_s, clean.select(ORG, "store_id"), [ORG, "store_id"], [])
+    prods, new_p = upsert_dimension(old_p, product_rows(clean, by), [ORG, "item_id"], ["category", "unit_price"], by)
+    stores, new_s = upsert_dimension(old_s, clean.select(ORG, "store_id", *by), [ORG, "store_id"], [], by)
     n_new_p, n_new_s = new_p.count(), new_s.count()
     batch = clean.select(ORG, "item_id", "store_id", "date", "sales", "revenue",
                          F.lit(job_id).alias("batch_id"), F.current_timestamp().alias("ingested_at"))
@@ -365,8 +377,9 @@ def ingest(spark: SparkSession, root: str, df: DataFrame, organization_id, sourc
     if "current_stock" in clean.columns:
         inv = clean.filter(F.col("current_stock").isNotNull()).select(
             ORG, "item_id", "store_id", F.col("current_stock").alias("quantity_on_hand"),
-            F.current_date().alias("snapshot_date"))
-        inv = dedupe_first(inv.withColumn("_o", F.lit(0)), INVENTORY_KEY, "_o").drop("_o")
+            F.current_date().alias("snapshot_date"), *by)
+        # rows are written in input order, so a key's last one stays
+        inv = dedupe_first(inv, INVENTORY_KEY, [F.desc(c) for c in by]).drop(*by)
         upsert_table(spark, f"{root}/inventory_levels", inv, INVENTORY_KEY)
     clean.unpersist()
     job = spark.createDataFrame(
@@ -414,6 +427,7 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> Non
     (df.select(*(columns or df.columns)).write.mode("overwrite").option("header", True).csv(path))
 
 
+# Fixed values that must equal the reference's: the columns of a report's decisions.
 REPORT_DECISION_COLUMNS = ["item_id", "store_id", "recommended_order_qty", "order_date", "arrival_date", "status",
                            "days_of_stock", "stockout_date", "unit_price", "inventory_value", "overstock_capital",
                            "stockout_revenue_loss", "potential_savings"]
@@ -428,9 +442,10 @@ def record_dataset(spark: SparkSession, root: str, organization_id: str, user: s
          .withColumn("uploaded_at", F.current_timestamp()).write.mode("append").parquet(f"{root}/datasets")
 
 
-def upload_history(datasets: DataFrame, user: str, limit: int = 50) -> DataFrame:
-    """A user's latest uploads."""
-    return datasets.filter(F.col("user_id") == user).orderBy(F.desc("uploaded_at"), "dataset_id").limit(limit)
+def upload_history(datasets: DataFrame, user: str, limit: int | None = None) -> DataFrame:
+    """A user's uploads, newest first; the first ``limit`` if given."""
+    out = datasets.filter(F.col("user_id") == user).orderBy(F.desc("uploaded_at"), "dataset_id")
+    return out if limit is None else out.limit(limit)
 
 
 def materialize_aggregates(fact: DataFrame, root: str) -> None:

@@ -78,7 +78,7 @@ def _line_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("n_name").alias("store_id")))
     # part / supplier grow with the data: broadcast only below a counted bound,
     # else the planner shuffles lineitem by the join key.
-    base = sf_dir.rstrip("/")
+    base = (sf_dir.rstrip("/"), _source_version(spark, sf_dir))  # a grown table is counted again
     return (li.join(checked_broadcast(part, key=(base, "part")), li.l_partkey == part.p_partkey)
               .join(checked_broadcast(geo, key=(base, "supplier")), li.l_suppkey == geo.s_suppkey)
               .select("organization_id", "store_id",
@@ -98,12 +98,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     that lineage once, survives executor loss, and gives the planner real file
     sizes for its join decisions.
     """
+    return materialize_at(df, name)[1]
+
+
+def materialize_at(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+    """``materialize``, with the stored table's path."""
     import uuid
 
     from tillsight.session import scratch_path
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return path, df.sparkSession.read.parquet(path)
 
 
 _STORED: dict = {}
@@ -156,8 +161,8 @@ class SalesTables:
                       .select("organization_id", "item_id", "store_id", "category", "date", "sales",
                               F.try_divide("_revenue", "sales").alias("sell_price"), "_orderkey_sum"))
             if self.stored:
-                self._wide = materialize(w, "fact")
-                _STORED[key] = self._wide.inputFiles()[0].rsplit("/", 1)[0]
+                self._wide_path, self._wide = materialize_at(w, "fact")
+                _STORED[key] = self._wide_path
             else:
                 self._wide = w
         return self._wide
