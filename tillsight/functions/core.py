@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,13 +89,37 @@ def tenant_as_of(df: DataFrame, as_of=None, date_col: str = "date", name: str =
 BROADCAST_MAX_ROWS = 1_000_000
 
 
-def quantile(c, q: float, exact: bool = True) -> Column:
-    """Linear-interpolated quantile (``percentile``, as pandas / ``quantile_cont``).
-    Its buffer holds each distinct value with a count, so memory grows with the
-    number of distinct values in a group; ``exact=False`` switches to the
-    bounded-memory sketch (``percentile_approx``, accuracy 10 000) for groups
-    with very many distinct values."""
-    return F.percentile(c, q) if exact else F.percentile_approx(c, q, 10000).cast("double")
+def exact_quantiles(df: DataFrame, keys: list[str], c, quantiles: dict[str, float], cells: int = 1024) -> DataFrame:
+    """Exact linear-interpolated quantiles (as pandas / ``quantile_cont``) per group,
+    one column per name; groups without values are left out.
+
+    No group's values ever meet in one task: a histogram of ``cells`` equal
+    ranges per group finds the cell that holds each order statistic, and only
+    those cells' distinct values, counted, are ordered.
+    """
+    v = df.select(*keys, col(c).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    rng = v.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    width = (F.col("_hi") - F.col("_lo")) / cells
+    cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(cells - 1))).otherwise(F.lit(0))
+    placed = v.join(per_tenant(rng), keys).select(*keys, "_x", cell.cast("bigint").alias("_cell"))
+    hist = placed.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most ``cells`` rows
+    hist = hist.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in quantiles.items()])
+    wanted = rng.select(*keys, F.explode(ranks).alias("_w"), "_n").select(
+        *keys, F.col("_w.name").alias("_name"), (F.col("_w.q") * (F.col("_n") - 1)).alias("_pos"))
+    wanted = wanted.withColumn("_r", F.explode(F.array(F.floor("_pos"), F.ceil("_pos"))))
+    # few cells are wanted: two order statistics for each quantile
+    inside = wanted.join(hist, keys).filter((F.col("_r") >= F.col("_b")) & (F.col("_r") < F.col("_b") + F.col("_c")))
+    inside = inside.select(*keys, "_name", "_pos", "_r", "_cell", (F.col("_r") - F.col("_b")).alias("_k")).distinct()
+    values = placed.join(per_tenant(inside.select(*keys, "_cell").distinct()), [*keys, "_cell"], "left_semi").groupBy(
+        *keys, "_cell", "_x").agg(F.count(F.lit(1)).alias("_m"))
+    order = Window.partitionBy(*keys, "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("_s", F.coalesce(F.sum("_m").over(order), F.lit(0)))
+    found = inside.join(values, [*keys, "_cell"]).filter((F.col("_k") >= F.col("_s")) & (F.col("_k") < F.col("_s") + F.col("_m")))
+    low, high = F.min("_x"), F.max("_x")
+    each = found.groupBy(*keys, "_name", "_pos").agg((low + (F.col("_pos") - F.floor("_pos")) * (high - low)).alias("_v"))
+    return each.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in quantiles])
 
 
 def per_tenant(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.functions.calendar import season, weekday0
-from tillsight.functions.core import ORG, per_tenant, quantile, safe_div
+from tillsight.functions.core import ORG, exact_quantiles, per_tenant, safe_div
 
 DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
@@ -137,24 +137,23 @@ def event_uplift(frame: DataFrame, flag: str = "is_holiday") -> DataFrame:
                         (safe_div("avg_with_event", "avg_without_event") - 1) * 100)
 
 
-def describe(frame: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
+def describe(frame: DataFrame, columns: list[str]) -> DataFrame:
     """Per tenant and column: count, nulls, mean, sample std, min, quartiles, max.
 
-    One aggregation pass: the frame is unpivoted to (column, value) rows and
-    grouped by (tenant, column); quartiles are exact linear percentiles.
+    The frame is unpivoted to (column, value) rows and grouped by (tenant,
+    column); quartiles are exact linear percentiles (``exact_quantiles``).
     """
     long = frame.select(ORG, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         ORG, columns, "column", "value")
-    return long.groupBy(ORG, "column").agg(
+    basic = long.groupBy(ORG, "column").agg(
         F.count("value").alias("count"),
         F.sum(F.when(F.col("value").isNull(), 1).otherwise(0)).cast("bigint").alias("null_count"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        quantile("value", 0.25, exact).alias("q25"),
-        quantile("value", 0.5, exact).alias("q50"),
-        quantile("value", 0.75, exact).alias("q75"),
-        F.max("value").alias("max"))
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    q = exact_quantiles(long, [ORG, "column"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return basic.join(per_tenant(q), [ORG, "column"], "left").select(
+        ORG, "column", "count", "null_count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def value_counts(frame: DataFrame, column: str) -> DataFrame:
@@ -176,11 +175,10 @@ def price_histogram(fact: DataFrame, bins: int = 50, column: str = "sell_price")
                      (F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_end"), "count"))
 
 
-def iqr_outliers(fact: DataFrame, k: float = 1.5, column: str = "sales", exact: bool = True) -> DataFrame:
+def iqr_outliers(fact: DataFrame, k: float = 1.5, column: str = "sales") -> DataFrame:
     """Rows outside [Q1 - k·IQR, Q3 + k·IQR] per tenant: count, %, describe."""
-    q = fact.groupBy(ORG).agg(quantile(column, 0.25, exact).alias("q1"),
-                              quantile(column, 0.75, exact).alias("q3"),
-                              F.count(F.lit(1)).alias("n_rows"))
+    q = exact_quantiles(fact, [ORG], column, {"q1": 0.25, "q3": 0.75}).join(
+        per_tenant(fact.groupBy(ORG).agg(F.count(F.lit(1)).alias("n_rows"))), ORG)
     f = fact.select(ORG, column).join(per_tenant(q), ORG)
     iqr = F.col("q3") - F.col("q1")
     out = (F.col(column) < F.col("q1") - k * iqr) | (F.col(column) > F.col("q3") + k * iqr)
@@ -202,14 +200,16 @@ def target_correlation(frame: DataFrame, features: list[str], target: str = "sal
 
 def hierarchy_counts(fact: DataFrame) -> DataFrame:
     """Distinct counts per level and calendar coverage per tenant."""
-    a = fact.groupBy(ORG).agg(
+    # one row per series and per day first: the fact itself is not copied once per distinct count
+    series = fact.groupBy(ORG, "item_id", "store_id", "category").agg(F.count(F.lit(1)).alias("_rows"))
+    days = fact.groupBy(ORG, "date").agg(F.lit(1).alias("_one")).groupBy(ORG).agg(
+        F.count("date").alias("n_days"), F.min("date").alias("min_date"), F.max("date").alias("max_date"))
+    a = series.groupBy(ORG).agg(
         F.countDistinct("item_id").alias("n_items"),
         F.countDistinct("store_id").alias("n_stores"),
         F.countDistinct("category").alias("n_categories"),
         F.countDistinct("item_id", "store_id").alias("n_series"),
-        F.countDistinct("date").alias("n_days"),
-        F.min("date").alias("min_date"), F.max("date").alias("max_date"),
-        F.count(F.lit(1)).alias("n_rows"))
+        F.sum("_rows").alias("n_rows")).join(per_tenant(days), ORG)
     cal = (F.datediff("max_date", "min_date") + 1).cast("bigint")
     return a.withColumn("calendar_days", cal).withColumn("missing_days", cal - F.col("n_days"))
 

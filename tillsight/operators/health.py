@@ -1,8 +1,8 @@
 """Data-health score and anomaly detectors.
 
 Counts come from one aggregate per tenant; the exact median needed for the
-price check is a per-tenant ``percentile`` (its buffer holds distinct values
-with counts, not rows). Day gaps are the tenant's calendar (``sequence`` of
+price check comes from ``exact_quantiles``, which never gathers a tenant's
+values in one task. Day gaps are the tenant's calendar (``sequence`` of
 its min..max date, bounded by days) minus its observed dates, an anti join.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.functions.core import ORG, per_tenant, quantile
+from tillsight.functions.core import ORG, exact_quantiles, per_tenant
 
 FRAME_COLUMNS = ["item_id", "store_id", "date", "sales", "sell_price", "category"]
 
@@ -31,19 +31,23 @@ def calendar_gaps(daily: DataFrame) -> DataFrame:
     return cal.join(daily.select(ORG, "date"), [ORG, "date"], "left_anti")
 
 
-def health_score(fact: DataFrame, columns: list[str] = FRAME_COLUMNS, exact: bool = True) -> DataFrame:
+def health_score(fact: DataFrame, columns: list[str] = FRAME_COLUMNS) -> DataFrame:
     """0-100 score per tenant from missing cells, duplicates, day gaps,
     negative sales and price anomalies (fail −20, warn −8)."""
     cols = [c for c in columns if c in fact.columns]
     nulls = sum((F.col(c).isNull().cast("bigint") for c in cols), F.lit(0).cast("bigint"))
-    a = fact.groupBy(ORG).agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.sum(nulls).alias("missing_cells"),
-        F.countDistinct("date", "item_id", "store_id").alias("_distinct_keys"),
-        F.sum((F.col("sales") < 0).cast("bigint")).alias("negative_sales"),
-        quantile("sell_price", 0.5, exact).alias("_median_price"),
-        F.min("date").alias("min_date"), F.max("date").alias("max_date"),
-        F.countDistinct("date").alias("_n_days"))
+    # one row per key, then per day: no distinct counts over the fact itself
+    keyed = fact.withColumn("_nulls", nulls).groupBy(ORG, "date", "item_id", "store_id").agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum("_nulls").alias("_nulls"),
+        F.sum((F.col("sales") < 0).cast("bigint")).alias("_neg"), F.max("date").alias("_d"), F.max("item_id").alias("_i"), F.max("store_id").alias("_s"))
+    whole = F.col("_d").isNotNull() & F.col("_i").isNotNull() & F.col("_s").isNotNull()
+    by_day = keyed.groupBy(ORG, "date").agg(F.sum("_rows").alias("_rows"), F.sum("_nulls").alias("_nulls"), F.sum("_neg").alias("_neg"),
+                                            F.count(F.when(whole, 1)).alias("_keys"))
+    a = by_day.groupBy(ORG).agg(
+        F.sum("_rows").alias("total_rows"), F.sum("_nulls").alias("missing_cells"), F.sum("_keys").alias("_distinct_keys"),
+        F.sum("_neg").alias("negative_sales"), F.min("date").alias("min_date"), F.max("date").alias("max_date"),
+        F.count("date").alias("_n_days"))
+    a = a.join(per_tenant(exact_quantiles(fact, [ORG], "sell_price", {"_median_price": 0.5})), ORG, "left")
     p = fact.select(ORG, "sell_price").join(per_tenant(a.select(ORG, "_median_price")), ORG)
     prices = p.groupBy(ORG).agg(
         F.sum((F.col("sell_price") > F.col("_median_price") * 10).cast("bigint")).alias("high_prices"),

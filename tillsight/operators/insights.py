@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.functions import calendar as C
-from tillsight.functions.core import ORG, per_tenant, round_half_away as rnd, safe_div
+from tillsight.functions.core import ORG, exact_quantiles, per_tenant, round_half_away as rnd, safe_div
 from tillsight.operators.calendar import add_holiday_features, holiday_calendar, season_weather
 
 INSIGHT_COLUMNS = [ORG, "insight_type", "insight_text", "category", "severity"]
@@ -90,8 +90,8 @@ def product_numbers(fact: DataFrame) -> DataFrame:
     top = (p.withColumn("_rk", F.row_number().over(w)).filter("_rk <= 3")
             .groupBy(ORG).agg(F.sort_array(F.collect_list(F.struct("_rk", "item_id", "units"))).alias("top3"),
                               F.sum("units").alias("top3_units")))
-    a = p.groupBy(ORG).agg(F.count(F.lit(1)).alias("n_items"), F.sum("units").alias("total_units"),
-                           F.percentile("units", 0.5).alias("median_units"))
+    a = p.groupBy(ORG).agg(F.count(F.lit(1)).alias("n_items"), F.sum("units").alias("total_units"))
+    a = a.join(per_tenant(exact_quantiles(p, [ORG], "units", {"median_units": 0.5})), ORG, "left")
     slow = (p.join(per_tenant(a.select(ORG, "median_units")), ORG)
              .groupBy(ORG).agg(F.count(F.when(F.col("units") < F.col("median_units") * 0.1, 1)).alias("slow_movers")))
     return (a.join(top, ORG, "left").join(slow, ORG, "left")
@@ -129,8 +129,8 @@ def seasonality_numbers(fact: DataFrame) -> DataFrame:
 
 def anomaly_numbers(fact: DataFrame, k: float = 3.0) -> DataFrame:
     """Rows above Q3 + 3·IQR (exact linear quantiles)."""
-    q = fact.groupBy(ORG).agg(F.percentile("sales", 0.25).alias("q1"), F.percentile("sales", 0.75).alias("q3"),
-                              F.count("sales").alias("n_rows"))
+    q = exact_quantiles(fact, [ORG], "sales", {"q1": 0.25, "q3": 0.75}).join(
+        per_tenant(fact.groupBy(ORG).agg(F.count("sales").alias("n_rows"))), ORG)
     j = fact.select(ORG, "sales").join(per_tenant(q), ORG)
     return (j.groupBy(ORG, "q1", "q3", "n_rows")
              .agg(F.count(F.when(F.col("sales") > F.col("q3") + k * (F.col("q3") - F.col("q1")), 1)).alias("n_high"))

@@ -3,8 +3,8 @@
 
 Everything is set-based: one alias projection, one coercion ``select``, one
 dedupe window, one anti join per dimension and one keyed merge per table. The
-upsert rewrites only the tenant partitions touched by the batch (dynamic
-partition overwrite) after staging the merged rows in the shared checkpoint
+upsert rewrites only the tenant and month partitions touched by the batch
+(dynamic partition overwrite) after staging the merged rows in the shared checkpoint
 folder — a job cannot overwrite the files it is reading, and a staged copy
 makes a retried job idempotent.
 """
@@ -284,28 +284,42 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def upsert_table(spark: SparkSession, path: str, batch: DataFrame, keys: list[str],
-                 partition_col: str = ORG) -> DataFrame:
-    """Idempotent keyed upsert into a Parquet table partitioned by tenant.
-
-    Only the tenants present in the batch are read (partition pruning through a
-    semi join on the partition column) and rewritten (dynamic partition
-    overwrite). The merged rows are staged under the shared checkpoint folder
-    first; re-running the same batch gives the same table.
+                 partition_cols: list[str] | None = None) -> DataFrame:
+    """Idempotent keyed upsert into a Parquet table.
+
+    Dated rows are partitioned by tenant and month (year * 100 + month of
+    ``date`` / ``day``), others by tenant. Only the partitions that the batch
+    touches are read (the semi join on the partition columns prunes them) and
+    rewritten (dynamic partition overwrite): a late row costs one month. The
+    merged rows are staged under the shared checkpoint folder first; re-running
+    the same batch gives the same table.
     """
-    tenants = batch.select(partition_col).distinct()
+    dated = next((c for c in ("date", "day") if c in keys), None)
+    if dated:
+        batch = batch.withColumn("month", F.year(dated) * 100 + F.month(dated))
+    parts = partition_cols or [c for c in (ORG, "month") if c in batch.columns]
+    touched = batch.select(*parts).distinct()
     if _exists(spark, path):
-        old = spark.read.parquet(path).join(tenants, partition_col, "left_semi")
+        old = spark.read.parquet(path).join(touched, parts, "left_semi")
         merged = merge_by_key(old, batch, keys)
     else:
         merged = merge_by_key(None, batch, keys)
     stage = scratch_path(spark, f"stage-{uuid.uuid4().hex}")
-    merged.write.mode("overwrite").partitionBy(partition_col).parquet(stage)
-    staged = spark.read.parquet(stage)
-    (staged.select(*batch.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy(partition_col).parquet(path))
+    merged.write.mode("overwrite").parquet(stage)
+    staged = spark.read.schema(merged.schema).parquet(stage)
+    # few files for each partition; a large partition is split
+    (staged.select(*batch.columns).hint("rebalance", *parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy(*parts).parquet(path))
+    _delete(spark, stage)
     return spark.read.parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Remove a staged copy once its table is written."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _first_each(candidates: DataFrame, keys: list[str], order: list[str] | None) -> DataFrame:
     """One candidate per key: the first in input order (without the order columns)."""
     if not order:

@@ -36,17 +36,18 @@ def pushed_stream(spark: SparkSession, path: str, schema, file_format: str = "js
 
 def ingest_stream(stream: DataFrame, table_path: str, checkpoint: str, organization_id,
                   order: str | list[str] = "_pos", available_now: bool = True,
-                  dedupe_watermark: tuple[str, str] | None = None):
+                  dedupe_watermark: tuple | None = None):
     """Clean every micro-batch and upsert it by (tenant, date, item, store).
 
     Within a micro-batch the first row per key wins (B06); across batches the
     later batch replaces the earlier row (last write wins, as the reference's
-    upsert). Returns the started query.
+    upsert). ``dedupe_watermark`` = (event time, delay, key columns...) drops
+    pushed rows that repeat a key within the delay (M02). Returns the started query.
     """
     s = stream
     if dedupe_watermark is not None:
-        ts, delay = dedupe_watermark
-        s = s.withWatermark(ts, delay).dropDuplicatesWithinWatermark()
+        ts, delay, *names = dedupe_watermark
+        s = s.withWatermark(ts, delay).dropDuplicatesWithinWatermark(names)
 
     def upsert(batch: DataFrame, epoch_id: int) -> None:
         if batch.isEmpty():
@@ -63,8 +64,10 @@ def ingest_stream(stream: DataFrame, table_path: str, checkpoint: str, organizat
 
 
 def daily_aggregate_stream(stream: DataFrame, table_path: str, checkpoint: str, ts_col: str, keys: list[str],
-                           value_col: str, watermark: str = "2 days", available_now: bool = True):
-    """Per (day, keys) sum / count / distinct-ish item count, merged into a table.
+                           value_col: str, watermark: str = "2 days", available_now: bool = True,
+                           item_col: str | None = None):
+    """Per (day, keys) sum, count and, with ``item_col``, number of different
+    items (the day's items are kept in the state), merged into a table by month.
 
     Update mode emits the days touched by each micro-batch; ``foreachBatch``
     merges them by (day, keys), so the table always holds the latest value.
@@ -76,15 +79,16 @@ def daily_aggregate_stream(stream: DataFrame, table_path: str, checkpoint: str,
     ev = stream.withColumn("_event_time", F.to_utc_timestamp(F.col(ts_col).cast("timestamp"), tz))
     agg = (ev.withWatermark("_event_time", watermark)
              .groupBy(F.window("_event_time", "1 day").alias("w"), *keys)
-             .agg(F.sum(value_col).alias("total"), F.count(F.lit(1)).alias("rows")))
-    out = agg.select(F.to_date(F.from_utc_timestamp(F.col("w.start"), tz)).alias("day"), *keys, "total", "rows")
+             .agg(F.sum(value_col).alias("total"), F.count(F.lit(1)).alias("rows"),
+                  *([F.size(F.collect_set(item_col)).alias("item_count")] if item_col else [])))
+    out = agg.select(F.to_date(F.from_utc_timestamp(F.col("w.start"), tz)).alias("day"), *keys, "total", "rows",
+                     *(["item_count"] if item_col else []))
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
         if batch.isEmpty():
             return
         spark = batch.sparkSession
-        b = batch.withColumn("_p", F.lit("all"))
-        I.upsert_table(spark, table_path, b, ["day", *keys], partition_col="_p")
+        I.upsert_table(spark, table_path, batch, ["day", *keys], ["month"])
 
     w = out.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
