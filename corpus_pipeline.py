@@ -30,12 +30,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them hold; one that had only such lines goes."""
-    done = line_dedup.dedup(docs, min_docs=10, min_chars=1, keep=("lang", "source", "n_chars"))
-    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("kept_text"))
-    done = done.where("kept_text != '' OR n_dropped = 0")
-    return done.select("doc_id", text.alias("text"), "lang", "source",
-                       F.when(F.col("n_dropped") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
+    """Documents without the lines that ten or more of them hold. Lines go, documents
+    do not: one that had only such lines stays with an empty text (the mix, which
+    draws words, is what leaves it out)."""
+    done = line_dedup.dedup(docs, min_docs=10, min_chars=1, keep=("lang", "source"))
+    return done.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
