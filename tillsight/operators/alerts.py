@@ -56,15 +56,18 @@ def overstock_alerts(decisions: DataFrame, excess_days: int = 90) -> DataFrame:
                    "capital": cap})
 
 
-def demand_changes(fact: DataFrame, as_of=None) -> DataFrame:
+def demand_changes(fact: DataFrame, as_of=None, scaled: bool = False) -> DataFrame:
     """J07 numbers: last-7-day vs the 21 days before, per series, relative to the
-    tenant's latest date (calendar cut-offs, unscaled as in the reference)."""
+    tenant's latest date (calendar cut-offs). Sums of 7 and 21 days are compared
+    as they are, as in the reference; ``scaled`` compares with a third of the prior sum."""
     f = fact.join(per_tenant(tenant_as_of(fact, as_of)), ORG)
     recent = F.col("date") > F.date_sub("as_of", 7)
     prior = (~recent) & (F.col("date") > F.date_sub("as_of", 28))
     g = f.groupBy(ORG, "item_id", "store_id").agg(
         F.coalesce(F.sum(F.when(recent, F.col("sales"))), F.lit(0.0)).alias("recent_sales"),
         F.coalesce(F.sum(F.when(prior, F.col("sales"))), F.lit(0.0)).alias("prior_sales"))
+    if scaled:
+        g = g.withColumn("prior_sales", F.col("prior_sales") / 3)
     return (g.filter(F.col("prior_sales") > 0)
              .withColumn("change_pct", (F.col("recent_sales") - F.col("prior_sales")) / F.col("prior_sales") * 100))
 

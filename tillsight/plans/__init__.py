@@ -2,7 +2,7 @@
 
 from tillsight.plans.catalog import REGISTRY, Query  # noqa: F401
 from tillsight.plans import dashboards, calendar, features, inventory, health, insights, models  # noqa: F401
-from tillsight.plans import ingest, lifecycle, streaming  # noqa: F401
+from tillsight.plans import ingest, lifecycle, more, streaming  # noqa: F401
 
 
 def all_queries() -> dict:

@@ -58,21 +58,33 @@ def read_rows_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mode", "PERMISSIVE").json(path)
 
 
+def _typed(df: DataFrame, kinds) -> DataFrame:
+    """A text frame with the columns that ``kinds(name)`` gives a type for converted;
+    unreadable values become NULL. Reading as text needs no pass to infer types."""
+    return df.select(*[F.trim(c).try_cast(kinds(c)).alias(c) if kinds(c) else F.col(c) for c in df.columns])
+
+
+def _text_csv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+
+
 def read_wide_sales(spark: SparkSession, path: str, store_ids: list[str] | None = None) -> DataFrame:
     """Wide sales CSV (``item_id, dept_id, cat_id, store_id, state_id, d_1 … d_N``),
     optionally only some stores (the filter is pushed to the scan)."""
-    df = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    return df.filter(F.col("store_id").isin(store_ids)) if store_ids else df
+    df = _text_csv(spark, path)
+    df = df.filter(F.col("store_id").isin(store_ids)) if store_ids else df
+    return _typed(df, lambda c: "double" if c.startswith("d_") else None)
 
 
 def read_calendar(spark: SparkSession, path: str) -> DataFrame:
     """Calendar CSV."""
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    whole = {"wm_yr_wk", "wday", "month", "year", "snap_CA", "snap_TX", "snap_WI"}
+    return _typed(_text_csv(spark, path), lambda c: "int" if c in whole else None)
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
     """Weekly price CSV."""
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    return _typed(_text_csv(spark, path), {"wm_yr_wk": "int", "sell_price": "double"}.get)
 
 
 # ------------------------------------------------------------- B01 - B08
@@ -212,8 +224,8 @@ def melt_sales(wide: DataFrame) -> DataFrame:
     there is no ``d_1`` column."""
     if "d_1" not in wide.columns:
         return wide
-    days = [c for c in wide.columns if c.startswith("d_")]
-    ids = [c for c in wide.columns if not c.startswith("d_")]
+    days = [c for c in wide.columns if c.startswith("d_") and c[2:].isdigit()]
+    ids = [c for c in wide.columns if c not in set(days)]
     return wide.unpivot(ids, days, "d", "sales")
 
 
