@@ -93,6 +93,22 @@ FROM kept JOIN d USING (r)
 """
 
 
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT r, r AS m FROM d UNION SELECT reach.r, e.b FROM reach JOIN e ON e.a = reach.m)
+SELECT d.doc_id, min(o.doc_id) AS class_id, CAST((SELECT count(*) FROM e WHERE e.a = d.r) AS BIGINT) AS n_links
+FROM d JOIN reach USING (r) JOIN d o ON o.r = reach.m GROUP BY d.r, d.doc_id
+"""
+
+
 def _spans_sql(order: int, kind: str, pattern: str, check: str = "TRUE") -> str:
     p = pattern.replace("'", "''")
     return f"""
@@ -135,4 +151,4 @@ def queries() -> dict:
 
 
 def oracles() -> dict:
-    return {"op1_line_dedup": OP1_SQL, "op2_top_k": OP2_SQL, "op5_secret_scan": OP5_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_top_k": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op5_secret_scan": OP5_SQL}
