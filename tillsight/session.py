@@ -59,6 +59,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint dir for staged tables."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
+    """A sub-folder of the shared checkpoint dir for staged tables; the driver's
+    file system deletes it when the application ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
