@@ -38,10 +38,21 @@ def _pick(names: list[str], idx) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), idx.cast("int") + 1)
 
 
-def _rows(df: DataFrame, itype: str, text: Column, category: str, severity="info") -> DataFrame:
-    sev = severity if isinstance(severity, Column) else F.lit(severity)
-    return df.select(ORG, F.lit(itype).alias("insight_type"), text.alias("insight_text"),
-                     F.lit(category).alias("category"), sev.alias("severity"))
+def _sentence(df: DataFrame, when, itype: str, text: Column, category: str, severity="info") -> tuple:
+    """A sentence that a frame of numbers tells where ``when`` holds."""
+    row = F.struct(F.lit(itype).alias("insight_type"), text.alias("insight_text"), F.lit(category).alias("category"),
+                   (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"))
+    return df, F.when(F.lit(when) if isinstance(when, bool) else when, row)
+
+
+def _tell(sentences: list[tuple]) -> DataFrame:
+    """Insight rows of all sentences: each frame of numbers is derived once, whatever it tells."""
+    out = None
+    for df in {id(df): df for df, _ in sentences}.values():
+        told = F.filter(F.array(*[row for d, row in sentences if d is df]), lambda x: x.isNotNull())
+        rows = df.select(ORG, F.explode(told).alias("_s")).select(ORG, "_s.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def daily(fact: DataFrame, keys=(ORG,)) -> DataFrame:
@@ -191,78 +202,75 @@ def insights(fact: DataFrame, weather: DataFrame | None = None) -> DataFrame:
     """Every insight sentence for every tenant."""
     o = overall_numbers(fact)
     parts = [
-        _rows(o, "overall", F.concat(
+        _sentence(o, True, "overall", F.concat(
             F.lit("**Overview**: "), n0("items"), F.lit(" products across "), F.col("stores").cast("string"),
             F.lit(" stores over "), F.col("days").cast("string"), F.lit(" days. Total sales: **"), n0("total_sales"),
             F.lit("**. Average daily: **"), n0("avg_daily"), F.lit("**.")), "Summary"),
-        _rows(o, "revenue", F.concat(F.lit("**Revenue**: Estimated total revenue is **$"),
+        _sentence(o, True, "revenue", F.concat(F.lit("**Revenue**: Estimated total revenue is **$"),
                                      F.format_number(F.coalesce("revenue", F.lit(0.0)), 2), F.lit("**.")), "Revenue"),
     ]
     t = trend_numbers(fact)
     ch = F.col("change_pct")
-    parts.append(_rows(t.filter(ch.isNotNull()), "trend", F.concat(
+    parts.append(_sentence(t, (ch.isNotNull()), "trend", F.concat(
         F.when(ch > 0, "📈").otherwise("📉"), F.lit(" Sales are "),
         F.when(ch > 0, "increasing").otherwise("decreasing"), F.lit(" by **"), n1(F.abs(ch)),
         F.lit("%** in the last 7 days.")), "Trends"))
-    parts.append(_rows(t.filter(F.col("n_dow") > 1), "day_of_week", F.concat(
+    parts.append(_sentence(t, (F.col("n_dow") > 1), "day_of_week", F.concat(
         F.lit("**Day-of-Week**: **"), _pick(DAY_NAMES, F.col("best_dow")), F.lit("** strongest, **"),
         _pick(DAY_NAMES, F.col("worst_dow")), F.lit("** weakest. Variation: **"),
         F.format_string("%.0f", "dow_spread_pct"), F.lit("%**.")), "Trends"))
     p = product_numbers(fact)
     names = F.array_join(F.transform("top3", lambda s: F.concat(F.lit("**"), s["item_id"], F.lit("** ("),
                                                                   F.format_number(s["units"], 0), F.lit(")"))), ", ")
-    parts.append(_rows(p.filter(F.col("n_items") >= 3), "top_products",
+    parts.append(_sentence(p, (F.col("n_items") >= 3), "top_products",
                        F.concat(F.lit("**Top Products**: "), names, F.lit(".")), "Products"))
-    parts.append(_rows(p.filter((F.col("n_items") >= 3) & (F.col("top3_pct") > 50)), "concentration",
+    parts.append(_sentence(p, ((F.col("n_items") >= 3) & (F.col("top3_pct") > 50)), "concentration",
                        F.concat(F.lit("**High Concentration**: Top 3 account for **"), n1("top3_pct"),
                                 F.lit("%** of sales.")), "Products", "warning"))
-    parts.append(_rows(p.filter(F.col("slow_movers") > 0), "slow_movers",
+    parts.append(_sentence(p, (F.col("slow_movers") > 0), "slow_movers",
                        F.concat(F.lit("**Slow Movers**: **"), F.col("slow_movers").cast("string"),
                                 F.lit("** products sell less than 10% of the median.")), "Products"))
     s = store_numbers(fact)
-    parts.append(_rows(s.filter(F.col("n_stores") >= 2), "store_performance", F.concat(
+    parts.append(_sentence(s, (F.col("n_stores") >= 2), "store_performance", F.concat(
         F.lit("**Store Performance**: **"), F.col("top_store"), F.lit("** leads ("), n0("top_units"),
         F.lit("). Gap: **"), n1("ratio"), F.lit("x**.")), "Stores"))
-    parts.append(_rows(s.filter((F.col("n_stores") >= 2) & (F.col("ratio") > 5)), "store_disparity", F.concat(
+    parts.append(_sentence(s, ((F.col("n_stores") >= 2) & (F.col("ratio") > 5)), "store_disparity", F.concat(
         F.lit("**Large Store Disparity**: Top store sells **"), n1("ratio"), F.lit("x** more than lowest.")),
         "Stores", "warning"))
     m = seasonality_numbers(fact)
-    parts.append(_rows(m.filter(F.col("n_months") >= 3), "seasonal_peak", F.concat(
+    parts.append(_sentence(m, (F.col("n_months") >= 3), "seasonal_peak", F.concat(
         F.lit("**Seasonal Peak**: **"), _pick(MONTH_ABBR, F.col("peak.month") - 1), F.lit(" "),
         F.col("peak.year").cast("string"), F.lit("** highest ("), n0("peak.units"), F.lit("). Lowest: **"),
         _pick(MONTH_ABBR, F.col("low.month") - 1), F.lit(" "), F.col("low.year").cast("string"), F.lit("** ("),
         n0("low.units"), F.lit(").")), "Seasonality"))
     up = F.col("weekend_uplift_pct")
-    parts.append(_rows(m.filter(F.abs(up) > 10), "weekend_effect", F.concat(
+    parts.append(_sentence(m, (F.abs(up) > 10), "weekend_effect", F.concat(
         F.lit("**Weekend Effect**: "), F.when(up > 0, "Higher").otherwise("Lower"), F.lit(" by **"),
         F.format_string("%.0f", F.abs(up)), F.lit("%**.")), "Seasonality"))
     a = anomaly_numbers(fact)
-    parts.append(_rows(a.filter(F.col("n_high") > 0), "anomalies", F.concat(
+    parts.append(_sentence(a, (F.col("n_high") > 0), "anomalies", F.concat(
         F.lit("**Anomalies**: **"), F.col("n_high").cast("string"), F.lit("** unusually high sales records ("),
         F.format_string("%.2f", "high_pct"), F.lit("%).")), "Data Quality", "warning"))
     se = season_numbers(fact)
     em = F.create_map(*[x for k, v in SEASON_EMOJI.items() for x in (F.lit(k), F.lit(v))])
-    parts.append(_rows(se.filter(F.col("n_seasons") >= 2), "season_performance", F.concat(
+    parts.append(_sentence(se, (F.col("n_seasons") >= 2), "season_performance", F.concat(
         F.lit("**Pakistan Season**: "), em[F.col("best.season")], F.lit(" **"), F.col("best.season"),
         F.lit("** highest ("), n0("best.sum"), F.lit("). "), em[F.col("worst.season")], F.lit(" **"),
         F.col("worst.season"), F.lit("** lowest ("), n0("worst.sum"), F.lit(").")), "Seasonality"))
-    parts.append(_rows(se.filter((F.col("n_seasons") >= 2) & (F.col("ratio") > 1.5)), "season_variation", F.concat(
+    parts.append(_sentence(se, ((F.col("n_seasons") >= 2) & (F.col("ratio") > 1.5)), "season_variation", F.concat(
         F.lit("**High Seasonal Variation**: **"), n1("ratio"), F.lit("x** between peak and low seasons.")),
         "Seasonality", "warning"))
     wx = weather_numbers(fact, weather)
-    parts.append(_rows(wx.filter(F.col("n_bands") > 1), "weather_correlation", F.concat(
+    parts.append(_sentence(wx, (F.col("n_bands") > 1), "weather_correlation", F.concat(
         F.lit("**Weather-Sales**: Highest at **"), F.col("max_band.band"), F.lit("** (avg "),
         F.format_string("%.0f", "max_band.avg_sales"), F.lit("), lowest at **"), F.col("min_band.band"),
         F.lit("** (avg "), F.format_string("%.0f", "min_band.avg_sales"), F.lit(").")), "Trends"))
     h = holiday_numbers(fact)
     hu = F.col("uplift_pct")
-    parts.append(_rows(h.filter(F.abs(hu) > 5), "holiday_impact", F.concat(
+    parts.append(_sentence(h, (F.abs(hu) > 5), "holiday_impact", F.concat(
         F.lit("**Holiday Impact**: "), F.when(hu > 0, "Higher").otherwise("Lower"), F.lit(" by **"),
         n1(F.abs(hu)), F.lit("%** on holidays.")), "Seasonality"))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    return _tell(parts)
 
 
 def latest_insights(table: DataFrame, n: int | None = None) -> DataFrame:
