@@ -55,7 +55,7 @@ def test_top_k_is_brute_force(spark):
 def test_tree_leaves_out_most_distances():
     rng = np.random.default_rng(1)
     x = (np.repeat(rng.normal(size=(40, 8)) * 1000, 50, axis=0) + rng.normal(size=(2000, 8)) * 5).astype(np.int64)
-    tree = mtree.Tree(np.arange(2000), x, float((x * x).sum(1).max()))
+    tree = mtree.Tree(np.arange(2000), x, float((x * x).sum(1).max()), leaf=64)
     for q in range(0, 2000, 100):
         got = sorted(tree.search(x[q], q, 5, None), key=lambda r: (-r[0], r[1]))
         want = sorted(((int(x[j] @ x[q]), j) for j in range(2000) if j != q), key=lambda r: (-r[0], r[1]))[:5]

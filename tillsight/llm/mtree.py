@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tillsight.llm.common import ship, staged
 
-LEAF, FAN = 64, 16
+LEAF, FAN = 512, 16  # rows of a leaf page: as many as one product takes in little time; entries of a routing page
 SLACK = 1e-7
 
 
@@ -77,27 +77,34 @@ def matrix(rows: list, dim: int) -> np.ndarray:
 
 
 class Tree:
-    """Pages: a leaf is (rows, distances to the centre), a routing page is (child
-    pages, centres, radii, distances to its own centre)."""
+    """Pages: a leaf is (first row, distances of its rows to the centre), a routing
+    page is (child pages, centres, radii, distances to its own centre). Rows are
+    stored leaf by leaf, as doubles where their products are exact so."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, most: float):
-        self.ids, self.x, self.most, self.pages = ids, x, most, []
+    def __init__(self, ids: np.ndarray, x: np.ndarray, most: float, leaf: int = LEAF):
+        self.most, self.leaf, self.pages, self.order = most, leaf, [], []
         points = lengthened(x, most)
         self.root, self.centre, self.radius = self._load(points, np.argsort(ids, kind="stable"))
+        order = np.concatenate(self.order)
+        del self.order
+        self.ids, self.x = ids[order], x[order]
+        if x.size and x.shape[1] * float(np.abs(x).max()) ** 2 < 2 ** 53 and most < 2 ** 53:
+            self.x = self.x.astype(float)  # no product of two such rows, nor of one with a query, is rounded
         self.computed = 0
 
     def _load(self, points, rows):
         centre = points[rows].mean(0)
         far = np.linalg.norm(points[rows] - centre, axis=1)
-        if len(rows) <= LEAF:
-            self.pages.append((rows, far))
+        if len(rows) <= self.leaf:
+            self.pages.append((sum(map(len, self.order)), far))
+            self.order.append(rows)
         else:
             heads, near = [int(far.argmax())], None
             for _ in range(FAN):  # heads far from each other
                 d = np.linalg.norm(points[rows] - points[rows[heads[-1]]], axis=1)
                 near = d if near is None else np.minimum(near, d)
                 heads.append(int(near.argmax()))
-            nearest = np.linalg.norm(points[rows][:, None, :] - points[rows[heads[:FAN]]][None], axis=2).argmin(1)
+            nearest = np.stack([np.linalg.norm(points[rows] - points[rows[h]], axis=1) for h in heads[:FAN]], 1).argmin(1)
             groups = [rows[nearest == g] for g in range(FAN)]
             groups = [g for g in groups if len(g)]
             if len(groups) == 1:  # equal vectors
@@ -109,13 +116,20 @@ class Tree:
 
     def search(self, q: np.ndarray, own: int, k: int, floor: int | None) -> list:
         """The k best (score, id) for an integer vector, of those with a score of at least ``floor``."""
-        far2 = float(q.astype(float) @ q) + self.most
-        point, slack = np.append(q.astype(float), 0.0), SLACK * (1 + far2 ** 0.5)
+        qf = q.astype(float)
+        far2 = float(qf @ qf) + self.most
+        exact = self.x.dtype == float and float(qf @ qf) < 2 ** 53
+        q, x = (qf, self.x) if exact else (q, self.x if self.x.dtype != float else self.x.astype(np.int64))
+        point, slack = np.append(qf, 0.0), SLACK * (1 + far2 ** 0.5)
         best: list = []  # a heap with the worst of the best in front: (score, -id)
 
-        def reach():
+        def least():
+            """Scores below this no longer count."""
             worst = best[0][0] if len(best) == k else None
-            worst = worst if floor is None or worst is not None and worst > floor else floor
+            return worst if floor is None or worst is not None and worst > floor else floor
+
+        def reach():
+            worst = least()
             return float("inf") if worst is None else max(0.0, far2 - 2 * worst) ** 0.5 + slack
 
         most = reach()
@@ -125,12 +139,17 @@ class Tree:
             _, page, d = heapq.heappop(queue)
             page = self.pages[page]
             if len(page) == 2:
-                rows, apart = page
-                rows = rows[np.abs(d - apart) <= most]
-                self.computed += len(rows)
-                scores = (self.x[rows] @ q).tolist()
-                for s, i in zip(scores, self.ids[rows].tolist()):
-                    if i != own and (floor is None or s >= floor):
+                first, apart = page
+                open_ = np.flatnonzero(np.abs(d - apart) <= most) + first
+                self.computed += len(open_)
+                whole = len(open_) == len(apart)
+                scores = (x[first:first + len(apart)] if whole else x[open_]) @ q
+                if (worst := least()) is None and len(scores) > 4 * k:
+                    worst = np.partition(scores, -k - 1)[-k - 1]  # k others, should the query itself be among them
+                use = np.flatnonzero(scores >= worst) if worst is not None else range(len(scores))
+                for j in use:
+                    s, i = int(scores[j]), int(self.ids[open_[j]])
+                    if i != own:
                         if len(best) < k:
                             heapq.heappush(best, (s, -i))
                         elif (s, -i) > best[0]:
