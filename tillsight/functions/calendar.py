@@ -260,7 +260,6 @@ def extreme_weather_advice(temp, season_col, humidity, condition, rain) -> Colum
     t, h = _c(temp), _c(humidity)
     cond = F.lower(F.coalesce(_c(condition), F.lit("")))
     r = F.coalesce(_c(rain), F.lit(0.0))
-    tf = F.format_number(t, 0)
     parts = F.filter(F.array(
         F.when(t >= SUMMER_HEAT_THRESHOLD, F.concat(
             F.lit("🔥 Extreme heat ("), F.format_string("%.0f", t.cast("double")),
@@ -272,7 +271,6 @@ def extreme_weather_advice(temp, season_col, humidity, condition, rain) -> Colum
                F.lit("🌧️ Heavy rain — umbrellas, raincoats, indoor snacks will see higher demand.")),
         F.when(h > 80, F.lit("💧 High humidity — beverages and cold drinks may see increased demand.")),
     ), lambda x: x.isNotNull())
-    del tf
     season_adv = seasonal_advice(season_col)
     return (F.when(F.size(parts) > 0, F.array_join(parts, " | "))
              .when(season_adv.isNotNull(), season_adv)

@@ -144,13 +144,12 @@ def holiday_names(frame: DataFrame, date_col: str = "date") -> DataFrame:
 
 
 def holidays_in_range(frame: DataFrame, start, end) -> DataFrame:
-    """holidays between two dates (inclusive), over the years they span."""
-    spark = frame.sparkSession
-    tenants = frame.select(ORG).distinct()
-    years = tenants.select(ORG, F.explode(F.sequence(F.year(as_date(start)), F.year(as_date(end)))).alias("year"))
-    del spark
-    h = holidays_for_years(years)
-    return h.filter(F.col("holiday_date").between(as_date(start), as_date(end)))
+    """each tenant's holidays between two dates (inclusive), over the years they
+    span; the dates may be columns of a frame with one row per tenant."""
+    spans = frame.select(ORG, as_date(start).alias("_lo"), as_date(end).alias("_hi")).distinct()
+    years = spans.select(ORG, F.explode(F.sequence(F.year("_lo"), F.year("_hi"))).alias("year")).distinct()
+    h = holidays_for_years(years).join(per_tenant(spans), ORG)
+    return h.filter(F.col("holiday_date").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
 def _dates_with_next_year(dates: DataFrame) -> DataFrame:

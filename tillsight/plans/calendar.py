@@ -375,8 +375,5 @@ WHERE h.holiday_date BETWEEN a.as_of - INTERVAL 30 DAY AND a.as_of + INTERVAL 60
 def f03(spark, sf):
     """Holidays from 30 days before to 60 days after each tenant's latest date."""
     a = tenant_as_of(sales_fact(spark, sf))
-    years = a.select(ORG, F.explode(F.sequence(F.year(F.date_sub("as_of", 30)), F.year(F.date_add("as_of", 60))))
-                     .alias("year"))
-    h = K.holidays_for_years(years).join(a, ORG)
-    return h.filter(F.col("holiday_date").between(F.date_sub("as_of", 30), F.date_add("as_of", 60))).select(
+    return K.holidays_in_range(a, F.date_sub("as_of", 30), F.date_add("as_of", 60)).select(
         ORG, "table_year", "name", "holiday_date", "category")

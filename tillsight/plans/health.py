@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillsight.functions.core import ORG, tenant_as_of
+from tillsight.functions.core import ORG
 from tillsight.operators import alerts as A
 from tillsight.operators import health as J
 from tillsight.operators import inventory as H
@@ -195,7 +195,7 @@ def j10(spark, sf):
     return A.store_zscores(sales_fact(spark, sf))
 
 
-J12_SQL = with_fact(f"""{DEC},
+ALERTS_SQL = with_fact(f"""{DEC},
 t_asof AS (SELECT organization_id, MAX(date) AS as_of FROM fact GROUP BY organization_id),
 chg AS (
   SELECT f.organization_id, f.item_id, f.store_id,
@@ -218,36 +218,24 @@ up AS (
   FROM t_asof a JOIN hol h ON h.organization_id = a.organization_id AND h.holiday_date >= a.as_of
   QUALIFY row_number() OVER (PARTITION BY a.organization_id ORDER BY h.holiday_date, h.table_year, h.name) <= 10),
 al AS (
-  SELECT organization_id, 'stockout_risk' AS alert_type FROM dec
+  SELECT organization_id, 'stockout_risk' AS alert_type, CASE WHEN stockout_in_days <= 3 THEN 'critical' ELSE 'high' END AS severity FROM dec
     WHERE stockout_in_days IS NOT NULL AND stockout_in_days <= 7
-  UNION ALL SELECT organization_id, 'overstock' FROM dec WHERE days_of_stock > 90
+  UNION ALL SELECT organization_id, 'overstock', 'medium' FROM dec WHERE days_of_stock > 90
   UNION ALL SELECT organization_id, CASE WHEN (recent - prior) / prior * 100 >= 40 THEN 'demand_spike'
-                                         ELSE 'demand_drop' END
+                                         ELSE 'demand_drop' END,
+         CASE WHEN (recent - prior) / prior * 100 >= 40 THEN 'high' ELSE 'medium' END
     FROM chg WHERE prior > 0 AND abs((recent - prior) / prior * 100) >= 40
-  UNION ALL SELECT organization_id, 'store_performance' FROM sz WHERE hn >= 14 AND hs > 0 AND abs((rm - hm) / hs) > 2
-  UNION ALL SELECT organization_id, 'upcoming_holiday' FROM up WHERE du BETWEEN 0 AND 7)
-SELECT organization_id, alert_type, COUNT(*) AS n_alerts FROM al GROUP BY 1, 2""")
+  UNION ALL SELECT organization_id, 'store_performance', CASE WHEN abs((rm - hm) / hs) > 3 THEN 'high' ELSE 'medium' END FROM sz WHERE hn >= 14 AND hs > 0 AND abs((rm - hm) / hs) > 2
+  UNION ALL SELECT organization_id, 'upcoming_holiday', 'info' FROM up WHERE du BETWEEN 0 AND 7)
+""")
 
-
-J13_SQL = J12_SQL.replace(
-    "SELECT organization_id, alert_type, COUNT(*) AS n_alerts FROM al GROUP BY 1, 2", """
+J12_SQL = ALERTS_SQL + "SELECT organization_id, alert_type, COUNT(*) AS n_alerts FROM al GROUP BY 1, 2"
+J13_SQL = ALERTS_SQL + """
 SELECT organization_id, COUNT(*) AS open, COUNT(*) AS unread,
   COUNT(CASE WHEN severity = 'critical' THEN 1 END) AS critical, COUNT(CASE WHEN severity = 'high' THEN 1 END) AS high,
   COUNT(CASE WHEN severity = 'medium' THEN 1 END) AS medium, COUNT(CASE WHEN severity = 'low' THEN 1 END) AS low,
   COUNT(CASE WHEN severity = 'info' THEN 1 END) AS info
-FROM al GROUP BY 1""").replace(
-    "SELECT organization_id, 'stockout_risk' AS alert_type FROM dec",
-    "SELECT organization_id, 'stockout_risk' AS alert_type, "
-    "CASE WHEN stockout_in_days <= 3 THEN 'critical' ELSE 'high' END AS severity FROM dec").replace(
-    "UNION ALL SELECT organization_id, 'overstock' FROM dec",
-    "UNION ALL SELECT organization_id, 'overstock', 'medium' FROM dec").replace(
-    "ELSE 'demand_drop' END\n    FROM chg",
-    "ELSE 'demand_drop' END,\n    CASE WHEN (recent - prior) / prior * 100 >= 40 THEN 'high' ELSE 'medium' END\n    FROM chg").replace(
-    "UNION ALL SELECT organization_id, 'store_performance' FROM sz",
-    "UNION ALL SELECT organization_id, 'store_performance', "
-    "CASE WHEN abs((rm - hm) / hs) > 3 THEN 'high' ELSE 'medium' END FROM sz").replace(
-    "UNION ALL SELECT organization_id, 'upcoming_holiday' FROM up",
-    "UNION ALL SELECT organization_id, 'upcoming_holiday', 'info' FROM up")
+FROM al GROUP BY 1"""
 
 
 @query("j12_alert_counts", J12_SQL)
@@ -266,5 +254,3 @@ def j13(spark, sf):
                             "2001-11-05 00:00:00")
     return A.alert_counts(table)
 
-
-_ = tenant_as_of

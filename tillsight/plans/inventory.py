@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillsight.functions.core import tenant_as_of
 from tillsight.operators import inventory as H
 from tillsight.plans.catalog import query, r4, with_fact
 from tillsight.sources.tables import SalesTables, sales_fact
@@ -287,5 +286,3 @@ def h14t(spark, sf):
     """Top ten series by |Δ order quantity| per scenario."""
     return H.top_changes(H.scenario_decisions(_stats(spark, sf), SCENARIOS), 10)
 
-
-_ = tenant_as_of
