@@ -12,6 +12,7 @@ probed (texts with the start of a special token's name keep their case).
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 
@@ -38,8 +39,17 @@ class WordMemo:
         from tokenizers import Tokenizer
         self.tokenizer, self.table = Tokenizer.from_file(path), WordTable(most)
         self._empty()
+        self.final = self._final_pieces()
         self.folds = all(self._ids([a]) == self._ids([b]) for a, b in (("ThE", "the"), ("the,", "the ,"), ("q.", "q .")))
 
+    def _final_pieces(self):
+        """Which ids end a word, by the file's end-of-word suffix; None if it has none."""
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        out = np.zeros(max(vocabulary.values()) + 1, bool)
+        out[[i for piece, i in vocabulary.items() if suffix and piece.endswith(suffix)]] = True
+        return out if suffix else None
+
     def _empty(self) -> None:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(self.table.most, np.int64), np.zeros(self.table.most, np.int32)
@@ -48,17 +58,39 @@ class WordMemo:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, words: list, first: int) -> None:
-        ids = self._ids([w.decode() for w in words])
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = array("I")
-        for x in ids:
-            flat.extend(x)
+        words = [w.decode() for w in words]
+        size, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        at = self.used
+        # A word of letters alone ends with its only end-of-word piece, so many of them can be one text.
+        letters = [i for i, w in enumerate(words) if self.final is not None and w.isalpha()]
+        chunks = [letters[i:i + 256] for i in range(0, len(letters), 256)]
+        found, flat, rest = self._ids([" ".join([words[i] for i in c]) for c in chunks]), [], []
+        for c, ids in zip(chunks, found):
+            ids = np.array(ids, np.uint32)
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) == len(c) and ends[-1] == len(ids):
+                size[c] = np.diff(ends, prepend=0)
+                start[c] = at + ends - size[c]
+                flat.append(ids)
+                at += len(ids)
+            else:
+                rest += c
+        alone = set(letters)
+        rest += [i for i in range(len(words)) if i not in alone]
+        if rest:
+            ids = self._ids([words[i] for i in rest])
+            size[rest] = np.fromiter(map(len, ids), np.int64, len(ids))
+            start[rest] = at + np.cumsum(size[rest]) - size[rest]
+            one = array("I")
+            for x in ids:
+                one.extend(x)
+            flat.append(np.frombuffer(one, np.uint32))
+        flat = np.concatenate(flat)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used:self.used + len(flat)] = np.frombuffer(flat, np.uint32)
-        self.size[first:first + len(ids)] = size
-        self.start[first:first + len(ids)] = self.used + np.cumsum(size) - size
+        self.flat[self.used:self.used + len(flat)] = flat
         self.used += len(flat)
+        self.size[first:first + len(words)], self.start[first:first + len(words)] = size, start
 
     def _piece(self, data: bytes):
         """ids of the words in some bytes, and per word where it starts and its number of ids."""

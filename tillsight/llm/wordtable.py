@@ -78,9 +78,9 @@ class WordTable:
         """The number of each word; ``learn`` is called with the places of the
         first of each new word, after the table has taken them, in their order."""
         found = self.find(one, two)
-        new = np.flatnonzero(found < 0)
-        if len(new):
-            new = new[_first(one[new], two[new])]
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = missing[_first(one[missing], two[missing])]
             if self.n + len(new) > self.most:
                 if self.n == 0:
                     raise ValueError(f"more than {self.most} different words at once")
@@ -89,7 +89,7 @@ class WordTable:
                 return self.numbers(one, two, learn)
             self.add(one[new], two[new])
             learn(new)
-            found = self.find(one, two)
+            found[missing] = self.find(one[missing], two[missing])
         return found
 
 
