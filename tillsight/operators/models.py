@@ -107,7 +107,8 @@ def baseline_predict(model: DataFrame, rows: DataFrame, per_series: bool = False
 
 # -------------------------------------------------------------- MLlib models
 
-# G02 random forest, G03 boosted trees "A", G04 boosted trees "B" (other bins / subsampling)
+# Fixed values that must equal the reference's: sizes, rates and seeds of G02 random forest,
+# G03 boosted trees "A" and G04 boosted trees "B".
 MODEL_SPECS = {
     # maxMemoryInMB / cacheNodeIds only change how many tree nodes MLlib splits per pass
     "random_forest": dict(kind="rf", numTrees=100, maxDepth=10, seed=42, maxMemoryInMB=1024, cacheNodeIds=True),
