@@ -141,6 +141,18 @@ def test_keep_one_keeps_one_of_each_class(odd):
     assert {d for d in got if d is not None} == ids and all(n == 1 for d, n in got.items() if d is not None) and classes
 
 
+def test_keep_one_tells_classes_apart_without_ids(spark):
+    null, other = (" ".join(f"{x}{i}" for i in range(100)) for x in "wv")
+    rows = [(None, f"null {i} has five words or more") for i in range(6)]  # six classes of null ids
+    rows += [(3, "one text under the id three"), (3, "quite another text with that same id")]
+    rows += [(3, ""), (3, " "), (3, None), (None, None), (None, "\n"), (None, "\n")]  # without words: all stay
+    copies = [rows[0], rows[7], (None, null), (None, null + " tail"), (4, other), (5, other), (None, other)]
+    docs = spark.createDataFrame([(i, t, "?") for i, t in rows + copies], "doc_id long, text string, label string").repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard.keep_one(docs, ("doc_id", "text")).collect())
+    assert got.pop((None, null), 0) + got.pop((None, null + " tail"), 0) == 1
+    assert got == Counter([*rows, (4, other)])
+
+
 # mixing
 
 def brute_targets(sizes, weights=(3, 1, 2), share=Fraction(3, 2), most=2):

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import ship, staged, text_bytes
+from tillsight.llm.common import WORD, ship, staged, text_bytes, text_of
 from tillsight.llm.graph import components
 from tillsight.llm.shingles import minhash, shingles
 
@@ -165,9 +165,10 @@ def verified(cands: DataFrame, trees: int, depth: int, k: int, threshold: float)
     return dealt.groupBy("c", "i", "j").applyInArrow(run, "kind int, a long, b long, n long, m long")
 
 
-def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 24, depth: int = 6, recall: float = 0.999,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_key, class_id, n_links of every document."""
+def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 24, depth: int = 6, recall: float = 0.999,
+            id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The documents (doc, key, n, sig), and of each text with words: key, first (its
+    least id), label (of its class, unlike an id never shared or null), class_id, n_links."""
     signed = staged(signatures(docs, trees, depth, size, id_col, text_col), "jaccard-signatures")
     texts = signed.where("n > 0").groupBy("key").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("weight"))
     # the ids of nodes are fixed by writing them
@@ -188,8 +189,14 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 24
     label = components(found.where("kind = 1").select("a", "b"))
     named = texts.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).join(links, "node", "left")
     class_id = named.groupBy("label").agg(F.min("first").alias("class_id"))
-    named = named.join(class_id, "label").select("key", "class_id", (F.coalesce("other", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"))
-    return signed.select(F.col("doc").alias("doc"), "key").join(named, "key", "left").select(
+    return signed, named.join(class_id, "label").select(
+        "key", "first", "label", "class_id", (F.coalesce("other", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """id, text_key, class_id, n_links of every document; ``how``: as in ``classes``."""
+    signed, named = classes(docs, id_col=id_col, text_col=text_col, **how)
+    return signed.select("doc", "key").join(named, "key", "left").select(
         F.col("doc").alias(id_col), F.col("key").alias("text_key"),
         F.when(F.col("n_links").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
@@ -225,11 +232,19 @@ def _sets(docs: DataFrame, parts: DataFrame, reps: DataFrame, size: int, id_col:
 
 
 def keep_one(docs: DataFrame, columns, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``columns`` of one document of each class: the one whose id is the class id
-    (of rows that repeat it, one). Documents without words all stay."""
-    found = join(docs, id_col=id_col, text_col=text_col, **how)
-    found = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy(id_col).agg(
-        F.min("text_key").alias("k"), F.count(F.lit(1)).alias("times")).withColumnRenamed(id_col, "_id")
-    key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    kept = docs.join(found.hint("shuffle_hash"), docs[id_col].eqNullSafe(found["_id"]) & (key == found["k"])).select(*columns, "times")
-    return kept.where("times = 1").drop("times").unionByName(kept.where("times > 1").drop("times").dropDuplicates([id_col]))
+    """``columns`` of one document of each class: one whose id is the class id (of
+    several texts with that id the one with the least key, of rows that repeat it one).
+    Classes are told apart by label, so null ids, or one id on unlike texts, lose
+    nothing. Documents without words all stay."""
+    signed, named = classes(docs, id_col=id_col, text_col=text_col, **how)
+    least = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key"))
+    reps = named.groupBy("label").agg(least.alias("r")).select("label", F.col("r.first").alias("_id"), F.col("r.key").alias("_key"))
+    # how many rows repeat the kept one
+    found = (signed.select("doc", "key").join(reps, F.col("doc").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+                   .groupBy(F.col("_id").alias("_keep_id"), F.col("_key").alias("_keep_key")).agg(F.count(F.lit(1)).alias("_times")))
+    key = F.unhex(F.md5(text_of(text_col)))
+    kept = docs.join(found.hint("shuffle_hash"), docs[id_col].eqNullSafe(found["_keep_id"]) & (key == found["_keep_key"]))
+    kept = kept.select(*[docs[c] for c in columns], "_keep_id", "_keep_key", "_times")
+    again = kept.where("_times > 1").dropDuplicates(["_keep_id", "_keep_key"])
+    return (kept.where("_times = 1").select(*columns).unionByName(again.select(*columns))
+                .unionByName(docs.where(~text_of(text_col).rlike(WORD)).select(*columns)))
