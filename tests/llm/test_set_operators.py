@@ -52,6 +52,16 @@ def test_top_k_is_brute_force(spark):
     assert mtree.top_k(df.where("false"), F.col("id") % 10 == 0).count() == 0
 
 
+def test_top_k_of_a_repeated_query_row(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(100, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for times in (2, 7):  # rows of the query itself score highest, in the second case there are more than k
+        rows = [(i, [float(v) for v in x[i]]) for i in [*range(100), *[0] * (times - 1)]]
+        got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 10 == 0, k=5)
+        assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 5, 10)
+
+
 def test_tree_leaves_out_most_distances():
     rng = np.random.default_rng(1)
     x = (np.repeat(rng.normal(size=(40, 8)) * 1000, 50, axis=0) + rng.normal(size=(2000, 8)) * 5).astype(np.int64)

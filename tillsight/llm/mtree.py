@@ -145,7 +145,8 @@ class Tree:
                 whole = len(open_) == len(apart)
                 scores = (x[first:first + len(apart)] if whole else x[open_]) @ q
                 if (worst := least()) is None and len(scores) > 4 * k:
-                    worst = np.partition(scores, -k - 1)[-k - 1]  # k others, should the query itself be among them
+                    others = scores[self.ids[open_] != own]  # rows of the query itself are no candidates, however many
+                    worst = np.partition(others, -k)[-k] if len(others) > k else None
                 use = np.flatnonzero(scores >= worst) if worst is not None else range(len(scores))
                 for j in use:
                     s, i = int(scores[j]), int(self.ids[open_[j]])
