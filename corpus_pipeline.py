@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillsight.llm import jaccard, line_dedup, mix, packing, quality
+from tillsight.llm.common import staged
 from tillsight.llm.register import table, tokenizer
 from tillsight.session import scratch_path
 
@@ -42,16 +43,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard.keep_one(docs, COLUMNS)
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; the last take of a source may cut one document."""
-    drawn = mix.mix(docs)
-    takes = drawn.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "size", F.explode("takes").alias("t"))
-    takes = takes.select("_id", "_hash", "size", "t.words")
-    takes = takes.groupBy("_id", "_hash").agg(F.first("size").alias("size"), F.collect_list("words").alias("takes")).hint("shuffle_hash")
-    out = docs.join(takes, docs["doc_id"].eqNullSafe(takes["_id"]) & (F.xxhash64("text") == takes["_hash"]))
-    out = out.select(*COLUMNS, "size", F.explode("takes").alias("words"))
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, **how) -> DataFrame:
+    """Each document as often as the mix takes it; the last take of a source may cut one
+    document. A shard lies in one partition, in its shuffled order, so that packing
+    reads mixed shards. Rows of equal id, text, source and lang are interchangeable:
+    they become one row, which is given the takes of all of them. ``how``: as in ``mix.mix``."""
+    same = ["_id", "_hash", "_source", "_lang"]
+    drawn = mix.mix(docs, keep=("lang",), **how)
+    drawn = staged(drawn.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"),
+                                F.col("lang").alias("_lang"), "size", "takes"), "pipeline-takes")
+    groups = drawn.groupBy(*same).agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("times"), F.first("takes").alias("takes"))
+    groups = groups.where("times > 1 or size(takes) > 0").hint("shuffle_hash")
+    found = docs.join(groups, docs["doc_id"].eqNullSafe(groups["_id"]) & (F.xxhash64("text") == groups["_hash"])
+                      & docs["source"].eqNullSafe(groups["_source"]) & docs["lang"].eqNullSafe(groups["_lang"]))
+    once = found.where("times = 1").select(*COLUMNS, "size", "takes")
+    of_all = drawn.groupBy(*[F.col(c).alias(f"{c}s") for c in same]).agg(F.flatten(F.collect_list("takes")).alias("of_all"))
+    again = found.where("times > 1").dropDuplicates(same).join(
+        of_all, F.col("_id").eqNullSafe(F.col("_ids")) & (F.col("_hash") == F.col("_hashs"))
+        & F.col("_source").eqNullSafe(F.col("_sources")) & F.col("_lang").eqNullSafe(F.col("_langs")))
+    out = once.unionByName(again.select(*COLUMNS, "size", F.col("of_all").alias("takes")))
+    out = out.select(*COLUMNS, "size", F.explode("takes").alias("t")).select(*COLUMNS, "size", "t.shard", "t.place", "t.words")
     text = F.when(F.col("words") >= F.col("size"), F.col("text")).otherwise(mix.first_words(F.col("text"), F.col("words")))
-    return out.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    out = out.withColumn("text", text).repartition("shard").sortWithinPartitions("shard", "place", "words")
+    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

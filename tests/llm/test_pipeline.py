@@ -80,6 +80,31 @@ def test_mix_stage(frames):
     assert all(WORD.search(r["text"]) for r in after)
 
 
+def test_mix_stage_writes_shards_in_their_order(spark, tmp_path):
+    rows = [(i if i % 3 else None, " ".join(f"t{i}w{k}" for k in range(5 + i % 9)), "en", "ab"[i % 2]) for i in range(300)]
+    rows += [rows[1]] * 4 + [(*rows[1][:2], "fr", "a"), (*rows[1][:2], "fr", "b"), (7, "", "en", "a"), (7, None, None, None)]  # repeated rows, and ones that differ elsewhere
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    how = dict(block_words=64, shard_blocks=8)
+    pipeline.mix_sources(spark, docs, SF, **how).write.parquet(f"{tmp_path}/mixed")
+    got = []
+    for f in sorted(os.listdir(f"{tmp_path}/mixed")):
+        if f.endswith(".parquet"):
+            part = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in spark.read.parquet(f"{tmp_path}/mixed/{f}").coalesce(1).collect()]
+            got.append(part)
+    hashed = {r["h"]: r["text"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    shards = defaultdict(list)
+    for r in pipeline.mix.mix(docs, keep=("lang",), **how).collect():
+        for t in r["takes"]:
+            text = " ".join(hashed[r["text_hash"]].split(" ")[:t["words"]])
+            shards[t["shard"]].append((t["place"], t["words"], (r["doc_id"], text, r["lang"], r["source"])))
+    assert len(shards) >= 4 and sum(map(len, got)) == sum(map(len, shards.values()))
+    text_of = lambda row: row[:2]  # noqa: E731  # equal rows of other lang share their place
+    for s in shards.values():
+        want = [x[2] for x in sorted(s, key=lambda x: x[:2])]
+        runs = [part[i:i + len(want)] for part in got for i in range(len(part))]
+        assert any(list(map(text_of, x)) == list(map(text_of, want)) and Counter(x) == Counter(want) for x in runs)
+
+
 def test_packing_stage(frames):
     before, after, _ = frames[4]
     ids = defaultdict(list)

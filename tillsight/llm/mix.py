@@ -150,14 +150,15 @@ def shard_quotas(quota: DataFrame, levels: int, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, block_words: int = 1 << 16, shard_blocks: int = 64,
-        seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+        seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple = ()) -> DataFrame:
     """One row per row of ``docs``: id, source, size, source_size, target, text_hash and
     takes, an array of (epoch, shard, words, place): the epochs that draw the row,
     the output shard of each, the first so many words of the row it takes, and
-    where the row stands in the shard's shuffled order."""
+    where the row stands in the shard's shuffled order. ``keep``: further columns
+    to hand on, of other names than these."""
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
                         F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
-                        F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+                        F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), *keep)
     sized = staged(sized, "mix-sizes")
     goals = targets(source_sizes(sized), weights, share, most)
     goals = staged(goals.withColumn("n_blocks", F.greatest(F.lit(1), F.round((F.col("source_size") + F.col("n_rows")) / block_words)).cast("long")), "mix-targets")
@@ -195,7 +196,7 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, b
                       .agg(F.sort_array(F.collect_list(F.struct("epoch", "shard", "words", "room"))).alias("draws")))
 
     # A block taken whole gives its rows whole; of the last one, rows in hash order up to the target.
-    ahead = (Window.partitionBy("rank", "block").orderBy(F.xxhash64(F.lit(seed), F.lit("row"), "id", "text_hash"), "id", "size")
+    ahead = (Window.partitionBy("rank", "block").orderBy(F.xxhash64(F.lit(seed), F.lit("row"), "id", "text_hash"), "id", "size", *keep)
                    .rowsBetween(Window.unboundedPreceding, -1))
     out = rows.join(per_block, ["rank", "block"], "left").withColumn("at", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
     words = lambda d: F.greatest(F.lit(0), F.least(F.col("size"), d["room"] - F.col("at"))).cast("long")
@@ -203,7 +204,7 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, b
         d["epoch"].alias("epoch"), d["shard"].alias("shard"), words(d).alias("words"),
         F.xxhash64(F.lit(seed), F.lit("shuffle"), F.col("id"), F.col("text_hash"), d["epoch"]).alias("place")))
     takes = F.filter(F.coalesce(takes, F.array()), lambda t: (t["words"] > 0))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "text_hash", takes.alias("takes"))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "text_hash", takes.alias("takes"), *keep)
 
 
 def taken(takes: Column) -> Column:
