@@ -147,16 +147,35 @@ def predict(model, rows: DataFrame, features: list[str]) -> DataFrame:
     return out.withColumn("pred", F.greatest(F.col("prediction"), F.lit(0.0))).drop("prediction", "features")
 
 
+def tenants(frame: DataFrame) -> list:
+    """The tenants of a frame, in order: models are fitted tenant by tenant."""
+    return [r[0] for r in frame.select(ORG).distinct().orderBy(ORG).collect()]
+
+
+def of_tenant(frame: DataFrame, tenant) -> DataFrame:
+    return frame.filter(F.col(ORG).eqNullSafe(F.lit(tenant)))
+
+
 def compare_models(frame: DataFrame, features: list[str], models=("baseline", "random_forest", "xgboost",
                                                                  "lightgbm"),
                    target: str = "sales", specs: dict | None = None, test_pct: int = 20) -> DataFrame:
-    """Split once, fit every model, score on the test rows; a failed model
-    keeps a NULL row; ``is_best`` marks the lowest MAE.
+    """Per tenant, split once, fit every model on the tenant's rows, score on its
+    test rows; a failed model keeps a NULL row; ``is_best`` marks the tenant's lowest MAE.
 
     The split is cached (it is read once per model); the model fits run as
-    MLlib jobs on the executors. Metrics are per tenant and pooled.
+    MLlib jobs on the executors, one tenant after the other.
     """
-    spark = frame.sparkSession
+    parts = [_compare_one(of_tenant(frame, t), t, features, models, target, specs, test_pct) for t in tenants(frame)]
+    schema = (f"{ORG} string, model string, points long, mae double, rmse double, r2 double, mape double, wape double, "
+              "bias double, bias_percent double, training_time_sec double, error string")
+    cols = [c.split()[0] for c in schema.split(", ")]
+    df = frame.sparkSession.createDataFrame([tuple(r.get(c) for c in cols) for part in parts for r in part], schema)
+    best = F.min_by("model", F.when(F.col("mae").isNotNull(), F.struct("mae", "model"))).over(Window.partitionBy(ORG))
+    return df.withColumn("is_best", F.col("model") == F.when(F.col("mae").isNotNull(), best))
+
+
+def _compare_one(frame: DataFrame, tenant, features: list[str], models, target: str, specs: dict | None, test_pct: int) -> list[dict]:
+    """One tenant's rows of ``compare_models``."""
     train, test = hash_split(frame, SERIES + ["date"], test_pct)
     train, test = train.cache(), test.cache()
     rows = []
@@ -173,15 +192,10 @@ def compare_models(frame: DataFrame, features: list[str], models=("baseline", "r
             res.update(model=name, training_time_sec=round(time.time() - t0, 2), error=None)
         except Exception as e:  # noqa: BLE001 — a failed model is reported, not raised
             res = dict(model=name, training_time_sec=None, error=str(e)[:500])
-        rows.append(res)
-    schema = ("model string, points long, mae double, rmse double, r2 double, mape double, wape double, "
-              "bias double, bias_percent double, training_time_sec double, error string")
-    cols = [c.split()[0] for c in schema.split(", ")]
-    df = spark.createDataFrame([tuple(r.get(c) for c in cols) for r in rows], schema)
-    best = F.min_by("model", F.struct("mae", "model")).over(Window.partitionBy())
+        rows.append(res | {ORG: tenant})
     train.unpersist()
     test.unpersist()
-    return df.withColumn("is_best", F.col("model") == F.when(F.col("mae").isNotNull(), best))
+    return rows
 
 
 def feature_importance(model, features: list[str], top_n: int = 20) -> list[tuple[str, float]]:

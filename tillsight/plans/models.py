@@ -8,6 +8,8 @@ registered rows-only: their numbers depend on the learning library.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tillsight.functions.core import ORG
@@ -184,20 +186,29 @@ def g05(spark, sf):
 
 
 def _features(spark, sf):
+    """(tenant, its feature rows, its selected features) of every tenant."""
     # stored once: feature selection, the fit (several passes) and the forecast all read it
     fe = materialize(E.all_features(sales_fact(spark, sf)), "features")
-    return fe, E.select_features(fe)
+    for tenant in G.tenants(fe):
+        mine = G.of_tenant(fe, tenant)
+        yield tenant, mine, E.select_features(mine)
+
+
+def _union(parts, empty):
+    """``parts`` below each other; without any, the frame ``empty()`` gives."""
+    parts = list(parts)
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else empty()
 
 
 @query("g06_model_comparison")
 def g06(spark, sf):
-    """Baseline, random forest and two boosted-tree models trained on the feature
-    frame and compared on a hash-split 20 % test set, at the reference's model sizes
-    (rows only; two times 200 boosting rounds of depth 8 take minutes at any scale).
-    The query fails if a model could not be fitted."""
-    fe, feats = _features(spark, sf)
-    out = G.compare_models(fe, feats)
-    failed = out.filter(F.col("error").isNotNull()).select("model", "error").collect()  # one row per model
+    """Baseline, random forest and two boosted-tree models trained on each tenant's feature
+    rows and compared on its hash-split 20 % test set, at the reference's model sizes
+    (rows only; two times 200 boosting rounds of depth 8 per tenant take minutes at any
+    scale). The query fails if a model could not be fitted."""
+    out = _union((G.compare_models(mine, feats) for _, mine, feats in _features(spark, sf)),
+                 lambda: G.compare_models(sales_fact(spark, sf).limit(0), []))
+    failed = out.filter(F.col("error").isNotNull()).select(ORG, "model", "error").collect()  # one row per tenant and model
     if failed:
         raise RuntimeError(f"models failed: {[tuple(r) for r in failed]}")
     return out
@@ -205,20 +216,32 @@ def g06(spark, sf):
 
 @query("g13_forecast_random_forest")
 def g13(spark, sf):
-    """Random-forest forecast of every series 28 days ahead (rows only)."""
-    fe, feats = _features(spark, sf)
-    m = G.fit_model(fe, feats, "random_forest")
-    return G.forecast_series(m, fe, feats, HORIZON)
+    """Forecast of every series 28 days ahead by its tenant's random forest (rows only)."""
+    return _union((G.forecast_series(G.fit_model(mine, feats, "random_forest"), mine, feats, HORIZON) for _, mine, feats in _features(spark, sf)),
+                  lambda: spark.createDataFrame([], f"{ORG} string, item_id string, store_id string, date date, predicted_sales double"))
 
 
 @query("g15_feature_importance")
 def g15(spark, sf):
-    """Top-20 random-forest feature importances (rows only)."""
-    fe, feats = _features(spark, sf)
-    m = G.fit_model(fe, feats, "random_forest")
-    pairs = G.feature_importance(m, feats, 20)
-    return spark.createDataFrame([(i + 1, n, v) for i, (n, v) in enumerate(pairs)],
-                                 "rank int, feature string, importance double")
+    """Top-20 feature importances of each tenant's random forest (rows only)."""
+    rows = []
+    for tenant, mine, feats in _features(spark, sf):
+        pairs = G.feature_importance(G.fit_model(mine, feats, "random_forest"), feats, 20)
+        rows += [(tenant, i + 1, n, v) for i, (n, v) in enumerate(pairs)]
+    return spark.createDataFrame(rows, f"{ORG} string, rank int, feature string, importance double")
+
+
+@query("g16_linear_attribution_top")
+def g16(spark, sf):
+    """Mean |attribution| per feature of each tenant's linear demand model, top 20 (rows only)."""
+    def one(tenant, mine, feats):
+        m = G.fit_linear(mine, feats)
+        coefs = dict(zip(feats, map(float, m.coefficients.toArray())))
+        top = G.global_attribution(G.linear_attribution(mine, coefs, float(m.intercept)), 20)
+        return top.select(F.lit(tenant).cast("string").alias(ORG), *top.columns)
+
+    return _union((one(*x) for x in _features(spark, sf)),
+                  lambda: spark.createDataFrame([], f"{ORG} string, feature string, mean_abs_attribution double, rank long"))
 
 
 @query("a17_forecast_headers", with_fact(f"""WITH {BASE_SQL}
@@ -231,13 +254,3 @@ def a17(spark, sf):
     """Forecast header rows (A17) of the per-series baseline forecast."""
     _, hdr, _ = _matured(spark, sf)
     return hdr
-
-
-@query("g16_linear_attribution_top")
-def g16(spark, sf):
-    """Mean |attribution| per feature of a linear demand model, top 20 (rows only)."""
-    fe, feats = _features(spark, sf)
-    m = G.fit_linear(fe, feats)
-    coefs = dict(zip(feats, map(float, m.coefficients.toArray())))
-    attr = G.linear_attribution(fe, coefs, float(m.intercept))
-    return G.global_attribution(attr, 20)
