@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import dac, jaccard, language, line_dedup, mix, mtree, packing, quality, secrets, viterbi
+from tillsight.llm import dac, fim, jaccard, language, line_dedup, mix, mtree, onebit, packing, quality, secrets, viterbi, whitening
 from tillsight.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -79,6 +79,20 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.transform(table(spark, sf_dir, "documents"), unit="line", rate=100, spm_rate=50, seed=7)
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings"), k=32, scale=64.0, offset=1_000_000))
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onebit.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 l AS (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
@@ -146,9 +160,30 @@ FROM d LEFT JOIN f USING (r)
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l FROM d),
+c AS (SELECT *, len(l) AS n, [CAST('0x' || h[8 * i + 1:8 * i + 8] AS UBIGINT) FOR i IN range(4)] AS g FROM u),
+k AS (SELECT *, least(g[1] % (n + 1), g[2] % (n + 1)) AS a, greatest(g[1] % (n + 1), g[2] % (n + 1)) AS b FROM c),
+p AS (SELECT *, array_to_string(l[1:a], '') AS pre, array_to_string(l[a + 1:b], '') AS mid, array_to_string(l[b + 1:], '') AS suf,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR g[3] % 100 >= 100 THEN 'plain'
+                  WHEN g[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM k)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+QUERIES = (op1_line_dedup, op2_top_k, op3_jaccard_join, op4_quality_rules, op5_secret_scan, op6_token_counts, op7_source_mix, op8_language,
+           op9_token_ids, op10_pack, op11_fill_in_middle, op12_whitening, op13_nearest)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_top_k, op3_jaccard_join, op4_quality_rules, op5_secret_scan, op6_token_counts, op7_source_mix, op8_language, op9_token_ids, op10_pack)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracles() -> dict:
-    return {"op1_line_dedup": OP1_SQL, "op2_top_k": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op5_secret_scan": OP5_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_top_k": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op5_secret_scan": OP5_SQL, "op11_fill_in_middle": OP11_SQL}
