@@ -197,21 +197,6 @@ def test_register_candidates_and_overview(spark):
     assert ovf["B"].active_degraded is True and ovf["B"].needs_retrain is True
 
 
-def test_linear_attribution_sums_to_prediction(spark):
-    from tillsight.operators import models as G
-    df = spark.createDataFrame([("A", "I", "S", D(2026, 1, d), float(d), float(d % 3), 2.0 * d + 1.0 * (d % 3) + 5.0)
-                                for d in range(1, 25)],
-                               "organization_id string, item_id string, store_id string, date date, x1 double, "
-                               "x2 double, sales double")
-    m = G.fit_linear(df, ["x1", "x2"])
-    coefs = dict(zip(["x1", "x2"], map(float, m.coefficients.toArray())))
-    attr = G.linear_attribution(df, coefs, float(m.intercept))
-    tot = attr.groupBy("date", "base_value").agg(F.sum("attribution").alias("s")).join(
-        G.predict(m, df, ["x1", "x2"]).select("date", "pred"), "date").collect()
-    for r in tot:
-        assert r.base_value + r.s == pytest.approx(r.pred, abs=1e-6)
-
-
 def test_daily_recompute_over_ingested_tables(spark):
     from tillsight.streaming import ingest as M
     rows = [(f"2026-01-{d:02d}", f"P{p}", "S1", float(d + p), 2.0) for d in range(1, 29) for p in range(3)]
@@ -221,14 +206,3 @@ def test_daily_recompute_over_ingested_tables(spark):
     out = M.run_daily(spark, root)
     assert out["decisions"].count() == 3
     assert out["insights"].filter(F.col("insight_type") == "overall").count() == 1
-
-
-def test_models_are_compared_per_tenant(spark):
-    from tillsight.operators import models as G
-    rows = [(o, "i", str(k % 3), dt.date(2024, 1, 1) + dt.timedelta(days=k), float(k % 2), s)
-            for o, n, up in (("A", 300, 100.0), ("B", 60, -100.0)) for k in range(n) for s in (200 + up * (k % 2),)]
-    df = spark.createDataFrame(rows, "organization_id string, item_id string, store_id string, date date, x double, sales double")
-    got = G.compare_models(df, ["x"], ("baseline", "random_forest"), specs={"random_forest": dict(kind="rf", numTrees=5, maxDepth=2, seed=1)}).collect()
-    assert sorted((r.organization_id, r.model) for r in got) == [(o, m) for o in "AB" for m in ("baseline", "random_forest")]
-    assert {(r.organization_id, r.model) for r in got if r.is_best} == {("A", "random_forest"), ("B", "random_forest")}
-    assert all(r.mae < 1 for r in got if r.model == "random_forest")  # a forest over both tenants misses B's sales by far

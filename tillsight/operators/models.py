@@ -1,37 +1,38 @@
 """Demand models, forecasts and accuracy metrics.
 
 * Metrics (G10-G12) are one ``groupBy(...).agg`` — no per-group Python.
-* Tree models (G02-G04) are MLlib estimators fitted on the feature frame;
-  the additive trend + seasonality model (G05) is an ordinary least-squares
-  fit per tenant on its daily totals (a series bounded by the number of
-  days), done with ``applyInPandas`` + NumPy.
+* Tree models (G02-G04) of all tenants are grown in one job (``operators/trees.py``,
+  with their importances and attributions G15 / G16 and the recursive
+  forecast); linear and additive models (G05, G16) come from mergeable cross
+  sums (``operators/linear.py``).
 * Multi-step forecasts (G13) need no recursion in the reference's default
   mode (only calendar parts change), so they are one ``explode`` of the
-  horizon on each series' last row followed by one ``transform``.
+  horizon on each series' last row followed by one scoring pass.
 """
 
 from __future__ import annotations
 
-import math
-import time
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tillsight.functions import calendar as C
-from tillsight.functions.core import ORG, per_tenant
-
-SERIES = [ORG, "item_id", "store_id"]
+from tillsight.functions.core import ORG, col, per_tenant
+from tillsight.operators import trees
+from tillsight.operators.features import SERIES
+from tillsight.sources.tables import materialize
 
 
 # ------------------------------------------------------------------- metrics
 
-def metric_columns(actual: str = "actual", pred: str = "pred") -> list[Column]:
+METRICS = ("points", "mae", "rmse", "r2", "mape", "wape", "bias", "bias_percent")
+
+
+def metric_columns(actual: str | Column = "actual", pred: str | Column = "pred") -> list[Column]:
     """G10/G11 as aggregate expressions over rows where both values are present."""
-    ok = F.col(actual).isNotNull() & F.col(pred).isNotNull() & ~F.isnan(actual) & ~F.isnan(pred)
-    a = F.when(ok, F.col(actual).cast("double"))
-    p = F.when(ok, F.col(pred).cast("double"))
+    actual, pred = col(actual), col(pred)
+    ok = actual.isNotNull() & pred.isNotNull() & ~F.isnan(actual) & ~F.isnan(pred)
+    a = F.when(ok, actual.cast("double"))
+    p = F.when(ok, pred.cast("double"))
     err = p - a
     n = F.count(a)
     sse = F.sum(err * err)
@@ -71,10 +72,15 @@ def evaluate_forecast(forecast: DataFrame, actuals: DataFrame, grain: list[str]
 
 # ------------------------------------------------------------------- splits
 
+def in_test(keys: list[str], test_pct: int = 20, seed: int = 42) -> Column:
+    """Whether a hash of the row key puts a row into the test set (no shuffle, no RNG state)."""
+    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(100)) < test_pct
+
+
 def hash_split(df: DataFrame, keys: list[str], test_pct: int = 20, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Repeatable row split by a hash of the row key (no shuffle, no RNG state)."""
-    b = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(100))
-    return df.filter(b >= test_pct), df.filter(b < test_pct)
+    """Repeatable row split by a hash of the row key."""
+    test = in_test(keys, test_pct, seed)
+    return df.filter(~test), df.filter(test)
 
 
 def holdout_split(df: DataFrame, days: int = 28, date_col: str = "date") -> tuple[DataFrame, DataFrame]:
@@ -105,156 +111,45 @@ def baseline_predict(model: DataFrame, rows: DataFrame, per_series: bool = False
     return rows.join(per_tenant(g), ORG, "left").withColumnRenamed("global_mean", "pred")
 
 
-# -------------------------------------------------------------- MLlib models
-
-# Fixed values that must equal the reference's: sizes, rates and seeds of G02 random forest,
-# G03 boosted trees "A" and G04 boosted trees "B".
-MODEL_SPECS = {
-    # maxMemoryInMB / cacheNodeIds only change how many tree nodes MLlib splits per pass
-    "random_forest": dict(kind="rf", numTrees=100, maxDepth=10, seed=42, maxMemoryInMB=1024, cacheNodeIds=True),
-    "xgboost": dict(kind="gbt", maxIter=200, maxDepth=8, stepSize=0.1, seed=42),
-    "lightgbm": dict(kind="gbt", maxIter=200, maxDepth=8, stepSize=0.1, seed=42, maxBins=255,
-                     subsamplingRate=0.8),
-}
-
-
-def _estimator(spec: dict, features_col: str, label: str):
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-    params = {k: v for k, v in spec.items() if k != "kind"}
-    if spec["kind"] == "rf":
-        return RandomForestRegressor(featuresCol=features_col, labelCol=label, **params)
-    return GBTRegressor(featuresCol=features_col, labelCol=label, **params)
-
-
-def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
-    """E11 tail: NULL feature values -> 0, then one vector column."""
-    from pyspark.ml.feature import VectorAssembler
-    filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
-    return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(filled)
+# --------------------------------------------------------------- tree models
 
+def fitted(frame: DataFrame, models=tuple(trees.SPECS), target: str = "sales", specs: dict | None = None, test_pct: int = 20,
+           fit_rows: int = trees.FIT_ROWS) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(models of every tenant, the sampled rows with ``_test``, feature columns).
 
-def fit_model(train: DataFrame, features: list[str], model_type: str = "random_forest", target: str = "sales",
-              spec: dict | None = None):
-    """Fit one MLlib model on assembled features."""
-    spec = dict(spec or MODEL_SPECS[model_type])
-    est = _estimator(spec, "features", target)
-    return est.fit(assemble(train, features).filter(F.col(target).isNotNull()))
-
-
-def predict(model, rows: DataFrame, features: list[str]) -> DataFrame:
-    """Model prediction floored at 0."""
-    out = model.transform(assemble(rows, features))
-    return out.withColumn("pred", F.greatest(F.col("prediction"), F.lit(0.0))).drop("prediction", "features")
-
-
-def tenants(frame: DataFrame) -> list:
-    """The tenants of a frame, in order: models are fitted tenant by tenant."""
-    return [r[0] for r in frame.select(ORG).distinct().orderBy(ORG).collect()]
-
-
-def of_tenant(frame: DataFrame, tenant) -> DataFrame:
-    return frame.filter(F.col(ORG).eqNullSafe(F.lit(tenant)))
-
-
-def compare_models(frame: DataFrame, features: list[str], models=("baseline", "random_forest", "xgboost",
-                                                                 "lightgbm"),
-                   target: str = "sales", specs: dict | None = None, test_pct: int = 20) -> DataFrame:
-    """Per tenant, split once, fit every model on the tenant's rows, score on its
-    test rows; a failed model keeps a NULL row; ``is_best`` marks the tenant's lowest MAE.
-
-    The split is cached (it is read once per model); the model fits run as
-    MLlib jobs on the executors, one tenant after the other.
+    At most ``fit_rows`` rows of each tenant take part (the reference's bound); of these,
+    ``test_pct`` in a hundred, by key hash, are held out. Rows and models are stored: scoring, metrics and
+    attribution read them again.
     """
-    parts = [_compare_one(of_tenant(frame, t), t, features, models, target, specs, test_pct) for t in tenants(frame)]
-    schema = (f"{ORG} string, model string, points long, mae double, rmse double, r2 double, mape double, wape double, "
-              "bias double, bias_percent double, training_time_sec double, error string")
-    cols = [c.split()[0] for c in schema.split(", ")]
-    df = frame.sparkSession.createDataFrame([tuple(r.get(c) for c in cols) for part in parts for r in part], schema)
-    best = F.min_by("model", F.when(F.col("mae").isNotNull(), F.struct("mae", "model"))).over(Window.partitionBy(ORG))
-    return df.withColumn("is_best", F.col("model") == F.when(F.col("mae").isNotNull(), best))
-
-
-def _compare_one(frame: DataFrame, tenant, features: list[str], models, target: str, specs: dict | None, test_pct: int) -> list[dict]:
-    """One tenant's rows of ``compare_models``."""
-    train, test = hash_split(frame, SERIES + ["date"], test_pct)
-    train, test = train.cache(), test.cache()
-    rows = []
-    for name in models:
-        t0 = time.time()
-        try:
-            if name == "baseline":
-                # As in the reference: fitted on all rows (it scores rows it has seen).
-                scored = baseline_predict(baseline_fit(frame, target), test)
-            else:
-                m = fit_model(train, features, name, target, (specs or {}).get(name))
-                scored = predict(m, test, features)
-            res = scored.agg(*metric_columns(target, "pred")).collect()[0].asDict()
-            res.update(model=name, training_time_sec=round(time.time() - t0, 2), error=None)
-        except Exception as e:  # noqa: BLE001 — a failed model is reported, not raised
-            res = dict(model=name, training_time_sec=None, error=str(e)[:500])
-        rows.append(res | {ORG: tenant})
-    train.unpersist()
-    test.unpersist()
-    return rows
-
-
-def feature_importance(model, features: list[str], top_n: int = 20) -> list[tuple[str, float]]:
-    """Tree feature importances by name, largest first (driver-side, one value per feature)."""
-    imp = model.featureImportances.toArray()
-    pairs = sorted(zip(features, map(float, imp)), key=lambda x: (-x[1], x[0]))
-    return pairs[:top_n]
-
-
-# ---------------------------------------------------------- additive model
-
-def _fourier(t_days: Column, period: float, order: int, prefix: str) -> dict:
-    out = {}
-    for k in range(1, order + 1):
-        ang = 2 * math.pi * k * t_days / period
-        out[f"{prefix}_s{k}"] = F.sin(ang)
-        out[f"{prefix}_c{k}"] = F.cos(ang)
-    return out
-
-
-def additive_design(daily: DataFrame, yearly_order: int = 10, weekly_order: int = 3) -> tuple[DataFrame, list[str]]:
-    t = F.datediff("date", F.lit("1970-01-01")).cast("double")
-    cols = {"trend": t, **_fourier(t, 365.25, yearly_order, "y"), **_fourier(t, 7.0, weekly_order, "w")}
-    return daily.withColumns(cols), list(cols)
-
-
-def additive_forecast(daily: DataFrame, horizon: int = 28, yearly_order: int = 10,
-                      weekly_order: int = 3) -> DataFrame:
-    """Per tenant, least squares on trend + yearly + weekly Fourier terms of
-    the daily totals; fitted values for history, predictions for ``horizon``
-    days after the last date, and a ±1.96 σ(residual) band.
-
-    An approximation of the reference's additive model (its library is not
-    available), documented as such.
-    """
-    import numpy as np
-    import pandas as pd
-
-    last = daily.groupBy(ORG).agg(F.max("date").alias("_last"))
-    fut = (last.select(ORG, F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", horizon))).alias("date"))
-               .withColumn("y", F.lit(None).cast("double")))
-    allrows = daily.select(ORG, "date", F.col("sales").cast("double").alias("y")).unionByName(fut)
-    x, names = additive_design(allrows, yearly_order, weekly_order)
-    x = x.withColumn("trend", F.col("trend") / 365.25)
-    schema = T.StructType([T.StructField(ORG, T.StringType()), T.StructField("date", T.DateType()),
-                           T.StructField("y", T.DoubleType()), T.StructField("yhat", T.DoubleType()),
-                           T.StructField("yhat_lower", T.DoubleType()), T.StructField("yhat_upper", T.DoubleType())])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        a = np.column_stack([np.ones(len(pdf))] + [pdf[c].to_numpy(float) for c in names])
-        obs = pdf["y"].notna().to_numpy()
-        coef, *_ = np.linalg.lstsq(a[obs], pdf["y"].to_numpy(float)[obs], rcond=None)
-        yhat = a @ coef
-        sd = float(np.std(pdf["y"].to_numpy(float)[obs] - yhat[obs])) if obs.sum() > 1 else 0.0
-        return pd.DataFrame({ORG: pdf[ORG].to_numpy(), "date": pdf["date"].to_numpy(), "y": pdf["y"].to_numpy(),
-                             "yhat": yhat, "yhat_lower": yhat - 1.96 * sd, "yhat_upper": yhat + 1.96 * sd})
-
-    return x.select(ORG, "date", "y", *names).groupBy(ORG).applyInPandas(fit, schema)
+    keys = SERIES + ["date"]
+    features = trees.numeric_features(frame, target)
+    narrow = frame.where(F.col(target).isNotNull()).select(*keys, target, *features)
+    rows = materialize(trees.fit_sample(narrow, keys, fit_rows).drop("_place").withColumn("_test", in_test(keys, test_pct)), "model-rows")
+    packed = materialize(trees.pack(rows.where(~F.col("_test")), features, keys, target, fit_rows=fit_rows), "model-codes")
+    return materialize(trees.fit_models(packed, models, specs), "models"), rows, features
+
+
+def compare_models(frame: DataFrame, models=("baseline", *trees.SPECS), target: str = "sales", specs: dict | None = None, test_pct: int = 20) -> DataFrame:
+    """Per tenant, every model's metrics on the held-out rows (``train_*``: on the rows it was fitted on) and
+    its fitting seconds; ``is_best`` marks the tenant's lowest MAE. A model without rows to fit keeps a NULL row
+    with its ``error``. The baseline is fitted on all rows, as in the reference (it scores rows it has seen)."""
+    grown = [m for m in models if m != "baseline"]
+    fits, rows, features = fitted(frame, grown, target, specs, test_pct)
+    keys = SERIES + ["date"]
+    scored = trees.score(rows, fits, features, keys, [target, "_test"]) if grown else None
+    if "baseline" in models:
+        base = baseline_predict(baseline_fit(rows, target), rows).select(*keys, target, "_test", F.lit("baseline").alias("model"), "pred")
+        scored = base if scored is None else scored.unionByName(base)
+    each = scored.groupBy(ORG, "model").agg(
+        *metric_columns(F.when(F.col("_test"), F.col(target)), "pred"),
+        *[c.alias(f"train_{n}") for c, n in zip(metric_columns(F.when(~F.col("_test"), F.col(target)), "pred"), METRICS) if n in ("mae", "rmse", "r2")])
+    names = F.explode(F.array(*[F.lit(m) for m in models])).alias("model")
+    grid = frame.select(ORG).distinct().select(ORG, names)  # one row per tenant and model
+    seconds = fits.groupBy(ORG, "model").agg(F.sum("seconds").alias("training_time_sec"))
+    out = grid.join(each, [ORG, "model"], "left").join(seconds, [ORG, "model"], "left")
+    out = out.withColumn("error", F.when(F.col("mae").isNull(), F.lit("no rows to fit and score")))
+    best = F.min_by("model", F.when(F.col("mae").isNotNull(), F.struct("mae", "model"))).over(Window.partitionBy(ORG))  # a row per model
+    return out.withColumn("is_best", F.coalesce(F.col("model") == best, F.lit(False)))
 
 
 # ------------------------------------------------------------- forecasting
@@ -278,11 +173,11 @@ def future_frame(features: DataFrame, horizon: int = 28) -> DataFrame:
     return fut.withColumns({c: fn(F.col("date")) for c, fn in CALENDAR_PARTS.items() if c in fut.columns})
 
 
-def forecast_series(model, features: DataFrame, feature_names: list[str], horizon: int = 28) -> DataFrame:
-    """Forecast every series ``horizon`` days ahead in one transform."""
-    fut = future_frame(features, horizon)
-    out = predict(model, fut, feature_names)
-    return out.select(*SERIES, "date", F.col("pred").alias("predicted_sales"))
+def forecast_series(models: DataFrame, frame: DataFrame, features: list[str], horizon: int = 28) -> DataFrame:
+    """Forecast every series ``horizon`` days ahead by each model of its tenant
+    (``trees.forecast_recursive`` is the mode that feeds predictions back)."""
+    scored = trees.score(future_frame(frame, horizon), models, features, SERIES + ["date"])
+    return scored.withColumnRenamed("pred", "predicted_sales")
 
 
 def forecast_summary(forecast: DataFrame) -> DataFrame:
@@ -327,47 +222,3 @@ def worst_rows(scored: DataFrame, k: int = 20, actual: str = "sales", pred: str
     w = Window.partitionBy(ORG).orderBy(F.desc(F.abs(F.col(actual) - F.col(pred))), "item_id", "store_id", "date")
     return (scored.withColumn("abs_error", F.abs(F.col(actual) - F.col(pred)))
                   .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
-
-
-# ----------------------------------------------------------- attribution
-
-def linear_attribution(frame: DataFrame, coefficients: dict[str, float], intercept: float = 0.0,
-                       keys: list[str] = SERIES + ["date"]) -> DataFrame:
-    """G16 for linear models: exact additive attribution ``coef · (x − mean(x))``;
-    base value = prediction at the feature means. Long format, one row per
-    (row, feature); the global ranking (G16) is ``avg(abs(attribution))``."""
-    means = frame.agg(*[F.avg(c).alias(c) for c in coefficients]).first()
-    parts = [F.struct(F.lit(c).alias("feature"),
-                      (F.lit(w) * (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(means[c] or 0.0)))
-                      .alias("attribution")) for c, w in coefficients.items()]
-    base = intercept + sum(w * (means[c] or 0.0) for c, w in coefficients.items())
-    return frame.select(*keys, F.lit(base).alias("base_value"), F.explode(F.array(*parts)).alias("a")) \
-                .select(*keys, "base_value", "a.feature", "a.attribution")
-
-
-def global_attribution(attr: DataFrame, top_n: int = 20) -> DataFrame:
-    """Mean |attribution| per feature, largest first."""
-    a = attr.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("mean_abs_attribution"))
-    w = Window.orderBy(F.desc("mean_abs_attribution"), "feature")
-    return a.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
-
-
-def dependence(attr: DataFrame, frame: DataFrame, feature: str, bins: int = 20,
-               keys: list[str] = SERIES + ["date"]) -> DataFrame:
-    """Mean attribution of one feature per equal-width bucket of its value."""
-    a = attr.filter(F.col("feature") == feature).join(frame.select(*keys, feature), keys)
-    rng = a.agg(F.min(feature).alias("_lo"), F.max(feature).alias("_hi")).withColumn("_k", F.lit(0))
-    # one-row side (a global aggregate): a broadcast equi join on a constant key
-    b = a.withColumn("_k", F.lit(0)).join(F.broadcast(rng), "_k")
-    b = b.withColumn("bucket", F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col(feature) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))))
-    return b.groupBy("bucket").agg(F.avg(feature).alias("feature_value"), F.avg("attribution").alias("mean_attribution"),
-                                   F.count(F.lit(1)).alias("n"))
-
-
-def fit_linear(train: DataFrame, features: list[str], target: str = "sales"):
-    """A linear demand model (MLlib ``LinearRegression``, normal equations:
-    one distributed pass) whose attributions are exact (G16)."""
-    from pyspark.ml.regression import LinearRegression
-    lr = LinearRegression(featuresCol="features", labelCol=target, solver="normal", regParam=0.0)
-    return lr.fit(assemble(train, features).filter(F.col(target).isNotNull()))
