@@ -21,6 +21,11 @@ SMALL = {"random_forest": dict(kind="forest", trees=23, depth=4, seed=42),
 
 # ------------------------------------------------------------------ splits
 
+def binned(x, bins=TR.BINS):
+    edges = [TR.edges_of(c) for c in x.T]
+    return TR.Binned(TR.coded(x, edges), edges, bins)
+
+
 def brute_tree(x, y, w, depth, ridge, least, factor):
     """Nested (feature, threshold, left, right) or leaf value, by trying every split between two values of a column."""
     noise = 1e-9 * float((w * y * y).sum())
@@ -57,7 +62,7 @@ def test_splits_are_brute_force(seed):
     n = 60
     x = np.concatenate([r.normal(size=(n, 2)), r.integers(0, 4, (n, 2)), np.zeros((n, 1))], 1)
     y = np.round(x[:, 0] * 3 + x[:, 2] + r.normal(size=n), 2)
-    data = TR.Binned(x, [TR.edges_of(c) for c in x.T])
+    data = binned(x)
     w = r.integers(0, 3, n).astype(float)
     rows = np.flatnonzero(w)
     forest, node = TR.grow_levels(data, rows, (w * y)[rows], w[rows], 4, 0.0, 1.0, 1.0)
@@ -81,7 +86,7 @@ def test_leaf_wise_takes_the_largest_gain_first():
     x = r.normal(size=(400, 3))
     y = np.where(x[:, 0] > 1.2, 50 * (x[:, 1] > 0) + 20 * (x[:, 2] > 0), x[:, 1])  # nearly all to gain is in a small corner
     y -= y.mean()
-    data = TR.Binned(x, [TR.edges_of(c) for c in x.T])
+    data = binned(x)
     tree, node = TR.grow_leaves(data, y, 8, 0.0, 5, 5, 1.0)
     level, at = TR.grow_levels(data, np.arange(400), y, None, 2, 0.0, 5, 1.0)
     assert ((tree["value"][node] - y) ** 2).sum() < ((level["value"][at] - y) ** 2).sum()
@@ -98,6 +103,9 @@ def test_bins_of_many_values_are_quantiles():
     assert len(edges) < 64 and (np.diff(edges) > 0).all()
     assert np.bincount(np.searchsorted(edges, x)).max() < 3 * 10_000 / 64
     assert TR.edges_of(np.array([1.0, 1.0])).size == 0
+    data = binned(x[:, None], 16)
+    assert data.total <= 16 and np.bincount(data.codes[:, 0]).max() < 2 * 10_000 / 16
+    assert (np.searchsorted(data.edges[0], x, side="left") == data.codes[:, 0]).all()
     tight = np.array([1.0, np.nextafter(1.0, 2)])
     assert (tight <= TR.edges_of(tight)[0]).tolist() == [True, False]
 
@@ -189,7 +197,7 @@ def test_tree_attribution_is_subset_enumeration():
     x = rng.normal(size=(300, 6))
     x[:, 3] = rng.integers(0, 3, 300)
     y = x[:, 0] * x[:, 1] + x[:, 3] * x[:, 2]
-    data = TR.Binned(x, [TR.edges_of(c) for c in x.T])
+    data = binned(x)
     tree, _ = TR.grow_levels(data, np.arange(300), y, None, 6, 0.0, 1, 1.0)
     phi, expected = TR.tree_shapley(tree, x[:5], np.arange(6))
     for row in range(5):

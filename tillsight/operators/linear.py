@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.functions.core import ORG, checked_broadcast
-from tillsight.operators.trees import feature_array
+from tillsight.operators.trees import feature_array, value_matrix
 
 SUMS = f"{ORG} string, i int, s array<double>"
 
@@ -34,7 +34,7 @@ def cross_sums(rows: DataFrame, vector: Column, width: int) -> DataFrame:
         import pyarrow.compute as pc
         held = {}
         for batch in batches:
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), width)
+            v = value_matrix(batch.column(1), width)
             codes = pc.dictionary_encode(batch.column(0), null_encoding="encode")
             which = codes.indices.to_numpy(zero_copy_only=False)
             for k, tenant in enumerate(codes.dictionary.to_pylist()):
@@ -101,7 +101,8 @@ def demand_models(rows: DataFrame, features: list[str], target: str = "sales") -
 
 def demand_attributions(models: DataFrame, rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
     """G16 for linear models, in the form of ``trees.attributions``: exact additive parts coef * (x - mean)."""
-    joined = rows.select(*dict.fromkeys([ORG, *keys]), feature_array(features).alias("feature_values")).join(checked_broadcast(models), ORG)
+    values = F.transform(feature_array(features), lambda x: F.when(F.abs(x) < float("inf"), x).otherwise(0.0))
+    joined = rows.select(*dict.fromkeys([ORG, *keys]), values.alias("feature_values")).join(checked_broadcast(models), ORG)
     parts = F.zip_with(F.zip_with("feature_values", "mean", lambda x, m: x - m), "coef", lambda d, c: d * c)
     base = F.col("intercept") + dot(F.col("mean"), F.col("coef"))
     out = joined.withColumn("attributions", parts).withColumn("base_value", base)

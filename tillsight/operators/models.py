@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.functions import calendar as C
-from tillsight.functions.core import ORG, col, per_tenant
+from tillsight.functions.core import ORG, checked_broadcast, col, per_tenant
 from tillsight.operators import trees
 from tillsight.operators.features import SERIES
 from tillsight.sources.tables import materialize
@@ -124,7 +124,7 @@ def fitted(frame: DataFrame, models=tuple(trees.SPECS), target: str = "sales", s
     keys = SERIES + ["date"]
     features = trees.numeric_features(frame, target)
     narrow = frame.where(F.col(target).isNotNull()).select(*keys, target, *features)
-    rows = materialize(trees.fit_sample(narrow, keys, fit_rows).drop("_place").withColumn("_test", in_test(keys, test_pct)), "model-rows")
+    rows = materialize(trees.fit_sample(narrow, keys, fit_rows).withColumn("_test", in_test(keys, test_pct)), "model-rows")
     packed = materialize(trees.pack(rows.where(~F.col("_test")), features, keys, target, fit_rows=fit_rows), "model-codes")
     return materialize(trees.fit_models(packed, models, specs), "models"), rows, features
 
@@ -165,8 +165,8 @@ def future_frame(features: DataFrame, horizon: int = 28) -> DataFrame:
     """Each series' last feature row repeated for the ``horizon`` days after its
     tenant's last date, with only year / month / day / dayofweek / quarter /
     is_weekend recomputed (the reference's default: lags are not refreshed)."""
-    w = Window.partitionBy(*SERIES).orderBy(F.desc("date"))
-    last = features.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    latest = features.groupBy(*SERIES).agg(F.max("date").alias("date"))  # a series has one row per day
+    last = features.join(checked_broadcast(latest), SERIES + ["date"])   # up to its bound, wide rows stay where they are
     origin = features.groupBy(ORG).agg(F.max("date").alias("_origin"))
     fut = last.join(per_tenant(origin), ORG).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(horizon)))) \
               .withColumn("date", F.date_add("_origin", F.col("_k"))).drop("_k", "_origin")

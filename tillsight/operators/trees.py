@@ -11,8 +11,8 @@ child only and subtracted from the parent's for the other.
 * boosted trees "A": level by level, ridge 1, each round on the residuals;
 * boosted trees "B": leaf by leaf from a queue of gains, at least 20 rows a leaf.
 
-Values are binned per feature: a column with at most ``BINS`` distinct values has a
-bin for each, so its splits are exact; others have quantile bins.
+Values are binned per feature: a column with at most ``BINS`` distinct values (a forest's
+``bins``) has a bin for each, so its splits are exact; others have quantile bins.
 
 Models are a table: one row per (tenant, model, tree) with the tree's arrays (feature,
 threshold, children, value, cover, gain), so a prediction is ``base`` + the sum of a value
@@ -38,14 +38,14 @@ from tillsight.operators.features import NON_FEATURES, SERIES
 # G03 boosted trees "A", G04 boosted trees "B", and its bound on the rows used to fit. What
 # it leaves to the libraries' defaults is written out.
 SPECS = {
-    "random_forest": dict(kind="forest", trees=100, depth=10, seed=42),
+    "random_forest": dict(kind="forest", trees=100, depth=10, seed=42, bins=64),
     "xgboost": dict(kind="levels", trees=200, depth=8, rate=0.1, ridge=1.0, least_rows=1),
     "lightgbm": dict(kind="leaves", trees=200, depth=8, rate=0.1, ridge=0.0, least_rows=20, leaves=31),
 }
 FIT_ROWS = 50_000
 BINS = 255
-BLOCK = 10       # trees of a forest that one task grows
-CHUNK = 100_000  # rows of a tenant scored together
+BLOCK = 5        # trees of a forest that one task grows
+CHUNK = 16_384   # rows of a tenant scored together
 NOISE = 1e-9     # gains closer than this share count as equal, as sums are rounded
 
 MODELS = (f"{ORG} string, model string, tree int, features array<string>, base double, feature array<int>, threshold array<double>, "
@@ -67,19 +67,34 @@ def edges_of(x: np.ndarray, bins: int = BINS) -> np.ndarray:
     return np.where(middle < high, middle, low)
 
 
+def coded(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """The bin of each value in its column."""
+    return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], 1) if edges else np.zeros((len(x), 0), np.int64)
+
+
 class Binned:
     """Bin codes of a set of rows, columns one after the other in one range of bins."""
 
-    def __init__(self, x: np.ndarray, edges: list[np.ndarray]):
-        self.edges = edges
-        sizes = np.array([len(e) + 1 for e in edges], np.int64)
+    def __init__(self, codes: np.ndarray, edges: list[np.ndarray], bins: int = BINS):
+        columns = [(codes[:, j].astype(np.int64), e) for j, e in enumerate(edges)]
+        columns = [self._coarser(c, e, bins) if len(e) >= bins else (c, e) for c, e in columns]
+        self.edges = [e for _, e in columns]
+        sizes = np.array([len(e) + 1 for e in self.edges], np.int64)
         self.start = np.concatenate([[0], np.cumsum(sizes)])
         self.total = int(self.start[-1])
-        self.codes = np.stack([np.searchsorted(e, x[:, j], side="left") + self.start[j] for j, e in enumerate(edges)], 1).astype(np.int64)
+        self.codes = np.stack([c for c, _ in columns], 1) + self.start[:-1] if columns else np.zeros((len(codes), 0), np.int64)
         self.column = np.repeat(np.arange(len(edges)), sizes)  # of each bin
         self.last = np.zeros(self.total, bool)
         self.last[self.start[1:] - 1] = True                  # no split after a column's last bin
 
+    @staticmethod
+    def _coarser(codes: np.ndarray, edges: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+        """Neighbouring bins joined into at most ``bins`` of about equal counts."""
+        upto = np.cumsum(np.bincount(codes, minlength=len(edges) + 1))
+        keep = np.unique(np.searchsorted(upto, np.linspace(0, len(codes), bins + 1)[1:-1]))
+        keep = keep[keep < len(edges)]
+        return np.searchsorted(keep, codes, side="left"), edges[keep]
+
     def histogram(self, rows: np.ndarray, node: np.ndarray, nodes: int, g: np.ndarray, h: np.ndarray | None) -> np.ndarray:
         """(2, nodes, bins): sums of g and of h (None: 1) by (node, feature, bin)."""
         if nodes > 1:  # node by node, so that the sums in use stay in the cache
@@ -254,51 +269,61 @@ def numeric_features(df: DataFrame, target: str = "sales") -> list[str]:
 
 
 def feature_array(features: list[str]):
-    """E11 tail: one array of doubles, NULL and non-finite values as 0."""
-    one = lambda c: F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
-    return F.array(*[F.when(F.abs(one(c)) == float("inf"), 0.0).otherwise(one(c)) for c in features])
+    """One array of doubles, for ``_matrix``."""
+    return F.array(*[F.col(c).cast("double") for c in features])
+
+
+def by_hash(keys: list[str]):
+    """An order of rows that has nothing to do with their values."""
+    return F.xxhash64(F.lit(43), *[F.col(k) for k in keys])
 
 
 def fit_sample(frame: DataFrame, keys: list[str], fit_rows: int = FIT_ROWS) -> DataFrame:
-    """At most ``fit_rows`` rows of each tenant, those with the smallest key hashes (the limit works before the shuffle)."""
-    by_hash = F.xxhash64(F.lit(43), *[F.col(k) for k in keys])
-    order = Window.partitionBy(ORG).orderBy(by_hash, *keys)
-    return frame.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= fit_rows)
+    """All rows of a tenant with at most ``fit_rows``; of others those with the smallest key hashes, four standard
+    deviations fewer than ``fit_rows`` in the mean, so that the bound holds. A filter: no row is moved."""
+    aim = max(1.0, fit_rows - 4 * fit_rows ** 0.5)
+    share = F.when(F.count(F.lit(1)) <= fit_rows, F.lit(1.0)).otherwise(aim / F.count(F.lit(1)))
+    bound = checked_broadcast(frame.groupBy(ORG).agg((share * 2.0 ** 64 - 2.0 ** 63).alias("_bound")))  # one row per tenant
+    rows = frame.join(bound, frame[ORG].eqNullSafe(bound[ORG])).drop(bound[ORG])
+    return rows.where(by_hash(keys).cast("double") <= F.col("_bound")).select(frame.columns)
 
 
-def _matrix(column, width: int) -> np.ndarray:
+def _whole(column):
     import pyarrow as pa
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def value_matrix(column, width: int) -> np.ndarray:
+    """Feature values of rows; E11 tail: NULL and non-finite values are 0."""
+    x = _whole(column).flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+    return x if np.isfinite(x).all() else np.nan_to_num(x, nan=0.0, posinf=0.0, neginf=0.0)
 
 
 def pack(train: DataFrame, features: list[str], keys: list[str], target: str = "sales", bins: int = BINS, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """One row per tenant: its fit rows as bin codes, split points and target. Features without two values are left out."""
+    """One row per tenant: its fit rows (of ``fit_sample``, ``fit_rows`` at most) as bin codes, split points and target.
+    Features without two values are left out (E11)."""
     schema = f"{ORG} string, features array<string>, edges array<array<double>>, codes binary, y binary"
     width = len(features)
 
     def run(key, table):
         import pyarrow as pa
-        order = np.argsort(table.column("_place").to_numpy())
-        x = _matrix(table.column("_x"), width)[order]
+        order = np.argsort(table.column("_h").to_numpy(), kind="stable")[:fit_rows]  # its place: rows come in any order
+        x = value_matrix(table.column("_x"), width)[order]
         y = table.column("_y").to_numpy()[order]
         varies = [j for j in range(width) if x[:, j].min() < x[:, j].max()]
         edges = [edges_of(x[:, j], bins) for j in varies]
-        codes = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in zip(varies, edges)], 1) if varies else np.zeros((len(x), 0))
+        codes = coded(x[:, varies], edges)
         return pa.table({ORG: pa.array([key[0].as_py()], pa.string()), "features": pa.array([[features[j] for j in varies]], pa.list_(pa.string())),
                          "edges": pa.array([[e.tolist() for e in edges]], pa.list_(pa.list_(pa.float64()))),
                          "codes": pa.array([codes.astype("<u2").tobytes()], pa.binary()), "y": pa.array([y.astype("<f8").tobytes()], pa.binary())})
 
-    rows = fit_sample(train.where(F.col(target).isNotNull()), keys, fit_rows)
-    return rows.select(ORG, "_place", feature_array(features).alias("_x"), F.col(target).cast("double").alias("_y")).groupBy(ORG).applyInArrow(run, schema)
+    rows = train.where(F.col(target).isNotNull())
+    return rows.select(ORG, by_hash(keys).alias("_h"), feature_array(features).alias("_x"), F.col(target).cast("double").alias("_y")).groupBy(ORG).applyInArrow(run, schema)
 
 
-def _unpacked(features, edges, codes, y) -> tuple[Binned, np.ndarray]:
-    y = np.frombuffer(y, "<f8")
-    data = Binned(np.zeros((0, len(edges))), [np.array(e) for e in edges])
-    data.codes = np.frombuffer(codes, "<u2").reshape(len(y), len(edges)).astype(np.int64) + data.start[:-1]
-    return data, y
+def _unpacked(row: dict, bins: int) -> tuple[Binned, np.ndarray]:
+    y = np.frombuffer(row["y"], "<f8")
+    return Binned(np.frombuffer(row["codes"], "<u2").reshape(len(y), len(row["edges"])), [np.array(e) for e in row["edges"]], bins), y
 
 
 def fit_models(packed: DataFrame, models=tuple(SPECS), specs: dict | None = None) -> DataFrame:
@@ -316,7 +341,7 @@ def fit_models(packed: DataFrame, models=tuple(SPECS), specs: dict | None = None
         import pyarrow as pa
         for batch in batches:
             for r in batch.to_pylist():
-                data, y = _unpacked(r["features"], r["edges"], r["codes"], r["y"])
+                data, y = _unpacked(r, specs[r["model"]].get("bins", BINS))
                 base = 0.0 if specs[r["model"]]["kind"] == "forest" else float(y.mean())
                 began = time.perf_counter()
                 out = list(fit_trees(data, y, specs[r["model"]], range(r["a"], r["b"]), r[ORG] or ""))
@@ -334,25 +359,43 @@ def fit_models(packed: DataFrame, models=tuple(SPECS), specs: dict | None = None
     return spread.mapInArrow(run, MODELS)
 
 
+def tree_arrays(table) -> list[dict]:
+    """The rows of ``MODELS`` in an Arrow table, arrays as NumPy arrays, by model and tree."""
+    import pyarrow.compute as pc
+    table = table.take(pc.sort_indices(table, sort_keys=[("model", "ascending"), ("tree", "ascending")]))
+    out = [{"model": m, "tree": t, "features": f, "base": b} for m, t, f, b in zip(*(table.column(c).to_pylist() for c in ("model", "tree", "features", "base")))]
+    for name, kind in ARRAYS:
+        column = _whole(table.column(name))
+        ends, values = column.offsets.to_numpy() - column.offsets[0].as_py(), column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+        for i, tree in enumerate(out):
+            tree[name] = values[ends[i]:ends[i + 1]]
+    return out
+
+
+def of_model(trees: list[dict]):
+    """(model, its trees) in order."""
+    for name in dict.fromkeys(t["model"] for t in trees):
+        yield name, [t for t in trees if t["model"] == name]
+
+
 class Forest:
     """The trees of one tenant's model, laid end to end: prediction for a matrix of feature values."""
 
     def __init__(self, rows: list[dict], columns: list[str]):
-        rows = sorted(rows, key=lambda r: r["tree"])
         at = {c: j for j, c in enumerate(columns)}
         self.base = rows[0]["base"]
         self.first = np.concatenate([[0], np.cumsum([len(r["feature"]) for r in rows])])
         place = np.array([at[f] for f in rows[0]["features"]] or [0])
-        join = lambda name: np.concatenate([np.asarray(r[name]) for r in rows])
+        join = lambda name: np.concatenate([r[name] for r in rows])
         base = np.repeat(self.first[:-1], np.diff(self.first))
-        feature = join("feature").astype(np.int64)
+        feature = join("feature")
         self.leaf = feature < 0
         self.feature = np.where(self.leaf, 0, place[np.maximum(feature, 0)])
         self.threshold = np.where(self.leaf, np.inf, join("threshold"))
         own = np.arange(len(feature))
         self.left = np.where(self.leaf, own, join("left") + base)
         self.right = np.where(self.leaf, own, join("right") + base)
-        self.value, self.cover = join("value"), join("cover")
+        self.value = join("value")
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         out = np.empty(len(x))
@@ -371,14 +414,14 @@ class Forest:
 
 
 def _beside_models(rows: DataFrame, models: DataFrame, run, schema: str, keys: list[str], chunk: int = CHUNK) -> DataFrame:
-    """``run(rows table, [model rows])`` for each chunk of about ``chunk`` rows of a tenant, next to the tenant's models."""
+    """``run(rows table, trees)`` for each chunk of about ``chunk`` rows of a tenant, next to the tenant's models."""
     sizes = rows.groupBy(ORG).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("_chunks"))
     sizes = checked_broadcast(sizes)  # one row per tenant
     salted = rows.join(sizes, ORG).withColumn("_chunk", F.pmod(F.xxhash64(*keys), F.col("_chunks"))).drop("_chunks")
     beside = models.join(sizes, ORG).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - F.lit(1).cast("long")))).drop("_chunks")
     beside = beside.select(*[F.col(c).alias(f"m_{c}") for c in beside.columns])  # names of its own: both sides may stem from one frame
     return salted.groupBy(ORG, "_chunk").cogroup(beside.groupBy(f"m_{ORG}", "m__chunk")).applyInArrow(
-        lambda left, right: run(left, [{k[2:]: v for k, v in r.items()} for r in right.to_pylist()]), schema)
+        lambda left, right: run(left, tree_arrays(right.rename_columns([n[2:] for n in right.column_names]))), schema)
 
 
 def score(rows: DataFrame, models: DataFrame, features: list[str], keys: list[str], keep: list[str] = (), chunk: int = CHUNK) -> DataFrame:
@@ -390,10 +433,10 @@ def score(rows: DataFrame, models: DataFrame, features: list[str], keys: list[st
 
     def run(table, trees):
         import pyarrow as pa
-        x = _matrix(table.column("_x"), len(features)) if table.num_rows else np.zeros((0, len(features)))
+        x = value_matrix(table.column("_x"), len(features)) if table.num_rows else np.zeros((0, len(features)))
         parts = []
-        for name in sorted({t["model"] for t in trees}) if table.num_rows else ():
-            pred = np.maximum(Forest([t for t in trees if t["model"] == name], features).predict(x), 0.0)
+        for name, mine in of_model(trees) if table.num_rows else ():
+            pred = np.maximum(Forest(mine, features).predict(x), 0.0)
             parts.append(table.select(out).append_column("model", pa.array([name] * len(x), pa.string())).append_column("pred", pa.array(pred)))
         if not parts:
             return table.select(out).slice(0, 0).append_column("model", pa.array([], pa.string())).append_column("pred", pa.array([], pa.float64()))
@@ -459,9 +502,9 @@ def forecast_recursive(models: DataFrame, frame: DataFrame, features: list[str],
         import datetime
         import pyarrow as pa
         parts, n = [], table.num_rows
-        for name in sorted({t["model"] for t in trees}) if n else ():
-            forest = Forest([t for t in trees if t["model"] == name], features)
-            x = _matrix(table.column("_x"), len(features)).copy()
+        for name, mine in of_model(trees) if n else ():
+            forest = Forest(mine, features)
+            x = value_matrix(table.column("_x"), len(features)).copy()
             rings = np.full((n, ring_size + horizon), np.nan)
             for i, values in enumerate(table.column("_ring").to_pylist()):
                 rings[i, ring_size - len(values):ring_size] = values
@@ -542,13 +585,12 @@ def attributions(models: DataFrame, rows: DataFrame, features: list[str], keys:
     def run(table, trees):
         import pyarrow as pa
         parts = []
-        for name in sorted({t["model"] for t in trees}) if table.num_rows else ():
-            mine = [t for t in trees if t["model"] == name]
-            x = _matrix(table.column("_x"), len(features))
+        for name, mine in of_model(trees) if table.num_rows else ():
+            x = value_matrix(table.column("_x"), len(features))
             place = np.array([features.index(f) for f in mine[0]["features"]] or [0])
             phi, base = np.zeros((len(x), len(features))), mine[0]["base"]
-            for t in sorted(mine, key=lambda t: t["tree"]):
-                part, expected = tree_shapley({n: np.array(t[n], k) for n, k in ARRAYS}, x, place)
+            for t in mine:
+                part, expected = tree_shapley(t, x, place)
                 base += expected
                 phi[:, place] += part
             doubles = pa.list_(pa.float64())
