@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tillsight.functions.core import ORG, as_date, per_tenant
 from tillsight.operators.alerts import degradation_flag
 from tillsight.operators.models import metric_columns
+from tillsight.sources.tables import materialize
 
 REGISTRY_SCHEMA = ("organization_id string, version int, algorithm string, status string, "
                    "mae double, rmse double, mape double, wape double, bias double, r2 double, "
@@ -223,6 +224,104 @@ def apply_live_metrics(registry: DataFrame, live: DataFrame) -> DataFrame:
                          ).select(*registry.columns)
 
 
+# ------------------------------------------- the daily run's ledger
+
+#: Sums from which every metric follows; sums of disjoint rows add up.
+METRIC_SUMS = {"points": lambda a, p: F.count(F.lit(1)), "abs_error": lambda a, p: F.sum(F.abs(p - a)), "square_error": lambda a, p: F.sum((p - a) * (p - a)),
+               "error": lambda a, p: F.sum(p - a), "actual": lambda a, p: F.sum(a), "square_actual": lambda a, p: F.sum(a * a),
+               "abs_actual": lambda a, p: F.sum(F.abs(a)), "share": lambda a, p: F.sum(F.when(a != 0, F.abs((p - a) / a))),
+               "shares": lambda a, p: F.count(F.when(a != 0, 1))}
+
+
+def metrics_of_sums(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """G10 / G11 per key from ``METRIC_SUMS``."""
+    s = sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in METRIC_SUMS])
+    n = F.col("points")
+    spread = F.col("square_actual") - F.col("actual") * F.col("actual") / n
+    return s.select(
+        *keys, n, (F.col("abs_error") / n).alias("mae"), F.sqrt(F.col("square_error") / n).alias("rmse"),
+        F.when(spread > 1e-9 * F.col("square_actual"), 1 - F.col("square_error") / spread).alias("r2"),
+        F.when(F.col("shares") > 0, F.col("share") / F.col("shares") * 100).alias("mape"),
+        F.when(F.col("abs_actual") > 0, F.col("abs_error") / F.col("abs_actual") * 100).alias("wape"), (F.col("error") / n).alias("bias"),
+        F.when(F.col("actual") != 0, F.col("error") / F.col("actual") * 100).alias("bias_percent"))
+
+
+def _has(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def evaluate_matured(spark, root: str, headers: DataFrame, details: DataFrame, actuals: DataFrame, as_of) -> None:
+    """G20 as a run of its own day: score the (header, forecast date) pairs that have matured by ``as_of`` and that no
+    earlier run has scored, and add their sums.
+
+    ``accuracy_sums`` and ``accuracy_ledger`` hold one folder per run. The ledger's is written last and commits the run: sums
+    without it do not count, and running a day again replaces both, so neither a failure nor a repeat counts a pair
+    twice. Actual sales that arrive after their date was scored do not change it.
+    """
+    run = str(as_of)
+    due = details.where(F.col("forecast_date") <= as_date(run))
+    if _has(spark, f"{root}/accuracy_ledger"):
+        done = spark.read.parquet(f"{root}/accuracy_ledger").where(F.col("run").cast("string") != run)
+        due = due.join(done.select(ORG, "header_id", "forecast_date"), [ORG, "header_id", "forecast_date"], "left_anti")
+    act = actuals.select(ORG, "item_id", "store_id", F.col("date").alias("forecast_date"), F.col("sales").cast("double").alias("_a")).dropDuplicates(
+        [ORG, "item_id", "store_id", "forecast_date"])
+    rows = due.join(headers.select("header_id", "horizon_days"), "header_id").join(act, [ORG, "item_id", "store_id", "forecast_date"]).where(
+        F.col("_a").isNotNull() & F.col("predicted_sales").isNotNull())
+    a, p = F.col("_a"), F.col("predicted_sales")
+    sums = rows.groupBy(ORG, "horizon_days", "item_id", "store_id").agg(*[f(a, p).alias(n) for n, f in METRIC_SUMS.items()])
+    sums.write.mode("overwrite").parquet(f"{root}/accuracy_sums/run={run}")
+    due.select(ORG, "header_id", "forecast_date").distinct().write.mode("overwrite").parquet(f"{root}/accuracy_ledger/run={run}")
+
+
+def _committed_sums(spark, root: str) -> DataFrame:
+    runs = spark.read.parquet(f"{root}/accuracy_ledger").select("run").distinct()
+    return spark.read.parquet(f"{root}/accuracy_sums").join(F.broadcast(runs), "run", "left_semi")  # one row per day of runs
+
+
+def accuracy_from_sums(spark, root: str) -> DataFrame:
+    """The accuracy table (as ``matured_accuracy``) of all committed runs."""
+    m = metrics_of_sums(_committed_sums(spark, root), [ORG, "horizon_days", "item_id", "store_id"])
+    return m.withColumnRenamed("points", "eval_points").withColumnRenamed("item_id", "product_id")
+
+
+def live_from_sums(spark, root: str) -> DataFrame:
+    """Live numbers (as ``live_metrics``) of all committed runs."""
+    m = metrics_of_sums(_committed_sums(spark, root), [ORG])
+    return m.select(ORG, F.col("mae").alias("live_mae"), F.col("wape").alias("live_wape"), F.col("bias").alias("live_bias"), F.col("points").alias("live_points"))
+
+
+def store_registry(registry: DataFrame, root: str, version: str) -> DataFrame:
+    """Write the registry as version ``version`` (a day); readers take the newest complete one."""
+    path = f"{root}/model_registry/version={version}"
+    registry.write.mode("overwrite").parquet(path)
+    return registry.sparkSession.read.parquet(path)
+
+
+def current_registry(spark, root: str) -> DataFrame:
+    """The newest stored registry whose write was completed."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/model_registry")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    whole = [f.getPath().toString() for f in fs.listStatus(p) if fs.exists(Path(f.getPath(), "_SUCCESS"))]
+    return spark.read.parquet(max(whole))
+
+
+def auto_retrain(registry: DataFrame, fact: DataFrame, compare, as_of, max_age_days: int = 7, bar_pct: float = 2.0) -> DataFrame:
+    """Tenants whose active model is missing, degraded, flagged or ``max_age_days`` old are retrained (``compare``:
+    their sales rows -> comparison); their best new candidate is promoted if it beats the active one by ``bar_pct``."""
+    at = f"{as_of} 00:00:00"
+    health = with_health(registry, as_of, max_age_days, bar_pct)
+    due = fact.select(ORG).distinct().join(health.where(~F.col("needs_retrain")).select(ORG).distinct(), ORG, "left_anti")
+    due = materialize(due, "due-tenants")  # one row per tenant
+    comparison = materialize(compare(fact.join(per_tenant(due), ORG, "left_semi")), "comparison")
+    new = register_candidates(comparison, registry, due, [], {}, at)
+    both = materialize(registry.unionByName(new), "registry")
+    best = best_candidate(both).select(ORG, "version").join(new.select(ORG, "version"), [ORG, "version"], "left_semi")
+    clear = with_health(both, as_of, max_age_days, bar_pct).where("beats_active").select(ORG, "version")
+    return promote(both, best.join(clear, [ORG, "version"], "left_semi"), at)
+
+
 def accuracy_summary(accuracy: DataFrame) -> DataFrame:
     """By horizon: means of non-NULL metrics, total points."""
     return accuracy.groupBy(ORG, "horizon_days").agg(

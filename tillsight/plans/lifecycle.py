@@ -24,6 +24,7 @@ from tillsight.plans.models import BASE_SQL, METRICS_SQL, _baseline_fc
 from tillsight.session import scratch_path
 from tillsight.sources import ingest as I
 from tillsight.sources.tables import materialize, read_table
+from tillsight.streaming import ingest as M
 
 FIRST, SECOND, NOW = "2001-11-01 00:00:00", "2001-11-08 00:00:00", "2001-11-12"
 
@@ -108,6 +109,61 @@ h AS (SELECT reg.*, lw, lb, status = 'active' AND lw IS NOT NULL AND reg.wape IS
       FROM reg LEFT JOIN lv USING (organization_id))"""
 
 
+def _daily_runs(spark, sf, days):
+    """The registry and accuracy tables after ``run_models`` on each of ``days``: forecasts of two
+    days' runs are stored, and a registry whose active model is the tenant mean."""
+    root = scratch_path(spark, f"daily-{uuid.uuid4().hex}")
+    fact, fc = _baseline_fc(spark, sf)
+    fact = materialize(fact, "fact")
+    cut = fc.groupBy(ORG).agg(F.date_add(F.min("date"), 13).alias("_cut"))
+    half = fc.join(per_tenant(cut), ORG).where(F.col("date") <= F.col("_cut")).drop("_cut")
+    for rows, made in ((fc, FIRST), (half, SECOND)):
+        hdr, det = R.forecast_tables(materialize(rows, "forecast"), "baseline", made)
+        hdr.write.mode("append").parquet(f"{root}/forecast_headers")
+        det.write.mode("append").parquet(f"{root}/forecast_details")
+    comp = materialize(_comparison(spark, sf), "comparison")
+    one = R.register_candidates(comp.where("model = 'tenant_mean'"), None, comp.select(ORG).distinct(), [], {}, FIRST)
+    R.store_registry(R.promote(one, one.select(ORG, "version"), FIRST), root, FIRST[:10])
+    out = None
+    for day in days:
+        out = M.run_models(spark, root, fact, day, compare=lambda rows: comp.join(per_tenant(rows.select(ORG).distinct()), ORG, "left_semi"))
+    return out
+
+
+DAY_ONE, DAY_TWO = "2001-11-05", "2002-01-31"
+
+
+@query("m04_daily_run", with_fact(f"""WITH {BASE_SQL},
+cut AS (SELECT organization_id, MIN(date) + INTERVAL 13 DAY AS c FROM fc GROUP BY 1),
+runs AS (SELECT j.*, 28 AS horizon FROM j UNION ALL SELECT j.*, 14 FROM j JOIN cut USING (organization_id) WHERE j.date <= c),
+hz AS (SELECT organization_id, 28 AS horizon, COUNT(DISTINCT date) AS horizon_days FROM fc GROUP BY 1
+       UNION ALL SELECT organization_id, 14, COUNT(DISTINCT date) FROM fc JOIN cut USING (organization_id) WHERE date <= c GROUP BY 1)
+SELECT organization_id, horizon_days, item_id AS product_id, store_id, {METRICS_SQL.replace('COUNT(*) AS points', 'COUNT(*) AS eval_points')}
+FROM runs JOIN hz USING (organization_id, horizon) GROUP BY 1, 2, 3, 4"""))
+def m04(spark, sf):
+    """Accuracy after two consecutive daily runs, each of which scores only newly matured forecast
+    dates: the table that one full evaluation gives."""
+    return _daily_runs(spark, sf, [DAY_ONE, DAY_ONE, DAY_TWO])["accuracy"]
+
+
+@query("m04_retrained_registry", with_fact(f"""WITH {BASE_SQL},
+jg AS (SELECT j.organization_id, j.sales, gm.global_mean AS predicted_sales FROM j JOIN gm USING (organization_id)),
+cmp AS (SELECT 'series_mean' AS model, organization_id, {METRICS_SQL} FROM j GROUP BY organization_id
+        UNION ALL SELECT 'tenant_mean', organization_id, {METRICS_SQL} FROM jg GROUP BY organization_id),
+c AS (SELECT *, row_number() OVER (PARTITION BY organization_id ORDER BY model) + 1 AS version,
+             row_number() OVER (PARTITION BY organization_id ORDER BY wape, mae, model DESC) = 1 AS best FROM cmp),
+a AS (SELECT organization_id, wape AS aw FROM cmp WHERE model = 'tenant_mean'),
+p AS (SELECT organization_id, version FROM c JOIN a USING (organization_id) WHERE best AND (aw - wape) / aw * 100 >= 2.0)
+SELECT organization_id, CAST(1 AS BIGINT) AS version, 'tenant_mean' AS algorithm,
+       CASE WHEN organization_id IN (SELECT organization_id FROM p) THEN 'archived' ELSE 'active' END AS status FROM a
+UNION ALL SELECT organization_id, CAST(version AS BIGINT), model,
+       CASE WHEN (organization_id, version) IN (SELECT (organization_id, version) FROM p) THEN 'active' ELSE 'candidate' END FROM c"""))
+def m04r(spark, sf):
+    """The registry after a daily run of a day on which every tenant's model is too old:
+    retrained, and the best candidate promoted where it is better by two percent."""
+    return _daily_runs(spark, sf, [DAY_TWO])["registry"].select(ORG, "version", "algorithm", "status")
+
+
 @query("g21_registry_health", with_fact(f"""WITH {HEALTH_SQL}
 SELECT h.organization_id, h.version, coalesce(h.degraded, false) AS degraded, coalesce(a.degraded, false) AS needs_retrain,
   h.status = 'candidate' AND coalesce((a.wape - h.wape) / nullif(a.wape, 0) >= 0.02, false) AS beats_active

@@ -80,3 +80,30 @@ def m03s(spark, sf):
     q = M.daily_aggregate_stream(ev, f"{root}/daily", f"{root}/_ckpt", "ts", ["store_id"], "value", item_col="item")
     q.awaitTermination()
     return spark.read.parquet(f"{root}/daily").select("day", "store_id", "total", "rows", "item_count")
+
+
+def _sale_rows(ev):
+    return ev.select("ts", F.concat(F.lit("S"), (F.col("user_id") % 6).cast("string")).alias("store_id"), F.get_json_object("props", "$.k").alias("item"),
+                     "value", F.format_string("%s %012d", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "event_id").alias("pushed"))
+
+
+@query("m03_stream_with_corrections", """
+WITH e AS (SELECT CAST(ts AS DATE) AS day, 'S' || CAST(user_id % 6 AS VARCHAR) AS store_id, json_extract_string(props, '$.k') AS item, value, ts, event_id,
+                  event_id % 5 = 0 AS corrected
+           FROM events WHERE event_type = 'purchase'),
+p AS (SELECT day, store_id, item, value, 0 AS file, ts, event_id FROM e
+      UNION ALL SELECT day, store_id, item, value * 0.75, 1, ts, event_id FROM e WHERE corrected),
+l AS (SELECT *, row_number() OVER (PARTITION BY day, store_id, item ORDER BY file DESC, ts DESC, event_id DESC) AS r FROM p)
+SELECT day, store_id, round(SUM(value), 4) AS total, COUNT(*) AS item_count FROM l WHERE r = 1 GROUP BY 1, 2""")
+def m03c(spark, sf):
+    """Daily totals and item counts per store of an upserted table, kept by a stream that
+    receives every purchase and then a file of corrections (every fifth one, at three quarters)."""
+    root = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    sales = _sale_rows(read_table(spark, sf, "events").filter(F.col("event_type") == "purchase"))
+    again = _sale_rows(read_table(spark, sf, "events").filter((F.col("event_type") == "purchase") & (F.col("event_id") % 5 == 0)))
+    table, names = f"{root}/daily", ["day", "store_id", "total", "item_count"]
+    for rows in (sales, again.withColumn("value", F.col("value") * 0.75)):  # two arrivals, two runs of one checkpointed stream
+        rows.write.mode("append").parquet(f"{root}/pushed")
+        stream = M.pushed_stream(spark, f"{root}/pushed", rows.schema, "parquet")
+        M.corrected_daily_stream(stream, table, f"{root}/_ckpt", "ts", ["store_id"], "item", "value", "pushed", watermark="60 days").awaitTermination()
+    return spark.read.parquet(table).select(*names)
