@@ -89,37 +89,68 @@ def tenant_as_of(df: DataFrame, as_of=None, date_col: str = "date", name: str =
 BROADCAST_MAX_ROWS = 1_000_000
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], c, quantiles: dict[str, float], cells: int = 1024) -> DataFrame:
+DIGITS = 4  # of 16 bits, of a double's 64-bit image
+
+
+def ordered_image(x: Column) -> Column:
+    """The 64 bits of a double as a long in the same order (-0.0 as 0.0; NaN last)."""
+    bits = F.call_function("reflect", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), x).cast("bigint")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(0x7FFFFFFFFFFFFFFF)))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], c, quantiles: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles (as pandas / ``quantile_cont``) per group,
     one column per name; groups without values are left out.
 
-    No group's values ever meet in one task: a histogram of ``cells`` equal
-    ranges per group finds the cell that holds each order statistic, and only
-    those cells' distinct values, counted, are ordered.
+    Radix selection: values are counted per (group, value) first, and stored; then each of four rounds counts
+    one 16-bit digit of the values' order-preserving 64-bit images, in the cells that still hold a wanted
+    order statistic, and picks the digits it falls on. Rounds are four whatever the values, and what
+    is ordered in a task is never more than one cell's 65,536 digit counts. At most two cells for each group and
+    quantile are wanted; up to the bound on broadcasts they are sent to the counts.
+    """
+    from tillsight.sources.tables import materialize
+    v = df.select(*keys, (col(c).cast("double") + F.lit(0.0)).alias("_x")).filter(F.col("_x").isNotNull())
+    counts = v.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")).withColumn("_image", ordered_image(F.col("_x")))
+    digits = [F.shiftright("_image", 48 - 16 * i).bitwiseAND(F.lit(0xFFFF)) if i else F.shiftright("_image", 48) for i in range(DIGITS)]
+    counts = materialize(counts.select(*keys, "_x", "_c", *[d.cast("int").alias(f"_d{i}") for i, d in enumerate(digits)]), "value-counts")
+    n = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    sent = F.broadcast if n.count() * 2 * len(quantiles) <= BROADCAST_MAX_ROWS else lambda x: x
+    places = {q: F.lit(float(q)) * (F.col("_n") - 1) for q in quantiles.values()}
+    ranks = {f"_r{i}": f(places[q]).cast("long") for i, (q, f) in enumerate((q, f) for q in quantiles.values() for f in (F.floor, F.ceil))}
+    wanted = n.select(*keys, "_n", *[r.alias(c) for c, r in ranks.items()])
+    cell = list(keys)
+    for i in range(DIGITS):
+        hist = counts.join(sent(wanted), cell).groupBy(*cell, f"_d{i}").agg(F.sum("_c").alias("_m"), F.max("_x").alias("_x"), *[F.max(c).alias(c) for c in ("_n", *ranks)])
+        upto = Window.partitionBy(*cell).orderBy(f"_d{i}").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most 2^16 rows
+        hist = hist.withColumn("_b", F.sum("_m").over(upto) - F.col("_m"))
+        cell = [*cell, f"_d{i}"]
+        inside = {c: F.when((F.col(c) >= F.col("_b")) & (F.col(c) < F.col("_b") + F.col("_m")), F.col(c) - F.col("_b")) for c in ranks}  # NULL: in another cell
+        last = ["_x"] if i == DIGITS - 1 else []
+        wanted = hist.select(*cell, *last, "_n", *[r.alias(c) for c, r in inside.items()]).filter(F.coalesce(*ranks).isNotNull())
+    values = wanted.groupBy(*keys).agg(F.max("_n").alias("_n"), *[F.max(F.when(F.col(c).isNotNull(), F.col("_x"))).alias(c) for c in ranks])
+    out = [(F.col(f"_r{2 * i}") + (places[q] - F.floor(places[q])) * (F.col(f"_r{2 * i + 1}") - F.col(f"_r{2 * i}"))).alias(name)
+           for i, (name, q) in enumerate(quantiles.items())]
+    return values.select(*keys, *out)
+
+
+def split_rank(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
+    """``row_number()`` over (``keys``, ordered by ``order``) without bringing a group together: rows are range
+    partitioned by (keys, order) and stored, ranked within each part, and each part's number of earlier rows of the
+    same key is added. A key with a third of all rows is spread over a third of the parts. ``order`` should be total.
     """
-    v = df.select(*keys, col(c).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    rng = v.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    width = (F.col("_hi") - F.col("_lo")) / cells
-    cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(cells - 1))).otherwise(F.lit(0))
-    placed = v.join(per_tenant(rng), keys).select(*keys, "_x", cell.cast("bigint").alias("_cell"))
-    hist = placed.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most ``cells`` rows
-    hist = hist.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in quantiles.items()])
-    wanted = rng.select(*keys, F.explode(ranks).alias("_w"), "_n").select(
-        *keys, F.col("_w.name").alias("_name"), (F.col("_w.q") * (F.col("_n") - 1)).alias("_pos"))
-    wanted = wanted.withColumn("_r", F.explode(F.array(F.floor("_pos"), F.ceil("_pos"))))
-    # few cells are wanted: two order statistics for each quantile
-    inside = wanted.join(hist, keys).filter((F.col("_r") >= F.col("_b")) & (F.col("_r") < F.col("_b") + F.col("_c")))
-    inside = inside.select(*keys, "_name", "_pos", "_r", "_cell", (F.col("_r") - F.col("_b")).alias("_k")).distinct()
-    values = placed.join(per_tenant(inside.select(*keys, "_cell").distinct()), [*keys, "_cell"], "left_semi").groupBy(
-        *keys, "_cell", "_x").agg(F.count(F.lit(1)).alias("_m"))
-    order = Window.partitionBy(*keys, "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    values = values.withColumn("_s", F.coalesce(F.sum("_m").over(order), F.lit(0)))
-    found = inside.join(values, [*keys, "_cell"]).filter((F.col("_k") >= F.col("_s")) & (F.col("_k") < F.col("_s") + F.col("_m")))
-    low, high = F.min("_x"), F.max("_x")
-    each = found.groupBy(*keys, "_name", "_pos").agg((low + (F.col("_pos") - F.floor("_pos")) * (high - low)).alias("_v"))
-    return each.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in quantiles])
+    from tillsight.sources.tables import materialize
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # stored, so that a part's number stays its own whatever is computed again
+    parts = materialize(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranks")
+    sizes = parts.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most a row per part
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).select(
+        F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_before")
+    local = parts.withColumn("_local", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return local.join(sizes, same).select(*df.columns, (F.col("_before") + F.col("_local")).cast("int").alias(name))
 
 
 def per_tenant(df: DataFrame) -> DataFrame:

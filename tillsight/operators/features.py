@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tillsight.functions import calendar as C
 from tillsight.functions.core import ORG
-from tillsight.operators.calendar import add_holiday_features, holiday_names, season_weather
+from tillsight.operators.calendar import holiday_date_features, holiday_names, season_weather
 
 SERIES = [ORG, "item_id", "store_id"]
 LAGS = (1, 7, 14, 28)
@@ -102,17 +102,6 @@ def lag_columns(target: str = "sales", lags=LAGS) -> dict:
     return {f"{target}_lag_{n}": F.lag(target, n).over(w) for n in lags}
 
 
-def rolling_columns(target: str = "sales", windows=WINDOWS) -> dict:
-    out = {}
-    for n in windows:
-        w = series_window().rowsBetween(-(n - 1), 0)
-        out[f"{target}_rolling_mean_{n}"] = F.avg(target).over(w)
-        out[f"{target}_rolling_std_{n}"] = F.stddev_samp(target).over(w)
-        out[f"{target}_rolling_max_{n}"] = F.max(target).over(w)
-        out[f"{target}_rolling_min_{n}"] = F.min(target).over(w)
-    return out
-
-
 def price_columns() -> dict:
     w = series_window()
     p = F.col("sell_price")
@@ -125,8 +114,52 @@ def lag_features(df: DataFrame, target: str = "sales", lags=LAGS) -> DataFrame:
 
 
 def rolling_features(df: DataFrame, target: str = "sales", windows=WINDOWS) -> DataFrame:
-    """Rolling mean / sample std / max / min over the last n rows incl. current."""
-    return df.withColumns(rolling_columns(target, windows))
+    """Rolling mean / sample std / max / min over the last n rows incl. current.
+
+    No frame slides: sums are differences of running sums (of values less the series' first one, so that little
+    cancels), and the extreme of n rows is that of the extremes of overlapping blocks of about the square root
+    of n rows, read by their offsets. Three window steps share one exchange and sort.
+    """
+    return _rolled(df.withColumns(_rolling_start(target, windows)), target, windows)
+
+
+_EXTREMES = (("max", F.greatest), ("min", F.least))
+
+
+def _block(windows) -> int:
+    return max(1, math.isqrt(max(windows, default=1)))
+
+
+def _rolling_start(target: str, windows) -> dict:
+    w = series_window()
+    y = F.col(target).cast("double")
+    out = {"_origin": F.first(y, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))}
+    for n in {_block(windows), *[n for n in windows if n < _block(windows)]}:
+        out |= {f"_{k}_{n}": f(y, *[F.lag(y, i).over(w) for i in range(1, n)]) if n > 1 else y for k, f in _EXTREMES}
+    return out
+
+
+def _rolled(df: DataFrame, target: str, windows) -> DataFrame:
+    """``rolling_features`` after ``_rolling_start``'s columns."""
+    w, block = series_window(), _block(windows)
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    v = F.col(target).cast("double") - F.col("_origin")
+    steps = {"_s1": F.coalesce(F.sum(v).over(running), F.lit(0.0)), "_s2": F.coalesce(F.sum(v * v).over(running), F.lit(0.0)),
+             "_n": F.count(target).over(running)}
+    for n in windows:
+        for k, f in _EXTREMES:
+            at = sorted({*range(0, n - block + 1, block), n - block} - {0})  # how far back the blocks start
+            steps[f"_{k}_of_{n}"] = F.col(f"_{k}_{n}") if n <= block else f(*[F.col(f"_{k}_{block}"), *[F.lag(f"_{k}_{block}", i).over(w) for i in at]])
+    out = df.withColumns(steps)
+    last = lambda c, n: F.col(c) - F.coalesce(F.lag(c, n).over(w), F.lit(0))
+    steps = {}
+    for n in windows:
+        count, total, squares = last("_n", n), last("_s1", n), last("_s2", n)
+        steps[f"{target}_rolling_mean_{n}"] = F.when(count > 0, F.col("_origin") + total / count)
+        steps[f"{target}_rolling_std_{n}"] = F.when(count > 1, F.sqrt(F.greatest((squares - total * total / count) / (count - 1), F.lit(0.0))))
+        steps |= {f"{target}_rolling_{k}_{n}": F.col(f"_{k}_of_{n}") for k, _ in _EXTREMES}
+    out = out.withColumns(steps)
+    return out.drop(*[c for c in out.columns if c in ("_origin", "_s1", "_s2", "_n") or c.startswith(("_max_", "_min_"))])
 
 
 def item_price_mean(df: DataFrame) -> DataFrame:
@@ -139,24 +172,29 @@ def price_features(df: DataFrame) -> DataFrame:
     return out.withColumn("price_vs_avg", F.col("sell_price") - F.col("_item_price_mean")).drop("_item_price_mean")
 
 
+def date_features(df: DataFrame, weather: DataFrame | None = None) -> DataFrame:
+    """E01, E02, E03-E06 once per tenant and day: calendar parts, seasons, weather, holidays, interactions, indicators."""
+    dates = df.select(ORG, "date").distinct()
+    out = weather_features(season_features(time_features(dates)), weather=weather)
+    out = out.join(holiday_date_features(dates), [ORG, "date"], "left")
+    return demand_indicators(season_weather_interactions(out))
+
+
 def all_features(df: DataFrame, weather: DataFrame | None = None, target: str = "sales") -> DataFrame:
     """Every feature.
 
     The series windows (lags, rolling stats, price diffs) run first, on the
-    narrow fact rows, sharing one exchange + sort; the per-row calendar,
-    weather and holiday columns are added afterwards, so the window operator
-    never buffers wide rows.
+    narrow fact rows, sharing one exchange + sort. What depends on the tenant and
+    day alone is derived once per day, stored (tenants × calendar days) and
+    joined, so that no row of the fact computes it again.
     """
-    series_cols = {**price_columns(), **lag_columns(target), **rolling_columns(target)}
-    out = df.withColumns(series_cols)
+    from tillsight.sources.tables import materialize
+    out = _rolled(df.withColumns({**price_columns(), **lag_columns(target), **_rolling_start(target, WINDOWS)}), target, WINDOWS)
     out = out.join(item_price_mean(df), [ORG, "item_id"], "left")
     out = out.withColumn("price_vs_avg", F.col("sell_price") - F.col("_item_price_mean")).drop("_item_price_mean")
-    out = time_features(out)
-    out = season_features(out)
-    out = weather_features(out, weather=weather)
-    out = add_holiday_features(out, dates_from=df)
-    out = season_weather_interactions(out)
-    return demand_indicators(out)
+    days = materialize(date_features(df, weather), "date-features")
+    out = out.join(days, [ORG, "date"], "left")
+    return out.select(*df.columns, *[c for c in out.columns if c not in df.columns])
 
 
 NON_FEATURES = {"organization_id", "item_id", "store_id", "date", "category", "pakistan_season", "season",

@@ -9,12 +9,15 @@ per-key aggregates joined together, top-k per key by ``row_number``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.functions import calendar as C
-from tillsight.functions.core import ORG, exact_quantiles, per_tenant, round_half_away as rnd, safe_div
+from tillsight.functions.core import ORG, checked_broadcast, exact_quantiles, per_tenant, round_half_away as rnd, safe_div, split_rank
 from tillsight.operators.calendar import add_holiday_features, holiday_calendar, season_weather
+from tillsight.sources.tables import materialize
 
 INSIGHT_COLUMNS = [ORG, "insight_type", "insight_text", "category", "severity"]
 DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
@@ -461,31 +464,33 @@ def executive_opportunities(fact: DataFrame, top_k: int = 3) -> DataFrame:
 
 def executive_actions(alerts: DataFrame | None, financials: DataFrame, overview: DataFrame,
                       max_alerts: int | None = None) -> DataFrame:
-    """I11 prioritised actions: alerts (the newest ``max_alerts`` if given), reorder action, revenue decline; by priority."""
-    parts = []
+    """I11 prioritised actions: alerts (the newest ``max_alerts`` if given), reorder action, revenue decline; by
+    priority, alerts first and newest first among equals."""
+    parts, none = [], [F.lit(None).cast("string").alias("_made"), F.lit(None).cast("string").alias("_key")]
     if alerts is not None:
-        w = Window.partitionBy(ORG).orderBy(F.desc("created_at"), "dedup_key")
-        a = alerts.withColumn("_rn", F.row_number().over(w))
-        a = a if max_alerts is None else a.filter(F.col("_rn") <= max_alerts)
+        a = alerts
+        if max_alerts is not None:
+            w = Window.partitionBy(ORG).orderBy(F.desc("created_at"), "dedup_key")
+            a = a.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_alerts)
         parts.append(a.select(ORG, F.when(F.col("severity").isin("critical", "high"), 1).otherwise(2).alias("priority"),
                               F.col("alert_type").alias("type"), "title", F.col("message").alias("detail"),
-                              "severity", F.col("_rn").alias("_seq")))
+                              "severity", F.lit(0).alias("_seq"), F.col("created_at").cast("string").alias("_made"), F.col("dedup_key").alias("_key")))
     f = financials.filter(F.col("items_to_reorder") > 0)
     parts.append(f.select(ORG, F.lit(2).alias("priority"), F.lit("reorder").alias("type"),
                           F.concat(F.col("items_to_reorder").cast("string"), F.lit(" items need reordering")).alias("title"),
                           F.concat(F.lit("Estimated order value $"), n0("total_recommended_order_value")).alias("detail"),
-                          F.lit("medium").alias("severity"), F.lit(100).alias("_seq")))
+                          F.lit("medium").alias("severity"), F.lit(1).alias("_seq"), *none))
     o = overview.filter(F.col("growth_pct") < -10)
     parts.append(o.select(ORG, F.lit(1).alias("priority"), F.lit("revenue_decline").alias("type"),
                           F.concat(F.lit("Revenue down "), F.format_string("%.0f", F.abs("growth_pct")),
                                    F.lit("% month-over-month")).alias("title"),
                           F.lit("Investigate demand shifts, stockouts, or pricing before it compounds.").alias("detail"),
-                          F.lit("high").alias("severity"), F.lit(101).alias("_seq")))
+                          F.lit("high").alias("severity"), F.lit(2).alias("_seq"), *none))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    w = Window.partitionBy(ORG).orderBy("priority", "_seq")
-    return out.withColumn("position", F.row_number().over(w)).drop("_seq")
+    order = ["priority", "_seq", F.desc("_made"), "_key"]
+    return split_rank(out, [ORG], order, "position").drop("_seq", "_made", "_key")
 
 
 # ------------------------------------------------------------ I15 / I16 / I17
@@ -549,6 +554,22 @@ INTENTS = {
 }
 
 
+def intent(name: str, question: str = "question") -> Column:
+    """Whether a question holds one of an intent's words."""
+    q = F.lower(question)
+    return reduce(lambda a, b: a | b, [q.contains(word) for word in INTENTS[name]])
+
+
+def question_intents(questions: DataFrame) -> DataFrame:
+    """The intents of questions, from their text alone."""
+    return questions.select(ORG, "question_id", *[intent(name).alias(f"intent_{name}") for name in ("decline", "reorder", "stores", "demand")])
+
+
+def _first(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
+    """The first ``k`` rows of each key, numbered ``_rk``."""
+    return df.withColumn("_rk", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_rk") <= k)
+
+
 def answer_questions(questions: DataFrame, summary: DataFrame, financials: DataFrame,
                      decisions: DataFrame, stores: DataFrame, products: DataFrame, alerts: DataFrame | None = None,
                      top_k: int | None = None) -> DataFrame:
@@ -564,23 +585,16 @@ def answer_questions(questions: DataFrame, summary: DataFrame, financials: DataF
     re_ = (decisions.withColumn("_rk", F.row_number().over(w_re)).filter(F.col("_rk") <= 5)
            .groupBy(ORG).agg(F.sort_array(F.collect_list(F.struct(
                "_rk", "item_id", "store_id", "recommended_order_qty", "stockout_in_days", "days_of_stock"))).alias("reorder")))
-    w_st = Window.partitionBy(ORG).orderBy(F.desc("total_sales"), "store_id")
-    st = stores.withColumn("_rk", F.row_number().over(w_st))
-    st = st if top_k is None else st.filter(F.col("_rk") <= top_k)
-    best = st.filter(F.col("_rk") <= 3).groupBy(ORG).agg(F.sort_array(F.collect_list(
+    # the answers name the first three or five of each list: every window below is cut to those, so no tenant's rows meet in one task
+    by_store, by_item = [F.desc("total_sales"), "store_id"], [F.desc("total_sales"), "item_id"]
+    st = stores if top_k is None else _first(stores, [ORG], by_store, top_k).drop("_rk")
+    best = _first(st, [ORG], by_store, 3).groupBy(ORG).agg(F.sort_array(F.collect_list(
         F.struct("_rk", "store_id", "total_sales"))).alias("best_stores"))
-    w_wk = Window.partitionBy(ORG).orderBy(F.coalesce("growth_pct", F.lit(0.0)), "_rk")
-    worst = (st.withColumn("_wk", F.row_number().over(w_wk)).filter((F.col("_wk") <= 3) & F.col("growth_pct").isNotNull())
-               .groupBy(ORG).agg(F.sort_array(F.collect_list(F.struct("_wk", "store_id", "growth_pct")))
-                                 .alias("weak_stores")))
-    w_pr = Window.partitionBy(ORG).orderBy(F.desc("total_sales"), "item_id")
-    pr = products.withColumn("_rk", F.row_number().over(w_pr))
-    pr = pr if top_k is None else pr.filter(F.col("_rk") <= top_k)
-    # the answers name the first five of each kind: ranked, so no tenant's products meet in one row
+    worst = (_first(st, [ORG], [F.coalesce("growth_pct", F.lit(0.0)), *by_store], 3).filter(F.col("growth_pct").isNotNull())
+             .groupBy(ORG).agg(F.sort_array(F.collect_list(F.struct("_rk", "store_id", "growth_pct"))).alias("weak_stores")))
+    pr = products if top_k is None else _first(products, [ORG], by_item, top_k).drop("_rk")
     kind = F.when(F.col("growth_pct") < -10, "declining").when(F.col("growth_pct") > 10, "growing")
-    w_kind = Window.partitionBy(ORG, "_kind").orderBy("_rk")
-    first = (pr.withColumn("_kind", kind).filter("_kind is not null")
-               .withColumn("_n", F.row_number().over(w_kind)).filter("_n <= 5"))
+    first = _first(pr.withColumn("_kind", kind).filter("_kind is not null"), [ORG, "_kind"], by_item, 5)
     prod = first.groupBy(ORG).agg(
         F.sort_array(F.collect_list(F.when(F.col("_kind") == "declining", F.struct("_rk", "item_id")))).alias("declining"),
         F.sort_array(F.collect_list(F.when(F.col("_kind") == "growing", F.struct("_rk", "item_id", "growth_pct"))))
@@ -594,20 +608,11 @@ def answer_questions(questions: DataFrame, summary: DataFrame, financials: DataF
         three = alerts.withColumn("_n", F.row_number().over(w_al)).filter("_n <= 3")
         titles = three.groupBy(ORG).agg(F.sort_array(F.collect_list(F.struct("_n", "title"))).alias("_t"))
         snap = snap.join(titles.select(ORG, F.col("_t.title").alias("alert_titles")), ORG, "left")
-    q = questions.join(snap, ORG, "left").withColumn("_q", F.lower("question"))
-
-    def has(words):
-        c = None
-        for wd in words:
-            x = F.col("_q").contains(wd)
-            c = x if c is None else (c | x)
-        return c
+    # one row per tenant, up to the bound: a hot tenant's questions stay where they are
+    q = questions.join(checked_broadcast(materialize(snap, "snapshot")), ORG, "left")
 
     g = F.col("growth_pct")
-    dec = has(INTENTS["decline"])
-    reo = has(INTENTS["reorder"])
-    sto = has(INTENTS["stores"])
-    dem = has(INTENTS["demand"])
+    dec, reo, sto, dem = (intent(name) for name in ("decline", "reorder", "stores", "demand"))
     reorder_lines = F.transform("reorder", lambda r: F.concat(
         F.lit("  - "), r["item_id"], F.lit(" @ "), r["store_id"], F.lit(": order "),
         F.format_string("%.0f", r["recommended_order_qty"]), F.lit(" units ("),
@@ -671,9 +676,7 @@ def business_snapshot(fact: DataFrame, decisions: DataFrame, financials: DataFra
     """I16: the named frames of a tenant snapshot — every tenant at once, each
     list ranked, and cut to its top ``top_k`` per tenant if given."""
     def top(df, order, k=top_k):
-        w = Window.partitionBy(ORG).orderBy(*order)
-        ranked = df.withColumn("rank", F.row_number().over(w))
-        return ranked if k is None else ranked.filter(F.col("rank") <= k)
+        return split_rank(df, [ORG], order) if k is None else _first(df, [ORG], order, k).withColumnRenamed("_rk", "rank")
 
     out = {
         "sales": sales_summary(fact),
@@ -701,9 +704,10 @@ def report_payload(fact: DataFrame, decisions: DataFrame, financials: DataFrame,
                    max_decisions: int | None = None, max_accuracy: int | None = None) -> dict[str, DataFrame]:
     """Report frames — decisions (largest orders first), financials,
     executive overview and summary sentence, active model, accuracy."""
-    w = Window.partitionBy(ORG).orderBy(F.desc("recommended_order_qty"), "item_id", "store_id")
-    dec = decisions.withColumn("rank", F.row_number().over(w))
-    dec = dec if max_decisions is None else dec.filter(F.col("rank") <= max_decisions)
+    def ranked(df, order, most):
+        return split_rank(df, [ORG], order) if most is None else _first(df, [ORG], order, most).withColumnRenamed("_rk", "rank")
+
+    dec = ranked(decisions, [F.desc("recommended_order_qty"), "item_id", "store_id"], max_decisions)
     ov = executive_overview(fact, financials, accuracy)
     out = {"decisions": dec, "financials": financials, "executive": ov,
            "summary": auto_summary(ov, financials, executive_risks(financials),
@@ -711,7 +715,5 @@ def report_payload(fact: DataFrame, decisions: DataFrame, financials: DataFrame,
     if registry is not None:
         out["active_model"] = registry.filter(F.col("status") == "active")
     if accuracy is not None:
-        wa = Window.partitionBy(ORG).orderBy("horizon_days", "product_id", "store_id")
-        acc = accuracy.withColumn("rank", F.row_number().over(wa))
-        out["accuracy"] = acc if max_accuracy is None else acc.filter(F.col("rank") <= max_accuracy)
+        out["accuracy"] = ranked(accuracy, ["horizon_days", "product_id", "store_id"], max_accuracy)
     return out

@@ -341,7 +341,7 @@ SELECT r_name AS organization_id, CAST(conv_id AS VARCHAR) || ':' || CAST(turn A
 FROM conversations JOIN region ON r_regionkey = conv_id % 5 WHERE role = 'user'""")
 def i17q(spark, sf):
     """Intents of every user question, by tenant."""
-    return i17(spark, sf).select(ORG, "question_id", "intent_decline", "intent_reorder", "intent_stores", "intent_demand")
+    return I.question_intents(_questions(spark, sf))
 
 
 @query("d16_store_page_totals", with_fact(OBS_GROWTH.format(keys="organization_id, store_id") + """,

@@ -18,6 +18,8 @@ LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.ansi.enabled": "true",
+    # wide feature frames: a generated method beyond this many bytes of bytecode is never compiled by the JVM
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillsight.functions.core import ORG, round_half_away as rnd
+from tillsight.functions.core import ORG, round_half_away as rnd, split_rank
 from tillsight.session import scratch_path
 
 # ---------------------------------------------------------------------------
@@ -254,11 +254,17 @@ def fill_and_drop(df: DataFrame, fill: bool = True) -> DataFrame:
     return df.na.fill(0) if fill else df.na.drop()
 
 
-def encode_ids(df: DataFrame, cols: list[str]):
-    """String ids -> integer indices (MLlib ``StringIndexer``, frequency order)."""
-    from pyspark.ml.feature import StringIndexer
-    idx = StringIndexer(inputCols=cols, outputCols=[f"{c}_idx" for c in cols], handleInvalid="keep")
-    return idx.fit(df).transform(df)
+def encode_ids(df: DataFrame, cols: list[str]) -> DataFrame:
+    """String ids -> integer indices ``<col>_idx`` by falling frequency, ties by id; NULL gets the index after
+    the last. Labels are ranked where they are (``split_rank``): none pass through the driver."""
+    out = df
+    for c in cols:
+        labels = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
+        index = split_rank(labels, [], [F.desc("_n"), c], "_place")
+        n = index.agg(F.max("_place")).first()[0] or 0
+        named = index.select(F.col(c).alias("_label"), (F.col("_place") - 1).cast("double").alias(f"{c}_idx"))
+        out = out.join(named, F.col(c) == F.col("_label"), "left").drop("_label").withColumn(f"{c}_idx", F.coalesce(f"{c}_idx", F.lit(float(n))))
+    return out
 
 
 def sample_series(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
