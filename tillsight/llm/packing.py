@@ -118,7 +118,7 @@ def pack_stream(stream, capacity: int, window: int):
         for at in range(0, whole, capacity):
             yield [(doc, ids[at:at + capacity], at, n)]
         if whole < n:
-            held.add((doc, ids[whole:], whole, n))
+            held.add((doc, ids[whole:].copy(), whole, n))  # a view would keep the whole text's ids
         if held.n >= window:
             while held.n > window // 2 and held.total() >= capacity:
                 yield held.sequence(capacity)
