@@ -23,8 +23,8 @@ Scores are exact integer products; distances only exclude, with a slack for
 rounding, and equal scores are never excluded, so ties go to smaller ids.
 
 Defined cases: rows without id, null vectors, vectors with null or non-finite
-components, or with scaled components beyond 2^26 (their products need not fit
-in a long) take no part; vectors are compared with those of the same length; an empty
+components take no part, nor do vectors whose scaled squared length is 2^62 or more
+(their scores need not fit in a long); vectors are compared with those of the same length; an empty
 vector scores 0; every repeated row is a candidate, rows with the query's id are
 not; of query rows that repeat an id, the one with the least bytes asks; an
 empty table gives no rows; other columns are ignored.
@@ -55,8 +55,10 @@ def scaled(vectors: DataFrame, id_col: str, vector_col: str, factor: float) -> D
                 if i is None or not v.is_valid:
                     continue
                 a = np.array(v.values.to_numpy(zero_copy_only=False) if len(v) else [], float)  # a null is NaN
-                y = np.floor(a * factor)
-                if np.isfinite(y).all() and (np.abs(y) <= 1 << 26).all():
+                with np.errstate(over="ignore"):
+                    y = np.floor(a * factor)
+                # by Cauchy-Schwarz no product of two such vectors, nor any part of its sum, leaves 63 bits
+                if np.isfinite(y).all() and float(y @ y) < 2.0 ** 62:
                     out.append((i, len(y), y.astype("<i8").tobytes(), float(y @ y)))
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.float64()))],
