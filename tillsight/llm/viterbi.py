@@ -59,7 +59,7 @@ class Counter:
         self.single = {p for p in pieces if len(p) == 1}
         self.unknown, self.byte_pieces = min(pieces.values()) - 10, byte_pieces
         self.table, self.known = WordTable(most), np.zeros(most, np.int32)
-        self.space = self.best(SPACE)[1]
+        self.space, self.piece = self.best(SPACE)[1], 1 << 19
 
     def best(self, word: str) -> tuple[float, int]:
         """Score and number of tokens of the best segmentation."""
@@ -95,11 +95,29 @@ class Counter:
                     out[i] = self._runs(t.decode())
                 else:
                     plain.append((i, t))
-            if plain:
+            if len(plain) == 1 and len(plain[0][1]) > self.piece:
+                out[plain[0][0]] = self._long(plain[0][1])
+            elif plain:
                 for (i, _), n in zip(plain, self._plain([t for _, t in plain])):
                     out[i] = n
         return out
 
+    def _long(self, text: bytes) -> int:
+        """A long text, in pieces that end before a space or a line feed, so that the words of a piece fit in the
+        table whatever the text. A piece after a space is a text of its own, as texts have a space in front; one after
+        a line feed keeps the feed, and the space that then stands alone in front of it is taken off again."""
+        at = total = 0
+        while at < len(text):
+            end = at + self.piece
+            cut = max(text.rfind(c, at + 1, end) for c in (b" ", b"\n")) if end < len(text) else len(text)
+            if cut < 0:  # a word longer than a piece
+                cut = min((i for i in (text.find(c, end) for c in (b" ", b"\n")) if i >= 0), default=len(text))
+            total += self._plain([text[at:cut]])[0] - (self.space if at and text[at:at + 1] == b"\n" else 0)
+            if cut == len(text) - 1 and text[cut:] == b" ":  # a space at the end stands alone
+                total += self.space
+            at = cut + (text[cut:cut + 1] == b" ")
+        return total
+
     def _runs(self, text: str) -> int:
         """A text with runs of spaces: a piece may hold several."""
         lines = (" " + text).split("\n")
