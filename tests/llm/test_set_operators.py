@@ -29,7 +29,8 @@ def sorted_rows(rows):
 
 def brute_top(rows, k, every):
     ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows
-          if i is not None and v is not None and all(x is not None and math.isfinite(x) and abs(x) < 1e5 for x in v)]
+          if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, v) for i, v in ok if sum(x * x for x in v) < 2 ** 62]  # scores fit in a long
     out = []
     for q in sorted({i for i, _ in ok if i % every == 0}):
         vs = [v for i, v in ok if i == q]
@@ -62,6 +63,13 @@ def test_top_k_of_a_repeated_query_row(spark):
         assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 5, 10)
 
 
+def test_top_k_of_long_vectors(spark):
+    rows = [(0, [1.0, 2.0]), (50, [300000.0, 1.0]), (2, [1.0, 1.0]), (3, [2.0, 2.0]), (100, [-4e6, 5e6]), (7, [4e6, 5e6 + 0.0039]), (8, [1e300, 0.0])]
+    got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, k=5)
+    want = brute_top(rows, 5, 50)
+    assert {q for q, *_ in want} == {0, 50, 100} and sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_tree_leaves_out_most_distances():
     rng = np.random.default_rng(1)
     x = (np.repeat(rng.normal(size=(40, 8)) * 1000, 50, axis=0) + rng.normal(size=(2000, 8)) * 5).astype(np.int64)
@@ -75,6 +83,20 @@ def test_tree_leaves_out_most_distances():
 
 # Jaccard join
 
+def test_repeated_rows_have_one_set(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text)] * 300 + [(None, text + " more"), (5, "a b c d e f"), (5, "a b c d e f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen = []
+    plain, jaccard.staged = jaccard.staged, lambda d, name: seen.append((name, plain(d, name))) or seen[-1][1]
+    try:
+        got = jaccard.join(df).collect()
+    finally:
+        jaccard.staged = plain
+    assert [d.count() for name, d in seen if name == "jaccard-nodes"] == [3] and all(d.count() <= 3 for name, d in seen if name == "jaccard-sets")
+    assert sorted((r.doc_id or 0, r.n_links) for r in got) == [(0, 300)] * 301 + [(5, 1)] * 2
+
+
 def brute_sets(text):
     w = ["".join(c.lower() if "A" <= c <= "Z" else c for c in x) for x in WORD.findall(text or "")]
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
@@ -298,6 +320,17 @@ def test_closest_multiset(lengths, space):
     assert sum(k * n for k, n in got.items()) == max(s for s in sums if s <= space)
 
 
+def test_packing_keeps_remainders_only():
+    import tracemalloc
+    tracemalloc.start()
+    stream = ((i, np.arange(4096 * 100 + 5, dtype="<u4")) for i in range(200))
+    most = 0
+    for _ in packing.pack_stream(stream, 4096, 2048):
+        most = max(most, tracemalloc.get_traced_memory()[0])
+    tracemalloc.stop()
+    assert most < 20e6  # 200 texts of 1.6 MB each
+
+
 def test_packing_is_whole_and_full(odd, docs, spark):
     for frame, capacity in ((docs, 4096), (odd, 64), (docs, 256)):
         rows = [(r["doc_id"], r["text"] or "") for r in frame.collect()]

@@ -232,6 +232,21 @@ def test_token_counts_of_odd_texts(text):
     assert _C.count([text.encode(), b"the a", text.encode()]) == [by_library(_U, t) for t in (text, "the a", text)]
 
 
+def test_long_texts_are_counted_in_pieces():
+    import random
+    whole, cut = (viterbi.Counter(*viterbi.vocabulary(PIECES), most=m) for m in (100_000, 3000))
+    cut.piece = 200  # a piece has at most 100 words, the text more than the table holds
+    rng = random.Random(3)
+    for _ in range(20):
+        text = ""
+        while len(text) < 9000:
+            text += rng.choice(["ab", "Zug", "\u00e9t\u00e9", "x" * 300, str(rng.random()), str(rng.random())]) + rng.choice([" ", " ", " ", "\n", " \n", "\n\n"])
+        for t in (text, text.rstrip(), "\n" + text, text + "\n"):
+            assert cut.count([t.encode(), b"b c"]) == whole.count([t.encode(), b"b c"])
+    numbers = " ".join(str(i) for i in range(20_000)).encode()
+    assert cut.count([numbers]) == whole.count([numbers])
+
+
 def test_ties_go_to_the_longest_last_piece():
     c = viterbi.Counter({"a": -1.0, "b": -1.0, "ab": -2.0, "abc": -9.0, "c": -1.0, "bc": -2.0}, False)
     from tokenizers import Tokenizer, models

@@ -170,12 +170,15 @@ def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int =
     """The documents (doc, key, n, sig), and of each text with words: key, first (its
     least id), label (of its class, unlike an id never shared or null), class_id, n_links."""
     signed = staged(signatures(docs, trees, depth, size, id_col, text_col), "jaccard-signatures")
-    texts = signed.where("n > 0").groupBy("key").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("weight"))
+    texts = signed.where("n > 0").groupBy("key", "doc").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(
+        F.min("doc").alias("first"), F.sum("rows").alias("weight"), F.min_by("rows", "doc").alias("times"))
+    texts = texts.withColumn("times", F.coalesce("times", "weight"))  # rows with the least id; without one, all
     # the ids of nodes are fixed by writing them
     texts = staged(texts.withColumn("node", F.monotonically_increasing_id()), "jaccard-texts")
     first = signed.select(F.col("doc").alias("d"), F.col("key").alias("k"), "n", "sig")
-    reps = first.join(texts, (first["k"] == texts["key"]) & first["d"].eqNullSafe(texts["first"])).select("node", "first", "key", "weight", "n", "sig")
-    reps = staged(reps, "jaccard-nodes")
+    reps = first.join(texts, (first["k"] == texts["key"]) & first["d"].eqNullSafe(texts["first"])).select("node", "first", "key", "weight", "times", "n", "sig")
+    # one row for each node, however often its row is repeated
+    reps = staged(reps.where("times = 1").unionByName(reps.where("times > 1").dropDuplicates(["node"])), "jaccard-nodes")
     k = matched_depth(threshold, trees, depth, recall)
     while True:
         parts = staged(components(matches(reps, trees, depth, k)), "jaccard-components")
@@ -214,7 +217,9 @@ def _sets(docs: DataFrame, parts: DataFrame, reps: DataFrame, size: int, id_col:
                   .withColumn("n_bins", F.lit(1 + small // (2 * BLOCK_SHINGLES)).cast("long")))
     text = docs.select(F.col(id_col).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("t", F.unhex(F.md5("text")))
     # shuffle_hash: the texts are dealt out once, but not sorted
-    joined = text.join(cands.hint("shuffle_hash"), (text["t"] == cands["key"]) & text["d"].eqNullSafe(cands["first"]))
+    def beside(some: DataFrame) -> DataFrame:
+        return text.join(some.hint("shuffle_hash"), (text["t"] == some["key"]) & text["d"].eqNullSafe(some["first"])).select(*out, "text")
+
     out = ("component", "node", "weight", "n_blocks", "block", "n_bins", "sig")
 
     def run(batches):
@@ -228,7 +233,10 @@ def _sets(docs: DataFrame, parts: DataFrame, reps: DataFrame, size: int, id_col:
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(at, len(sets)) for i in range(len(out))] + [pa.array(sets, pa.binary())],
                                                  names=[*out, "set"])
 
-    return joined.select(*out, "text").mapInArrow(run, "component long, node long, weight long, n_blocks long, block long, n_bins long, sig binary, set binary")
+    joined = beside(cands.where("times = 1"))
+    if not reps.where("times > 1").isEmpty():  # a repeated row gives its node one set all the same
+        joined = joined.unionByName(beside(cands.where("times > 1")).dropDuplicates(["node"]))
+    return joined.mapInArrow(run, "component long, node long, weight long, n_blocks long, block long, n_bins long, sig binary, set binary")
 
 
 def keep_one(docs: DataFrame, columns, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
