@@ -201,7 +201,7 @@ def _visit(shard_rows, query_rows, dim: int, k: int, epsilon: float):
 
 
 def nearest_neighbours(vectors: DataFrame, query: Column, k: int = 20, epsilon: float = 2.5, cells: int = 1024, most: int = 16_384,
-                       fit_rows: int = 65_536, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+                       fit_rows: int = 65_536, block: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row that ``query`` (a condition on the column id) picks, the k
     rows of other ids found nearest, nearest first."""
     spark = vectors.sparkSession
