@@ -232,6 +232,39 @@ def test_attributions_add_up_and_rank(spark):
     assert all(r.bucket == 0 and r.mean_attribution == 0 for r in flat)
 
 
+def test_permutation_importance(spark):
+    df = frame(spark).withColumn("noise", F.col("a") * 0 + F.rand(3))
+    fits, rows, features = G.fitted(df, ["random_forest"], specs={"random_forest": dict(SMALL["random_forest"], depth=1)})
+    test = rows.where("_test")
+    got = {(r.organization_id, r.feature): r.importance for r in TR.permutation_importance(fits, test, features, SERIES + ["date"], chunk=40).collect()}
+    again = {(r.organization_id, r.feature): r.importance for r in TR.permutation_importance(fits, test.repartition(5), features, SERIES + ["date"], chunk=77).collect()}
+    assert got.keys() == again.keys() == {(o, f) for o in "AB" for f in features}
+    assert all(again[k] == pytest.approx(v, abs=1e-9) for k, v in got.items())
+    for o in "AB":
+        used = {r.features[f] for r in fits.where(f"organization_id = '{o}'").collect() for f in r.feature if f >= 0}
+        assert all(got[o, f] == 0.0 for f in features if f not in used) and "same" not in used
+        assert max((got[o, f], f) for f in features)[1] in ("a", "b")
+    # the permutation itself: every row gets another row's value, each value is given once
+    one = test.where("organization_id = 'A'").orderBy(F.xxhash64(F.lit(42), *SERIES, "date"), *SERIES, "date").collect()
+    forest = [r for r in fits.collect() if r.organization_id == "A"]
+
+    def predict(row, j, value):
+        total = 0.0
+        for t in forest:
+            n = 0
+            while t.feature[n] >= 0:
+                f = t.features[t.feature[n]]
+                n = t.left[n] if (value if f == j else row[f] or 0.0) <= t.threshold[n] else t.right[n]
+            total += t.value[n]
+        return max(0.0, total)
+
+    hashes = spark.range(len(features)).select(F.xxhash64(F.lit(42), F.col("id").cast("int")).alias("h")).collect()
+    for k, j in enumerate(features):
+        shift = hashes[k].h % (len(one) - 1) + 1
+        grown = [abs(predict(r, j, one[(i + shift) % len(one)][j] or 0.0) - r.sales) - abs(predict(r, j, r[j] or 0.0) - r.sales) for i, r in enumerate(one)]
+        assert got["A", j] == pytest.approx(sum(grown) / len(one), abs=1e-9)
+
+
 # -------------------------------------------------------------- forecasts
 
 def test_recursive_forecast_is_a_day_by_day_loop(spark):

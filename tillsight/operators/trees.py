@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillsight.functions.core import ORG, checked_broadcast
+from tillsight.functions.core import ORG, checked_broadcast, split_rank
 from tillsight.operators.features import NON_FEATURES, SERIES
 
 # Fixed values that must equal the reference's: sizes, rates and seeds of G02 random forest,
@@ -627,3 +627,51 @@ def attribution_dependence(attr: DataFrame, features: list[str], feature: str, b
     bucket = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("_lo")) / width * bins), F.lit(bins - 1))).otherwise(F.lit(0))
     return one.join(span, [ORG, "model"]).groupBy(ORG, "model", bucket.cast("int").alias("bucket")).agg(
         F.avg("v").alias("feature_value"), F.avg("a").alias("mean_attribution"), F.count(F.lit(1)).alias("n"))
+
+
+def permutation_importance(models: DataFrame, rows: DataFrame, features: list[str], keys: list[str], target: str = "sales", seed: int = 42,
+                           chunk: int = 2048) -> DataFrame:
+    """G16, the cheap variant: (organization_id, model, feature, importance): how much a model's mean absolute error on ``rows``
+    grows when the feature's values are permuted within the tenant. Nothing is fitted again.
+
+    The permutation is a bijection of ranks: rows are ranked by a seeded hash of their keys (``split_rank``, so no
+    tenant's rows meet in one task), and a row takes the value of the row a feature's own number of ranks further on, the
+    last followed by the first. A feature that no tree splits on has exactly 0.
+    """
+    width = len(features)
+    x = rows.where(F.col(target).isNotNull()).select(*dict.fromkeys([ORG, *keys]), F.col(target).cast("double").alias("_y"), feature_array(features).alias("_x"))
+    ranked = split_rank(x, [ORG], [F.xxhash64(F.lit(seed), *keys), *keys], "_rank")
+    sizes = checked_broadcast(x.groupBy(ORG).agg(F.count(F.lit(1)).alias("_rows")))  # one row per tenant
+    ranked = ranked.join(sizes, ORG)
+    shift = F.pmod(F.xxhash64(F.lit(seed), "_j"), F.greatest(F.col("_rows") - 1, F.lit(1))) + 1
+    gives = ranked.select(ORG, "_rank", "_rows", F.posexplode("_x").alias("_j", "_v")).select(
+        ORG, (F.pmod(F.col("_rank") - 1 - shift, F.col("_rows")) + 1).alias("_to"), "_j", "_v")
+    other = gives.groupBy(ORG, "_to").agg(F.transform(F.array_sort(F.collect_list(F.struct("_j", F.coalesce("_v", F.lit(0.0)).alias("v")))),
+                                                      lambda e: e["v"]).alias("_other"))  # one value per feature
+    other = other.select(F.col(ORG).alias("_o"), "_to", "_other")
+    both = ranked.join(other, (F.col(ORG) == F.col("_o")) & (F.col("_rank") == F.col("_to"))).select(*dict.fromkeys([ORG, *keys]), "_y", "_x", "_other")
+    schema = f"{ORG} string, model string, feature string, n long, grown double"
+
+    def run(table, trees):
+        import pyarrow as pa
+        out = []
+        if table.num_rows:
+            x, other = value_matrix(table.column("_x"), width), value_matrix(table.column("_other"), width)
+            y, tenant = table.column("_y").to_numpy(), table.column(ORG)[0].as_py()
+            for name, mine in of_model(trees):
+                forest = Forest(mine, features)
+                used = {mine[0]["features"][f] for t in mine for f in np.unique(t["feature"]) if f >= 0}
+                error = np.abs(np.maximum(forest.predict(x), 0.0) - y)
+                for j, feature in enumerate(features):
+                    grown = 0.0
+                    if feature in used:
+                        moved = x.copy()
+                        moved[:, j] = other[:, j]
+                        grown = float((np.abs(np.maximum(forest.predict(moved), 0.0) - y) - error).sum())
+                    out.append((tenant, name, feature, len(y), grown))
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64())
+        cols = list(zip(*out)) or [()] * 5
+        return pa.table({c.split()[0]: pa.array(v, k) for c, v, k in zip(schema.split(", "), cols, kinds)})
+
+    parts = _beside_models(both, models, run, schema, keys, chunk)
+    return parts.groupBy(ORG, "model", "feature").agg((F.sum("grown") / F.sum("n")).alias("importance"))

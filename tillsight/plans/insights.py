@@ -9,7 +9,7 @@ from tillsight.functions.core import ORG
 from tillsight.operators import insights as I
 from tillsight.operators import inventory as H
 from tillsight.plans.catalog import query, r4, with_fact
-from tillsight.plans.inventory import SCENARIOS, STATS_STOCK, _dec_sql, _stats
+from tillsight.plans.inventory import KPI_SQL, SCENARIOS, STATS_STOCK, _dec_sql, _stats
 from tillsight.plans.sqlcal import holiday_ctes, season_value_sql, tenant_years_sql
 from tillsight.sources.tables import SalesTables, read_table, sales_fact
 
@@ -209,6 +209,59 @@ def _exec_parts(spark, sf):
     return fact, dec, fin, ov
 
 
+EXEC_SQL = with_fact(OBS_GROWTH.format(keys="organization_id") + f""",
+dec AS ({_dec_sql(STATS_STOCK, SCENARIOS[:1])}),
+fin AS (SELECT organization_id, {KPI_SQL} FROM dec GROUP BY 1),
+ov AS (SELECT f.organization_id, round(SUM(sales), 2) AS total_sales, round(SUM(sales * COALESCE(sell_price, 0)), 2) AS revenue,
+              round(MAX(gg.growth_pct), 1) AS growth_pct FROM fact f JOIN gg USING (organization_id) GROUP BY 1),
+ra AS (SELECT organization_id, 1 AS priority, 2 AS seq, 'revenue_decline' AS type, 'high' AS severity,
+              'Revenue down ' || printf('%.0f', abs(growth_pct)) || '% month-over-month' AS title,
+              'Investigate demand shifts, stockouts, or pricing before it compounds.' AS detail FROM ov WHERE growth_pct < -10
+       UNION ALL SELECT organization_id, 2, 1, 'reorder', 'medium', CAST(items_to_reorder AS VARCHAR) || ' items need reordering',
+              'Estimated order value $' || format('{{:,.0f}}', total_recommended_order_value) FROM fin WHERE items_to_reorder > 0)""")
+
+
+@query("i11_action_texts", EXEC_SQL + f""",
+t_asof AS (SELECT organization_id, MAX(date) AS as_of FROM fact GROUP BY 1),
+chg AS (SELECT organization_id, item_id, store_id, (rc - pr) / pr * 100 AS pct FROM (
+  SELECT f.organization_id, f.item_id, f.store_id, COALESCE(SUM(CASE WHEN f.date > a.as_of - INTERVAL 7 DAY THEN f.sales END), 0) AS rc,
+         COALESCE(SUM(CASE WHEN f.date <= a.as_of - INTERVAL 7 DAY AND f.date > a.as_of - INTERVAL 28 DAY THEN f.sales END), 0) AS pr
+  FROM fact f JOIN t_asof a USING (organization_id) GROUP BY 1, 2, 3) WHERE pr > 0),
+sd AS (SELECT organization_id, store_id, date, SUM(sales) AS sales FROM fact GROUP BY 1, 2, 3),
+sz AS (SELECT organization_id, store_id, (rm - hm) / hs AS z FROM (
+  SELECT d.organization_id, d.store_id, AVG(CASE WHEN d.date > a.as_of - INTERVAL 7 DAY THEN sales END) AS rm,
+         AVG(CASE WHEN d.date <= a.as_of - INTERVAL 7 DAY THEN sales END) AS hm, STDDEV_SAMP(CASE WHEN d.date <= a.as_of - INTERVAL 7 DAY THEN sales END) AS hs,
+         COUNT(CASE WHEN d.date <= a.as_of - INTERVAL 7 DAY THEN 1 END) AS hn
+  FROM sd d JOIN t_asof a USING (organization_id) GROUP BY 1, 2) WHERE hn >= 14 AND hs > 0),
+yrs AS (SELECT organization_id, unnest([year(as_of), year(as_of) + 1]) AS year FROM t_asof),
+{holiday_ctes()},
+up AS (SELECT a.organization_id, h.name, date_diff('day', a.as_of, h.holiday_date) AS du
+  FROM t_asof a JOIN hol h ON h.organization_id = a.organization_id AND h.holiday_date >= a.as_of
+  QUALIFY row_number() OVER (PARTITION BY a.organization_id ORDER BY h.holiday_date, h.table_year, h.name) <= 10),
+al AS (
+  SELECT organization_id, 'stockout_risk' AS type, CASE WHEN stockout_in_days <= 3 THEN 'critical' ELSE 'high' END AS severity,
+         'Stockout risk: ' || item_id || ' @ ' || store_id AS title, 'Stock runs out in ~' || CAST(CAST(round_even(stockout_in_days, 0) AS BIGINT) AS VARCHAR)
+         || ' days. Order ' || CAST(CAST(round_even(recommended_order_qty, 0) AS BIGINT) AS VARCHAR) || ' units now.' AS detail
+    FROM dec WHERE stockout_in_days <= 7
+  UNION ALL SELECT organization_id, 'overstock', 'medium', 'Overstock: ' || item_id || ' @ ' || store_id,
+         CAST(CAST(round_even(days_of_stock, 0) AS BIGINT) AS VARCHAR) || ' days of stock ($' || format('{{:,.0f}}', COALESCE(overstock_capital, 0)) || ' tied up).'
+    FROM dec WHERE days_of_stock > 90
+  UNION ALL SELECT organization_id, 'demand_spike', 'high', 'Demand spike: ' || item_id || ' @ ' || store_id,
+         'Sales up ' || CAST(CAST(round_even(pct, 0) AS BIGINT) AS VARCHAR) || '% in the last 7 days. Consider stocking up.' FROM chg WHERE pct >= 40
+  UNION ALL SELECT organization_id, 'demand_drop', 'medium', 'Demand drop: ' || item_id || ' @ ' || store_id,
+         'Sales down ' || CAST(CAST(round_even(abs(pct), 0) AS BIGINT) AS VARCHAR) || '% in the last 7 days.' FROM chg WHERE pct <= -40
+  UNION ALL SELECT organization_id, 'store_performance', CASE WHEN abs(z) > 3 THEN 'high' ELSE 'medium' END, 'Store anomaly: ' || store_id,
+         store_id || ' is running ' || printf('%.1f', abs(z)) || 'σ ' || CASE WHEN z > 0 THEN 'above' ELSE 'below' END || ' its historical average this week.'
+    FROM sz WHERE abs(z) > 2
+  UNION ALL SELECT organization_id, 'upcoming_holiday', 'info', 'Upcoming holiday: ' || name, name || ' is in ' || CAST(du AS VARCHAR) || ' days. Stock up early.'
+    FROM up WHERE du BETWEEN 0 AND 7)
+SELECT organization_id, CAST(CASE WHEN severity IN ('critical', 'high') THEN 1 ELSE 2 END AS BIGINT) AS priority, type, title, detail, severity FROM al
+UNION ALL SELECT organization_id, CAST(priority AS BIGINT), type, title, detail, severity FROM ra""")
+def i11t(spark, sf):
+    """Priority, title and text of every executive action, without its position."""
+    return i11a(spark, sf).drop("position")
+
+
 @query("i11_executive_actions")
 def i11a(spark, sf):
     """Prioritised executive actions per tenant (rows only)."""
@@ -289,9 +342,22 @@ def i13(spark, sf):
     return I.product_intelligence(sales_fact(spark, sf))
 
 
-@query("i15_auto_summary")
+@query("i15_auto_summary", EXEC_SQL + """,
+rk AS (SELECT organization_id, 0 AS ord, '$' || format('{:,.0f}', total_overstock_capital) || ' tied up in overstock' AS m FROM fin WHERE total_overstock_capital > 1000
+       UNION ALL SELECT organization_id, 1, '$' || format('{:,.0f}', total_stockout_loss_risk) || ' at risk from stockouts' FROM fin WHERE total_stockout_loss_risk > 500
+       UNION ALL SELECT organization_id, 2, '$' || format('{:,.0f}', total_carrying_cost) || ' annual carrying cost' FROM fin WHERE total_carrying_cost > 1000),
+r3 AS (SELECT organization_id, string_agg(m, '; ' ORDER BY ord) AS risks FROM rk GROUP BY 1),
+a4 AS (SELECT organization_id, string_agg(title, '; ' ORDER BY priority, seq) AS acts FROM ra GROUP BY 1)
+SELECT organization_id, total_sales, growth_pct, concat_ws(' ',
+  CASE WHEN growth_pct IS NOT NULL THEN 'Sales ' || CASE WHEN growth_pct >= 0 THEN 'grew' ELSE 'declined' END || ' ' || printf('%.1f', abs(growth_pct))
+       || '% month-over-month (' || format('{:,.0f}', total_sales) || ' units total).' ELSE 'Total sales ' || format('{:,.0f}', total_sales) || ' units.' END,
+  'Estimated revenue ' || format('{:,.0f}', revenue) || '.',
+  'Inventory value ' || format('{:,.0f}', total_inventory_value) || ' with ' || format('{:,.0f}', total_overstock_capital) || ' tied up in overstock and '
+    || format('{:,.0f}', total_stockout_loss_risk) || ' at stockout risk.',
+  'Key risks: ' || risks || '.', 'Priority actions: ' || acts || '.') AS summary
+FROM ov LEFT JOIN fin USING (organization_id) LEFT JOIN r3 USING (organization_id) LEFT JOIN a4 USING (organization_id)""")
 def i15(spark, sf):
-    """Management summary sentence per tenant (rows only)."""
+    """Management summary sentence per tenant."""
     fact, dec, fin, ov = _exec_parts(spark, sf)
     return I.auto_summary(ov, fin, I.executive_risks(fin), I.executive_actions(None, fin, ov))
 

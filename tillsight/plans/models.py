@@ -278,6 +278,14 @@ def g16top(spark, sf):
     return trees.ranked_attributions(attr, features, 20).drop("model")
 
 
+@query("g16_permutation_importance")
+def g16p(spark, sf):
+    """Growth of each random forest's mean absolute error on held-out rows when a feature's values
+    are permuted within the tenant (rows only)."""
+    _, fits, rows, features = _forest(spark, sf)
+    return trees.permutation_importance(fits, rows.where("_test"), features, [*G.SERIES, "date"]).drop("model")
+
+
 @query("g16b_dependence")
 def g16b(spark, sf):
     """Mean attribution of last week's mean sales by bucket of its value, per tenant (rows only)."""
