@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.functions.calendar import season, weekday0
-from tillsight.functions.core import ORG, exact_quantiles, per_tenant, safe_div
+from tillsight.functions.core import ORG, exact_quantiles, finite, per_tenant, safe_div
 
 DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
@@ -191,11 +191,15 @@ def iqr_outliers(fact: DataFrame, k: float = 1.5, column: str = "sales") -> Data
 
 
 def target_correlation(frame: DataFrame, features: list[str], target: str = "sales") -> DataFrame:
-    """Pearson correlation of every numeric feature with the target, one pass."""
-    a = frame.groupBy(ORG).agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c)
-                                 for c in features])
-    long = a.unpivot(ORG, features, "feature", "corr")
-    return long
+    """Pearson correlation of every feature with the target, one pass; per tenant, largest first (NULL, a
+    feature without spread, last)."""
+    def corr(c):
+        x, y = F.col(c).cast("double"), F.col(target).cast("double")
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))  # NULL without spread
+
+    a = frame.groupBy(ORG).agg(*[finite(corr(c)).alias(c) for c in features])
+    return a.unpivot(ORG, features, "feature", "corr").orderBy(ORG, F.desc_nulls_last("corr"), "feature")
 
 
 def hierarchy_counts(fact: DataFrame) -> DataFrame:

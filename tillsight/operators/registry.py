@@ -348,3 +348,9 @@ def training_history(history: DataFrame, limit: int | None = None) -> DataFrame:
     w = Window.partitionBy(ORG).orderBy(F.desc("trained_at"), "model")
     r = history.withColumn("rank", F.row_number().over(w))
     return r if limit is None else r.filter(F.col("rank") <= limit)
+
+
+def current_best(history: DataFrame) -> DataFrame:
+    """Of each tenant's newest training run (latest ``trained_at``) the model marked best."""
+    newest = history.groupBy(ORG).agg(F.max("trained_at").alias("_t"))
+    return history.join(per_tenant(newest), ORG).where((F.col("trained_at") == F.col("_t")) & F.col("is_best")).drop("_t")

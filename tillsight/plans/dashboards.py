@@ -236,20 +236,3 @@ def d10(spark, sf):
     """Mean row sales on holiday (event) dates vs other dates and the uplift."""
     fact = sales_fact(spark, sf)
     return D.event_uplift(add_holiday_features(fact.select("organization_id", "date", "sales"), dates_from=fact))
-
-
-D14_FEATURES = ["sell_price", "dayofweek", "month", "dayofyear", "is_weekend"]
-
-
-@query("d14_target_correlation", with_fact(f"""
-WITH f AS (SELECT organization_id, sales, sell_price, CAST(isodow(date) - 1 AS DOUBLE) AS dayofweek,
-                  CAST(month(date) AS DOUBLE) AS month, CAST(dayofyear(date) AS DOUBLE) AS dayofyear,
-                  CAST(isodow(date) >= 6 AS DOUBLE) AS is_weekend FROM fact),
-c AS (SELECT organization_id, {', '.join(f'corr({c}, sales) AS {c}' for c in D14_FEATURES)} FROM f GROUP BY 1)
-{' UNION ALL '.join(f"SELECT organization_id, '{c}' AS feature, {r4(c, 'corr')} FROM c" for c in D14_FEATURES)}
-"""))
-def d14(spark, sf):
-    """Pearson correlation of price and calendar parts with sales per tenant."""
-    from tillsight.operators.features import time_features
-    f = time_features(sales_fact(spark, sf))
-    return D.target_correlation(f, D14_FEATURES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillsight.functions.calendar import season_sql
-from tillsight.functions.core import ORG
+from tillsight.functions.core import ORG, rounded
 from tillsight.operators import features as E
 from tillsight.operators.calendar import holiday_date_features
 from tillsight.plans.calendar import _f05_sql
@@ -222,3 +222,14 @@ def e14(spark, sf):
     """Event flag and type per shifted tenant date from the holiday calendar."""
     f = sales_fact(spark, sf).withColumn("date", F.add_months("date", 336)).select(ORG, "date").distinct()
     return E.event_flags(f)
+
+
+@query("d14_target_correlation", f"""WITH e10 AS ({_e10_sql()}),
+c AS (SELECT organization_id, {', '.join(f'corr({c}, sales) AS {c}' for c in E10_FEATURES)} FROM e10 GROUP BY 1)
+{' UNION ALL '.join(f"SELECT organization_id, '{c}' AS feature, CASE WHEN isfinite({c}) THEN {r4(c, 'corr').removesuffix(' AS corr')} END AS corr FROM c" for c in E10_FEATURES)}""")
+def d14(spark, sf):
+    """Pearson correlation of every numeric column of the feature frame (rounded as its query gives it) with sales, per tenant."""
+    from tillsight.operators import dashboards as D
+    from tillsight.operators.trees import numeric_features
+    frame = rounded(E.all_features(sales_fact(spark, sf)))
+    return D.target_correlation(frame, numeric_features(frame))

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tillsight.functions.core import ORG, per_tenant
@@ -109,6 +110,33 @@ h AS (SELECT reg.*, lw, lb, status = 'active' AND lw IS NOT NULL AND reg.wape IS
       FROM reg LEFT JOIN lv USING (organization_id))"""
 
 
+@query("g21b_flagged_versions", with_fact(f"""WITH {REG_SQL}
+SELECT organization_id, version, status, version IN (1, 4) AS degradation_flagged FROM reg"""))
+def g21b(spark, sf):
+    """Versions after the degradation flag of two versions was set by hand, and that of a third set and cleared."""
+    reg = _registry(spark, sf)
+    keys = lambda *v: reg.select(ORG, "version").where(F.col("version").isin(*v))
+    done = R.flag_degradation(R.flag_degradation(R.flag_degradation(reg, keys(1, 4)), keys(2)), keys(2), False)
+    return done.select(ORG, "version", "status", "degradation_flagged")
+
+
+@query("g24_training_history", with_fact(f"""WITH {REG_SQL},
+h AS (SELECT organization_id, algorithm AS model, mae, version > 2 AS second,
+             row_number() OVER (PARTITION BY organization_id, version > 2 ORDER BY mae, algorithm) = 1 AS is_best FROM reg)
+SELECT organization_id, model, round(mae, 4) AS mae, is_best, is_best AND second AS current_best,
+       CAST(row_number() OVER (PARTITION BY organization_id ORDER BY second DESC, model) AS BIGINT) AS rank FROM h"""))
+def g24(spark, sf):
+    """Training runs of each tenant, newest first, their best models and the current best."""
+    comp = materialize(_comparison(spark, sf), "comparison")
+    best = F.min_by("model", F.struct("mae", "model")).over(Window.partitionBy(ORG))  # a row per model
+    runs = comp.select(ORG, "model", "mae", (F.col("model") == best).alias("is_best"),
+                       F.explode(F.array(F.lit(FIRST).cast("timestamp"), F.lit(SECOND).cast("timestamp"))).alias("trained_at"))
+    history = R.training_history(runs)
+    now = R.current_best(history).select(ORG, "model", "trained_at", F.lit(True).alias("current_best"))
+    return history.join(now, [ORG, "model", "trained_at"], "left").select(
+        ORG, "model", "mae", "is_best", F.coalesce("current_best", F.lit(False)).alias("current_best"), "rank")
+
+
 def _daily_runs(spark, sf, days):
     """The registry and accuracy tables after ``run_models`` on each of ``days``: forecasts of two
     days' runs are stored, and a registry whose active model is the tenant mean."""

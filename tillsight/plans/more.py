@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tillsight.functions.core import ORG
+from tillsight.functions.core import ORG, finite_all
 from tillsight.operators import alerts as A
 from tillsight.operators import calendar as K
 from tillsight.operators import dashboards as D
@@ -308,3 +308,74 @@ def i16l(spark, sf):
     snap = INS.business_snapshot(fact, dec, H.financial_summary(dec), INS.store_intelligence(fact), INS.product_intelligence(fact), top_k=12)
     parts = [snap[n].select(ORG, F.lit(n).alias("list"), "item_id", "store_id", "rank") for n in ("top_reorder_items", "stockout_risks")]
     return parts[0].unionByName(parts[1])
+
+
+# ------------------------------------------------------- small sources, sinks, samples
+
+
+@query("a05_json_rows", """
+SELECT l_orderkey AS order_id, l_partkey AS part, round(l_quantity, 4) AS qty, CAST(l_shipdate AS DATE) AS shipped,
+       CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_returnflag END AS flag FROM lineitem""")
+def a05(spark, sf):
+    """Line items written as JSON lines and read back under a schema (a missing field is NULL)."""
+    path = scratch_path(spark, f"json-{uuid.uuid4().hex}")
+    rows = read_table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty"),
+        F.to_date("l_shipdate").alias("shipped"), F.when(F.col("l_orderkey") % 3 != 0, F.col("l_returnflag")).alias("flag"))
+    rows.write.mode("overwrite").json(path)
+    return I.read_rows_json(spark, path, "order_id long, part long, qty double, shipped date, flag string")
+
+
+@query("a13_upload_history", """
+SELECT 'ann' AS user_id, 'lineitem.csv' AS filename, 'processed' AS status, COUNT(*) AS rows, CAST(NULL AS VARCHAR) AS error FROM lineitem
+UNION ALL SELECT 'ann', 'orders.csv', 'failed', COUNT(*), 'no date column' FROM orders""")
+def a13(spark, sf):
+    """One user's uploads of three tables' rows, recorded in the dataset catalogue (successes and an error)."""
+    root = scratch_path(spark, f"datasets-{uuid.uuid4().hex}")
+    for user, name, status, error in (("ann", "lineitem", "processed", None), ("bob", "part", "processed", None), ("ann", "orders", "failed", "no date column")):
+        I.record_dataset(spark, root, "acme", user, f"{name}.csv", status, read_table(spark, sf, name).count(), error)
+    return I.upload_history(spark.read.parquet(f"{root}/datasets"), "ann").select("user_id", "filename", "status", "rows", "error")
+
+
+@query("a15_decision_report", with_fact(f"""{DEC}
+SELECT organization_id, item_id, store_id, round(recommended_order_qty, 4) AS recommended_order_qty, order_date, arrival_date, status,
+  round(days_of_stock, 4) AS days_of_stock, stockout_date, round(unit_price, 4) AS unit_price, round(inventory_value, 4) AS inventory_value,
+  round(overstock_capital, 4) AS overstock_capital, round(stockout_revenue_loss, 4) AS stockout_revenue_loss, round(potential_savings, 4) AS potential_savings
+FROM dec"""))
+def a15(spark, sf):
+    """The decision report's CSV files (thirteen columns), read back."""
+    path = scratch_path(spark, f"report-{uuid.uuid4().hex}")
+    I.write_decision_report(H.purchase_decisions(_stats(spark, sf)), path)
+    kinds = {"order_date": "date", "arrival_date": "date", "stockout_date": "date"} | {c: "double" for c in (
+        "recommended_order_qty", "days_of_stock", "unit_price", "inventory_value", "overstock_capital", "stockout_revenue_loss", "potential_savings")}
+    schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in I.REPORT_DECISION_COLUMNS)
+    back = spark.read.schema(f"{schema}, {ORG} string").option("header", True).csv(path)
+    return back.select(ORG, *I.REPORT_DECISION_COLUMNS)
+
+
+@query("b16_finite_frame", with_fact("""
+SELECT organization_id, item_id, store_id, date, round(CASE WHEN day(date) > 2 THEN sales END, 4) AS sales, round(sell_price, 4) AS sell_price FROM fact"""))
+def b16(spark, sf):
+    """A frame with NaN and infinite sales on the first days of each month: they become NULL."""
+    bad = F.when(F.dayofmonth("date") == 1, F.lit(float("nan"))).when(F.dayofmonth("date") == 2, F.lit(float("-inf"))).otherwise(F.col("sales"))
+    return finite_all(sales_fact(spark, sf).withColumn("sales", bad)).drop("category")
+
+
+@query("b18_sampled_series", with_fact("""
+WITH s AS (SELECT organization_id, COUNT(DISTINCT item_id || '|' || store_id) AS n FROM fact GROUP BY 1)
+SELECT organization_id, least(n, 20) AS series, true AS whole FROM s"""))
+def b18(spark, sf):
+    """Twenty series of each tenant by seeded hash: their number, and whether each kept all its rows (C13 restricts by the same join)."""
+    fact = sales_fact(spark, sf)
+    kept = I.sample_series(fact, 20).groupBy(*G.SERIES).agg(F.count(F.lit(1)).alias("kept"))
+    rows = fact.groupBy(*G.SERIES).agg(F.count(F.lit(1)).alias("rows"))
+    return kept.join(rows, G.SERIES).groupBy(ORG).agg(F.count(F.lit(1)).alias("series"), F.bool_and(F.col("kept") == F.col("rows")).alias("whole"))
+
+
+@query("b19_sampled_rows", with_fact("""
+SELECT organization_id, least(COUNT(*), 1500) AS rows, least(COUNT(*), 1500) AS distinct_rows FROM fact GROUP BY 1"""))
+def b19(spark, sf):
+    """Exactly 1,500 rows of each tenant (all, if fewer) by seeded hash: their number, and that none is repeated."""
+    kept = I.sample_n_rows(sales_fact(spark, sf), 1500)
+    per_key = kept.groupBy(ORG, "item_id", "store_id", "date").agg(F.count(F.lit(1)).alias("n"))
+    return per_key.groupBy(ORG).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct_rows"))

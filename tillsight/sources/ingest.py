@@ -53,9 +53,11 @@ def read_upload_csv(spark: SparkSession, path: str, sample_rows: int | None = No
     return df.limit(sample_rows) if sample_rows else df
 
 
-def read_rows_json(spark: SparkSession, path: str) -> DataFrame:
-    """Bulk JSON rows (one object per line)."""
-    return spark.read.option("mode", "PERMISSIVE").json(path)
+def read_rows_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Bulk JSON rows (one object per line). With a ``schema`` the files are read once; without, a pass
+    over them infers it. A line that is no JSON, and a value that does not fit, give NULLs."""
+    reader = spark.read.option("mode", "PERMISSIVE")
+    return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
 def _typed(df: DataFrame, kinds) -> DataFrame:
@@ -276,6 +278,13 @@ def sample_series(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return df.join(keep, [ORG, "item_id", "store_id"], "left_semi")
 
 
+def sample_n_rows(df: DataFrame, n: int, seed: int = 42, keys=(ORG, "item_id", "store_id", "date")) -> DataFrame:
+    """B19 by count: exactly ``n`` rows of each tenant (all, if fewer), those with the smallest seeded hashes of their
+    keys, ties by key. Ranked by parts (``split_rank``), so no tenant's rows meet in one task."""
+    ranked = split_rank(df.withColumn("_h", F.xxhash64(F.lit(seed), *keys)), [ORG], ["_h", *keys], "_place")
+    return ranked.where(F.col("_place") <= n).drop("_h", "_place")
+
+
 def sample_rows(df: DataFrame, fraction: float, seed: int = 42, keys=(ORG, "item_id", "store_id", "date")) -> DataFrame:
     """Repeatable row sample by a seeded hash of the row key."""
     return df.filter(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000)) < int(fraction * 1_000_000))
@@ -465,6 +474,16 @@ REPORT_DECISION_COLUMNS = ["item_id", "store_id", "recommended_order_qty", "orde
                            "stockout_revenue_loss", "potential_savings"]
 
 
+def write_decision_report(decisions: DataFrame, path: str) -> None:
+    """The decision report as CSV, its columns in their order. ``decisions``: purchase decisions (H11), with or
+    without a rank; one folder of part files per tenant, rows of a part by falling order quantity."""
+    extra = [c for c in REPORT_DECISION_COLUMNS if c not in decisions.columns]
+    if extra:
+        raise ValueError(f"missing report columns: {extra}")
+    rows = decisions.select(ORG, *REPORT_DECISION_COLUMNS).sortWithinPartitions(ORG, F.desc("recommended_order_qty"), "item_id", "store_id")
+    rows.write.mode("overwrite").option("header", True).partitionBy(ORG).csv(path)
+
+
 def record_dataset(spark: SparkSession, root: str, organization_id: str, user: str, filename: str, status: str,
                    rows: int, error: str | None = None) -> None:
     """Append a dataset catalogue row (success or error)."""
