@@ -137,6 +137,16 @@ def test_models_of_all_tenants_in_one_table(spark):
     assert len(none) == 4 and all(r.mae is None and r.error and not r.is_best for r in none)
 
 
+def test_models_are_compared_per_tenant(spark):
+    rows = [(o, "i", str(k % 3), dt.date(2024, 1, 1) + dt.timedelta(days=k), float(k % 2), s)
+            for o, n, up in (("A", 300, 100.0), ("B", 60, -100.0)) for k in range(n) for s in (200 + up * (k % 2),)]
+    df = spark.createDataFrame(rows, "organization_id string, item_id string, store_id string, date date, x double, sales double")
+    got = G.compare_models(df, ("baseline", "random_forest"), specs={"random_forest": dict(kind="forest", trees=5, depth=2, seed=1)}).collect()
+    assert sorted((r.organization_id, r.model) for r in got) == [(o, m) for o in "AB" for m in ("baseline", "random_forest")]
+    assert {(r.organization_id, r.model) for r in got if r.is_best} == {("A", "random_forest"), ("B", "random_forest")}
+    assert all(r.mae < 1 for r in got if r.model == "random_forest")  # a forest over both tenants misses B's sales by far
+
+
 def test_scores_are_those_of_the_tree_arrays(spark):
     df = frame(spark)
     fits, rows, features = G.fitted(df, specs=SMALL)

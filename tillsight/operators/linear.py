@@ -119,8 +119,7 @@ def dot(a: Column, b: Column) -> Column:
 CHANGES, CHANGE_SHARE = 25, 0.8  # dates at which the slope may change, in the first part of the history
 YEARLY, WEEKLY = 10, 3           # pairs of Fourier terms
 WIDTH = 2 + CHANGES + 2 * (YEARLY + WEEKLY)
-RIDGE = np.array([0.0, 0.0] + [1.0] * CHANGES + [0.01] * (2 * (YEARLY + WEEKLY)))
-HEADER = ("first", "span", "scale")
+HINGE_RIDGE, WAVE_RIDGE = 1.0, 0.01
 
 
 def additive_headers(daily: DataFrame, target: str = "sales") -> DataFrame:
@@ -131,41 +130,44 @@ def additive_headers(daily: DataFrame, target: str = "sales") -> DataFrame:
         F.greatest(F.max(F.abs(F.col(target).cast("double"))), F.lit(1e-9)).alias("scale"))
 
 
-def additive_vector() -> Column:
+def additive_vector(yearly: int = YEARLY, weekly: int = WEEKLY) -> Column:
     """The design of a day next to its header: 1, time, hinges, yearly and weekly terms."""
     day = F.datediff("date", F.lit("1970-01-01")).cast("double")
     t = F.datediff(F.col("date"), F.col("first")) / F.col("span")
     hinges = [F.greatest(t - CHANGE_SHARE * (i + 1) / (CHANGES + 1), F.lit(0.0)) for i in range(CHANGES)]
-    waves = [f(2 * math.pi * k * day / period) for period, order in ((365.25, YEARLY), (7.0, WEEKLY)) for k in range(1, order + 1) for f in (F.sin, F.cos)]
+    waves = [f(2 * math.pi * k * day / period) for period, order in ((365.25, yearly), (7.0, weekly)) for k in range(1, order + 1) for f in (F.sin, F.cos)]
     return F.array(F.lit(1.0), t, *hinges, *waves)
 
 
-def additive_sums(daily: DataFrame, headers: DataFrame, target: str = "sales") -> DataFrame:
+def additive_sums(daily: DataFrame, headers: DataFrame, target: str = "sales", yearly: int = YEARLY, weekly: int = WEEKLY) -> DataFrame:
     """Cross sums of the days' design and their scaled totals."""
     rows = daily.where(F.col(target).isNotNull()).join(checked_broadcast(headers), ORG)
-    return cross_sums(rows, F.concat(additive_vector(), F.array(F.col(target).cast("double") / F.col("scale"))), WIDTH + 1)
+    vector = F.concat(additive_vector(yearly, weekly), F.array(F.col(target).cast("double") / F.col("scale")))
+    return cross_sums(rows, vector, 3 + CHANGES + 2 * (yearly + weekly))
 
 
 def additive_models(sums: DataFrame) -> DataFrame:
     """Ridge solution of each tenant's sums: coef, and sigma, the spread of the scaled residuals."""
     def solve(m):
-        a, b, c = m[:WIDTH, :WIDTH], m[:WIDTH, WIDTH], m[WIDTH, WIDTH]
-        coef = np.linalg.lstsq(a + np.diag(RIDGE), b, rcond=None)[0]
+        a, b, c = m[:-1, :-1], m[:-1, -1], m[-1, -1]
+        ridge = np.full(len(b), WAVE_RIDGE)
+        ridge[:2], ridge[2:2 + CHANGES] = 0.0, HINGE_RIDGE
+        coef = np.linalg.lstsq(a + np.diag(ridge), b, rcond=None)[0]
         left = max(0.0, float(c - 2 * coef @ b + coef @ a @ coef))
         return {"coef": coef.tolist(), "sigma": math.sqrt(left / m[0, 0])}
 
     return _solved(sums, solve, f"{ORG} string, coef array<double>, sigma double")
 
 
-def additive_forecast(daily: DataFrame, horizon: int = 28, target: str = "sales") -> DataFrame:
+def additive_forecast(daily: DataFrame, horizon: int = 28, target: str = "sales", yearly_order: int = YEARLY, weekly_order: int = WEEKLY) -> DataFrame:
     """(tenant, date, y, yhat, yhat_lower, yhat_upper) for every day of the history and ``horizon`` days after
     the tenant's last date; the band is 1.96 standard deviations of the residuals."""
     headers = additive_headers(daily, target)
-    models = checked_broadcast(additive_models(additive_sums(daily, headers, target)).join(headers, ORG))  # one row per tenant
+    models = checked_broadcast(additive_models(additive_sums(daily, headers, target, yearly_order, weekly_order)).join(headers, ORG))  # one row per tenant
     last = daily.groupBy(ORG).agg(F.max("date").alias("_last"))
     future = last.select(ORG, F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", horizon))).alias("date"))
     days = daily.select(ORG, "date", F.col(target).cast("double").alias("y")).unionByName(future.withColumn("y", F.lit(None).cast("double")))
-    yhat = dot(additive_vector(), F.col("coef")) * F.col("scale")
+    yhat = dot(additive_vector(yearly_order, weekly_order), F.col("coef")) * F.col("scale")
     out = days.join(models, ORG).withColumn("yhat", yhat).withColumn("_band", 1.96 * F.col("sigma") * F.col("scale"))
     return out.select(ORG, "date", "y", "yhat", (F.col("yhat") - F.col("_band")).alias("yhat_lower"), (F.col("yhat") + F.col("_band")).alias("yhat_upper"))
 

@@ -19,6 +19,7 @@ from tillsight.functions import calendar as C
 from tillsight.functions.core import ORG, checked_broadcast, col, per_tenant
 from tillsight.operators import trees
 from tillsight.operators.features import SERIES
+from tillsight.operators.linear import additive_forecast  # noqa: F401 — G05 is offered next to the other models
 from tillsight.sources.tables import materialize
 
 
