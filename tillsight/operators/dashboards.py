@@ -28,25 +28,31 @@ def daily_store(fact: DataFrame) -> DataFrame:
                      F.countDistinct("item_id").alias("item_count")))
 
 
+def tenant_totals(fact: DataFrame) -> DataFrame:
+    """Per tenant: items, stores, categories, states, series, days, first and last date, sales, revenue (a missing
+    price as 0; ``priced_revenue``: left out) and the mean daily total. The fact is aggregated once per series and once per day;
+    different values are counted over those few rows, so no fact row is copied for each distinct count."""
+    extra = [c for c in ("category", "state_id") if c in fact.columns]
+    price = F.col("sell_price") if "sell_price" in fact.columns else F.lit(None).cast("double")
+    series = fact.groupBy(ORG, "item_id", "store_id", *extra).agg(
+        F.sum("sales").alias("_sales"), F.sum(F.col("sales") * F.coalesce(price, F.lit(0.0))).alias("_revenue"), F.sum(F.col("sales") * price).alias("_priced"))
+    count = lambda *c: F.countDistinct(*c)
+    a = series.groupBy(ORG).agg(
+        count("item_id").alias("items"), count("store_id").alias("stores"), count("item_id", "store_id").alias("series"),
+        (count("category") if "category" in extra else F.lit(0).cast("bigint")).alias("categories"),
+        (count("state_id") if "state_id" in extra else F.lit(1).cast("bigint")).alias("states"),
+        F.sum("_sales").alias("sales"), F.sum("_revenue").alias("revenue"), F.sum("_priced").alias("priced_revenue"))
+    days = fact.groupBy(ORG, "date").agg(F.sum("sales").alias("_day")).groupBy(ORG).agg(
+        F.count("date").alias("days"), F.min("date").alias("min_date"), F.max("date").alias("max_date"), F.avg("_day").alias("avg_daily"))
+    return a.join(per_tenant(days), ORG)
+
+
 def overview(fact: DataFrame) -> DataFrame:
     """Headline KPIs per tenant."""
-    has_state = "state_id" in fact.columns
-    states = F.countDistinct("state_id") if has_state else F.lit(1).cast("bigint")
-    agg = fact.groupBy(ORG).agg(
-        F.countDistinct("item_id").alias("total_products"),
-        F.countDistinct("store_id").alias("total_stores"),
-        F.countDistinct("category").alias("total_categories"),
-        states.alias("total_states"),
-        F.sum("sales").alias("total_sales"),
-        F.countDistinct("date").alias("_days"),
-        F.min("date").alias("min_date"),
-        F.max("date").alias("max_date"),
-        F.countDistinct("item_id", "store_id").alias("n_time_series"),
-        F.sum(F.col("sales") * F.coalesce("sell_price", F.lit(0.0))).alias("total_revenue"),
-    )
-    return agg.select(ORG, "total_products", "total_stores", "total_categories", "total_states",
-                      "total_sales", safe_div("total_sales", "_days", 0.0).alias("avg_daily_sales"),
-                      "min_date", "max_date", "n_time_series", "total_revenue")
+    return tenant_totals(fact).select(
+        ORG, F.col("items").alias("total_products"), F.col("stores").alias("total_stores"), F.col("categories").alias("total_categories"),
+        F.col("states").alias("total_states"), F.col("sales").alias("total_sales"), safe_div("sales", "days", 0.0).alias("avg_daily_sales"),
+        "min_date", "max_date", F.col("series").alias("n_time_series"), F.col("revenue").alias("total_revenue"))
 
 
 def product_totals(fact: DataFrame) -> DataFrame:

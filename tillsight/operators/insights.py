@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tillsight.functions import calendar as C
 from tillsight.functions.core import ORG, checked_broadcast, exact_quantiles, per_tenant, round_half_away as rnd, safe_div, split_rank
 from tillsight.operators.calendar import add_holiday_features, holiday_calendar, season_weather
+from tillsight.operators.dashboards import tenant_totals
 from tillsight.sources.tables import materialize
 
 INSIGHT_COLUMNS = [ORG, "insight_type", "insight_text", "category", "severity"]
@@ -66,12 +67,7 @@ def daily(fact: DataFrame, keys=(ORG,)) -> DataFrame:
 
 def overall_numbers(fact: DataFrame) -> DataFrame:
     """Products, stores, days, total, mean daily total, revenue."""
-    d = daily(fact).groupBy(ORG).agg(F.avg("sales").alias("avg_daily"))
-    a = fact.groupBy(ORG).agg(
-        F.countDistinct("item_id").alias("items"), F.countDistinct("store_id").alias("stores"),
-        F.countDistinct("date").alias("days"), F.sum("sales").alias("total_sales"),
-        F.sum(F.col("sales") * F.col("sell_price")).alias("revenue"))
-    return a.join(d, ORG)
+    return tenant_totals(fact).select(ORG, "items", "stores", "days", F.col("sales").alias("total_sales"), F.col("priced_revenue").alias("revenue"), "avg_daily")
 
 
 def trend_numbers(fact: DataFrame) -> DataFrame:
@@ -396,11 +392,7 @@ def product_intelligence(fact: DataFrame, accuracy: DataFrame | None = None) ->
 def executive_overview(fact: DataFrame, financials: DataFrame | None = None,
                        accuracy: DataFrame | None = None) -> DataFrame:
     """I11 scalar part: totals, growth (last 28 vs prior 28 observed days), financials."""
-    base = fact.groupBy(ORG).agg(
-        F.sum("sales").alias("total_sales"),
-        F.sum(F.col("sales") * F.coalesce("sell_price", F.lit(0.0))).alias("revenue"),
-        F.countDistinct("date").alias("days_covered"),
-        F.countDistinct("item_id").alias("products"), F.countDistinct("store_id").alias("stores"))
+    base = tenant_totals(fact).select(ORG, F.col("sales").alias("total_sales"), "revenue", F.col("days").alias("days_covered"), F.col("items").alias("products"), "stores")
     g = observed_growth(fact, [ORG]).select(ORG, "growth_pct")
     out = base.join(g, ORG).select(
         ORG, rnd(F.col("total_sales"), 2).alias("total_sales"), rnd(F.col("revenue"), 2).alias("revenue"),
@@ -497,12 +489,10 @@ def executive_actions(alerts: DataFrame | None, financials: DataFrame, overview:
 
 def sales_summary(fact: DataFrame) -> DataFrame:
     """I16 sales summary per tenant."""
-    d = daily(fact).groupBy(ORG).agg(F.avg("sales").alias("_avg"))
     g = observed_growth(fact, [ORG])
-    a = fact.groupBy(ORG).agg(F.countDistinct("item_id").alias("total_products"),
-                              F.countDistinct("store_id").alias("total_stores"),
-                              F.countDistinct("date").alias("days_covered"), F.sum("sales").alias("_total"))
-    return a.join(d, ORG).join(g, ORG).select(
+    a = tenant_totals(fact).select(ORG, F.col("items").alias("total_products"), F.col("stores").alias("total_stores"), F.col("days").alias("days_covered"),
+                                   F.col("sales").alias("_total"), F.col("avg_daily").alias("_avg"))
+    return a.join(g, ORG).select(
         ORG, "total_products", "total_stores", "days_covered", rnd(F.col("_total"), 2).alias("total_sales"),
         rnd(F.col("_avg"), 2).alias("avg_daily_sales"), rnd(F.col("last_sum"), 2).alias("last_28d_sales"),
         rnd(F.col("prior_sum"), 2).alias("prior_28d_sales"), rnd(F.col("growth_pct"), 1).alias("growth_pct"))
