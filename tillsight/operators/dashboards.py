@@ -196,16 +196,104 @@ def iqr_outliers(fact: DataFrame, k: float = 1.5, column: str = "sales") -> Data
              .withColumn("outlier_pct", F.col("n_outliers") / F.col("n_rows") * 100))
 
 
-def target_correlation(frame: DataFrame, features: list[str], target: str = "sales") -> DataFrame:
+def target_correlation(frame: DataFrame, features: list[str], target: str = "sales", digits: int | None = None) -> DataFrame:
     """Pearson correlation of every feature with the target, one pass; per tenant, largest first (NULL, a
-    feature without spread, last)."""
-    def corr(c):
-        x, y = F.col(c).cast("double"), F.col(target).cast("double")
-        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))  # NULL without spread
-
-    a = frame.groupBy(ORG).agg(*[finite(corr(c)).alias(c) for c in features])
-    return a.unpivot(ORG, features, "feature", "corr").orderBy(ORG, F.desc_nulls_last("corr"), "feature")
+    feature without spread, last). ``digits``: of the values rounded so.
+
+    The tasks that hold the rows merge, for each tenant and feature, the mean, spread and product moments over rows with both
+    values, batch by batch around their means; one row per task, tenant and feature is left to be merged by key.
+    """
+    names = [*features, target]
+    sums = ("n", "x", "y", "xx", "yy", "xy")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        held = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = pc.dictionary_encode(batch.column(0), null_encoding="encode")
+            which = codes.indices.to_numpy(zero_copy_only=False)
+            v, known = np.empty((len(names), len(which))), np.empty((len(names), len(which)), bool)
+            for i in range(len(names)):
+                column = batch.column(i + 1)
+                known[i] = column.is_valid().to_numpy(zero_copy_only=False)
+                v[i] = column.to_numpy(zero_copy_only=False)
+            if digits is not None:
+                v = _rounded_half_away(v, digits)
+            for k, tenant in enumerate(codes.dictionary.to_pylist()):
+                mine = which == k
+                with np.errstate(all="ignore"):  # non-finite values give a NULL in the end
+                    part = _moments(v[:-1, mine], v[-1, mine], known[:-1, mine] & known[-1, mine])
+                    held[tenant] = _merged(held[tenant], part) if tenant in held else part
+        if held:
+            cols = [np.concatenate(c) for c in zip(*held.values())]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([t for t in held for _ in features], pa.string()), pa.array([*features] * len(held), pa.string()), *map(pa.array, cols)],
+                names=[ORG, "feature", *sums, "lo", "hi", "ylo", "yhi"])
+
+    kinds = ", ".join(f"{c} double" for c in (*sums, "lo", "hi", "ylo", "yhi"))
+    rows = frame.select(ORG, *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(names)])
+    parts = rows.mapInArrow(run, f"{ORG} string, feature string, {kinds}")
+    # a row per task, tenant and feature: collected by key and merged there
+    fold = lambda a, b: F.struct(*_merged_columns(a, b, sums))
+    item = F.struct(*sums, "lo", "hi", "ylo", "yhi")
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in sums], *[F.lit(x).alias(c) for c, x in (("lo", float("inf")), ("hi", float("-inf")), ("ylo", float("inf")), ("yhi", float("-inf")))])
+    each = parts.groupBy(ORG, "feature").agg(F.aggregate(F.array_sort(F.collect_list(item)), zero, fold).alias("_m")).select(ORG, "feature", "_m.*")
+    varies = (F.col("n") > 0) & (F.col("lo") < F.col("hi")) & (F.col("ylo") < F.col("yhi"))
+    corr = F.when(varies, finite(F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy")))))
+    return each.select(ORG, "feature", corr.alias("corr")).orderBy(ORG, F.desc_nulls_last("corr"), "feature")
+
+
+def _rounded_half_away(v, digits: int):
+    """``round_half_away`` of a matrix."""
+    import numpy as np
+    with np.errstate(all="ignore"):
+        scaled = v * float(10 ** digits)
+        size = np.abs(scaled)
+        low = np.floor(size)
+        out = np.copysign(low + (size - low >= 0.5), scaled) / float(10 ** digits)
+    return np.where(np.isfinite(scaled), out, scaled / float(10 ** digits))
+
+
+def _moments(x, y, known):
+    """n, means, spreads, product moments and extremes of each row of ``x`` with ``y`` where ``known``. Values are taken less
+    the first known one, so that a constant has a spread of exactly 0."""
+    import numpy as np
+    n = known.sum(1).astype(float)
+    first = known.argmax(1)
+    x0, y0 = x[np.arange(len(x)), first], y[first]
+    empty = n == 0
+    x0, y0 = np.where(empty, 0.0, x0), np.where(empty, 0.0, y0)
+    dx, dy = np.where(known, x - x0[:, None], 0.0), np.where(known, y[None, :] - y0[:, None], 0.0)
+    some = np.maximum(n, 1.0)
+    mx, my = dx.sum(1) / some, dy.sum(1) / some
+    xx, yy, xy = ((a * b).sum(1) for a, b in ((dx, dx), (dy, dy), (dx, dy)))
+    ends = [f(np.where(known, a, fill), axis=1) for a in (x, np.broadcast_to(y, x.shape)) for f, fill in ((np.min, np.inf), (np.max, -np.inf))]
+    return n, x0 + mx, y0 + my, xx - n * mx * mx, yy - n * my * my, xy - n * mx * my, *ends
+
+
+def _merged(a, b):
+    """Moments of two disjoint sets of rows, together."""
+    import numpy as np
+    n = a[0] + b[0]
+    some = np.maximum(n, 1.0)
+    dx, dy, share = b[1] - a[1], b[2] - a[2], b[0] / some
+    both = a[0] * share
+    return (n, a[1] + dx * share, a[2] + dy * share, a[3] + b[3] + dx * dx * both, a[4] + b[4] + dy * dy * both, a[5] + b[5] + dx * dy * both,
+            np.minimum(a[6], b[6]), np.maximum(a[7], b[7]), np.minimum(a[8], b[8]), np.maximum(a[9], b[9]))
+
+
+def _merged_columns(a, b, sums):
+    """``_merged`` of two structs."""
+    n = a["n"] + b["n"]
+    share = b["n"] / F.greatest(n, F.lit(1.0))
+    dx, dy, both = b["x"] - a["x"], b["y"] - a["y"], a["n"] * share
+    out = (n, a["x"] + dx * share, a["y"] + dy * share, a["xx"] + b["xx"] + dx * dx * both, a["yy"] + b["yy"] + dy * dy * both, a["xy"] + b["xy"] + dx * dy * both)
+    return [*[c.alias(k) for c, k in zip(out, sums)], F.least(a["lo"], b["lo"]).alias("lo"), F.greatest(a["hi"], b["hi"]).alias("hi"),
+            F.least(a["ylo"], b["ylo"]).alias("ylo"), F.greatest(a["yhi"], b["yhi"]).alias("yhi")]
 
 
 def hierarchy_counts(fact: DataFrame) -> DataFrame:

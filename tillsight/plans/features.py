@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillsight.functions.calendar import season_sql
-from tillsight.functions.core import ORG, rounded
+from tillsight.functions.core import ORG
 from tillsight.operators import features as E
 from tillsight.operators.calendar import holiday_date_features
 from tillsight.plans.calendar import _f05_sql
@@ -231,5 +231,5 @@ def d14(spark, sf):
     """Pearson correlation of every numeric column of the feature frame (rounded as its query gives it) with sales, per tenant."""
     from tillsight.operators import dashboards as D
     from tillsight.operators.trees import numeric_features
-    frame = rounded(E.all_features(sales_fact(spark, sf)))
-    return D.target_correlation(frame, numeric_features(frame))
+    frame = E.all_features(sales_fact(spark, sf))
+    return D.target_correlation(frame, numeric_features(frame), digits=4)
