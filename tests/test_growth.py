@@ -43,3 +43,19 @@ def test_correlation_in_one_pass_is_that_of_numpy(spark):
             for j, n in ((2, "x"), (3, "gaps")):
                 both = np.array([(away(r[j]), away(r[1])) for r in rows if r[0] == t and r[1] is not None and r[j] is not None])
                 assert got[t, n] == pytest.approx(np.corrcoef(both.T)[0, 1], abs=1e-9)
+
+
+def test_features_of_a_day_are_not_stored_with_every_row(spark):
+    rows = [("A", f"i{s}", "s", "c", DAY + datetime.timedelta(days=d), float(s + d), 1.0 + s) for s in range(3) for d in range(40)]
+    df = spark.createDataFrame(rows, f"{ORG} string, item_id string, store_id string, category string, date date, sales double, sell_price double")
+    whole, stored = E.all_features(df), E.all_features(df, stored=True)
+    assert whole.columns == stored.columns
+    assert sorted(map(str, whole.collect())) == sorted(map(str, stored.collect()))
+    widths = {f.rsplit("/", 2)[-2].split("-")[0]: len(spark.read.parquet(f).columns) for f in stored.inputFiles()}
+    assert widths["series"] < len(stored.columns) - 40  # the days' features lie beside it
+    from tillsight.plans import models as P
+    monkey, P.sales_fact = P.sales_fact, lambda spark, sf: df
+    try:
+        assert any("/series-features-" in f for f in P._features(spark, "").inputFiles())
+    finally:
+        P.sales_fact = monkey
