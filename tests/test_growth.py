@@ -59,3 +59,20 @@ def test_features_of_a_day_are_not_stored_with_every_row(spark):
         assert any("/series-features-" in f for f in P._features(spark, "").inputFiles())
     finally:
         P.sales_fact = monkey
+
+
+def test_linear_attributions_are_whole_batches(spark):
+    rows = [(t, f"i{s}", "s", DAY + datetime.timedelta(days=d), float(s * d % 7 + (t == "B")), float(d), None if d % 9 == 0 else float(s)) for t in "AB" for s in range(4) for d in range(30)]
+    df = spark.createDataFrame(rows, f"{ORG} string, item_id string, store_id string, date date, sales double, a double, b double")
+    models = L.demand_models(df, ["a", "b"])
+    attr = L.demand_attributions(models, df, ["a", "b"], [*SERIES, "date"])
+    top = TR.ranked_attributions(attr, ["a", "b"], 2)
+    assert "lambda" not in _plan(attr) and "avg(" not in _plan(top)
+    m = {r[ORG]: r for r in models.collect()}
+    for r in attr.collect():
+        parts = (np.array(r["feature_values"]) - m[r[ORG]]["mean"]) * m[r[ORG]]["coef"]
+        assert np.allclose(parts, r["attributions"]) and r["prediction"] == pytest.approx(r["base_value"] + parts.sum())
+    got = {(r[ORG], r["feature"]): r["mean_abs_attribution"] for r in top.collect()}
+    for t in "AB":
+        x = np.array([[r[5], r[6] or 0.0] for r in rows if r[0] == t])
+        assert [got[t, f] for f in "ab"] == pytest.approx(np.abs((x - m[t]["mean"]) * m[t]["coef"]).mean(0))

@@ -80,7 +80,7 @@ DEMAND = f"{ORG} string, intercept double, mean array<double>, coef array<double
 def demand_models(rows: DataFrame, features: list[str], target: str = "sales") -> DataFrame:
     """Least squares of ``target`` on ``features`` (NULL as 0) for each tenant."""
     p = len(features)
-    v = F.concat(F.array(F.lit(1.0)), feature_array(features), F.array(F.col(target).cast("double")))
+    v = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in [*features, target]])
     sums = cross_sums(rows.where(F.col(target).isNotNull()), v, p + 2)
 
     def solve(m):
@@ -100,14 +100,27 @@ def demand_models(rows: DataFrame, features: list[str], target: str = "sales") -
 
 
 def demand_attributions(models: DataFrame, rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
-    """G16 for linear models, in the form of ``trees.attributions``: exact additive parts coef * (x - mean)."""
-    values = F.transform(feature_array(features), lambda x: F.when(F.abs(x) < float("inf"), x).otherwise(0.0))
-    joined = rows.select(*dict.fromkeys([ORG, *keys]), values.alias("feature_values")).join(checked_broadcast(models), ORG)
-    parts = F.zip_with(F.zip_with("feature_values", "mean", lambda x, m: x - m), "coef", lambda d, c: d * c)
-    base = F.col("intercept") + dot(F.col("mean"), F.col("coef"))
-    out = joined.withColumn("attributions", parts).withColumn("base_value", base)
-    total = F.aggregate("attributions", F.lit(0.0), lambda a, x: a + x)
-    return out.select(*keys, F.lit("linear").alias("model"), (F.col("base_value") + total).alias("prediction"), "base_value", "feature_values", "attributions")
+    """G16 for linear models, in the form of ``trees.attributions``: exact additive parts coef * (x - mean). Rows meet
+    their tenant's model by a broadcast; the parts of a batch are one matrix product in the task that holds it."""
+    width, columns = len(features), list(dict.fromkeys([ORG, *keys]))
+    joined = rows.select(*columns, feature_array(features).alias("_x")).join(checked_broadcast(models), ORG)
+    types = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keys), "model string, prediction double, base_value double, feature_values array<double>, attributions array<double>"])
+
+    def run(batches):
+        import pyarrow as pa
+        lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, width, dtype=np.int32)), pa.array(m.ravel()))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, mean, coef = (value_matrix(batch.column(c), width) for c in ("_x", "mean", "coef"))
+            base = batch.column("intercept").to_numpy(zero_copy_only=False) + (mean * coef).sum(1)
+            parts = (x - mean) * coef
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in keys), pa.array(["linear"] * len(x), pa.string()), pa.array(base + parts.sum(1)), pa.array(base), lists(x), lists(parts)],
+                names=[*keys, "model", "prediction", "base_value", "feature_values", "attributions"])
+
+    return joined.select(*columns, "_x", "intercept", "mean", "coef").mapInArrow(run, schema)
 
 
 def dot(a: Column, b: Column) -> Column:
