@@ -45,6 +45,18 @@ def test_correlation_in_one_pass_is_that_of_numpy(spark):
                 assert got[t, n] == pytest.approx(np.corrcoef(both.T)[0, 1], abs=1e-9)
 
 
+def test_series_windows_take_more_parts_as_rows_grow(spark, monkeypatch):
+    monkeypatch.setattr(core, "PART_ROWS", 10)
+    rows = [("A", f"i{s}", "s", DAY + datetime.timedelta(days=d), float(s + d), 1.0) for s in range(40) for d in range(5)]
+    df = spark.createDataFrame(rows, f"{ORG} string, item_id string, store_id string, date date, sales double, sell_price double")
+    for step in (E.lag_features, E.rolling_features, E.price_features):
+        assert "REPARTITION_BY_NUM" in _plan(step(df)) and step(df).count() == 200
+    lag = {(r["item_id"], r["date"]): r["sales_lag_1"] for r in E.lag_features(df).collect()}
+    assert all(lag[i, d] == (None if d == DAY else float(int(i[1:]) + (d - DAY).days - 1)) for i, d in lag)
+    monkeypatch.setattr(core, "PART_ROWS", 1000)
+    assert "REPARTITION_BY_NUM" not in _plan(E.lag_features(df))
+
+
 def test_features_of_a_day_are_not_stored_with_every_row(spark):
     rows = [("A", f"i{s}", "s", "c", DAY + datetime.timedelta(days=d), float(s + d), 1.0 + s) for s in range(3) for d in range(40)]
     df = spark.createDataFrame(rows, f"{ORG} string, item_id string, store_id string, category string, date date, sales double, sell_price double")
