@@ -88,3 +88,10 @@ def test_linear_attributions_are_whole_batches(spark):
     for t in "AB":
         x = np.array([[r[5], r[6] or 0.0] for r in rows if r[0] == t])
         assert [got[t, f] for f in "ab"] == pytest.approx(np.abs((x - m[t]["mean"]) * m[t]["coef"]).mean(0))
+
+
+def test_only_the_days_of_forecasts_meet_them(spark):
+    act = spark.createDataFrame([(t, "i", "s", DAY + datetime.timedelta(days=d), 1.0) for t in "AB" for d in range(100)],
+                                f"{ORG} string, item_id string, store_id string, date date, sales double")
+    due = spark.createDataFrame([("A", DAY + datetime.timedelta(days=d)) for d in (3, 3, 5)], f"{ORG} string, forecast_date date")
+    assert sorted((r[ORG], r["date"].day) for r in R.actuals_on(act, due, "forecast_date").collect()) == [("A", 4), ("A", 6)]

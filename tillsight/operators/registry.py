@@ -12,7 +12,7 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillsight.functions.core import ORG, as_date, per_tenant
+from tillsight.functions.core import ORG, as_date, checked_broadcast, per_tenant
 from tillsight.operators.alerts import degradation_flag
 from tillsight.operators.models import metric_columns
 from tillsight.sources.tables import materialize
@@ -251,6 +251,13 @@ def _has(spark, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def actuals_on(actuals: DataFrame, due: DataFrame, date_col: str = "date") -> DataFrame:
+    """The rows of ``actuals`` of the tenants' days in ``due`` (``date_col``): of a whole history only the days that forecasts meet
+    are moved by the joins that follow."""
+    days = checked_broadcast(due.select(ORG, F.col(date_col).alias("date")).distinct())  # tenants x days
+    return actuals.join(days, [ORG, "date"], "left_semi")
+
+
 def evaluate_matured(spark, root: str, headers: DataFrame, details: DataFrame, actuals: DataFrame, as_of) -> None:
     """G20 as a run of its own day: score the (header, forecast date) pairs that have matured by ``as_of`` and that no
     earlier run has scored, and add their sums.
@@ -264,7 +271,8 @@ def evaluate_matured(spark, root: str, headers: DataFrame, details: DataFrame, a
     if _has(spark, f"{root}/accuracy_ledger"):
         done = spark.read.parquet(f"{root}/accuracy_ledger").where(F.col("run").cast("string") != run)
         due = due.join(done.select(ORG, "header_id", "forecast_date"), [ORG, "header_id", "forecast_date"], "left_anti")
-    act = actuals.select(ORG, "item_id", "store_id", F.col("date").alias("forecast_date"), F.col("sales").cast("double").alias("_a")).dropDuplicates(
+    met = actuals_on(actuals, due, "forecast_date")
+    act = met.select(ORG, "item_id", "store_id", F.col("date").alias("forecast_date"), F.col("sales").cast("double").alias("_a")).dropDuplicates(
         [ORG, "item_id", "store_id", "forecast_date"])
     rows = due.join(headers.select("header_id", "horizon_days"), "header_id").join(act, [ORG, "item_id", "store_id", "forecast_date"]).where(
         F.col("_a").isNotNull() & F.col("predicted_sales").isNotNull())

@@ -30,12 +30,18 @@ from tillsight.streaming import ingest as M
 FIRST, SECOND, NOW = "2001-11-01 00:00:00", "2001-11-08 00:00:00", "2001-11-12"
 
 
-def _comparison(spark, sf):
-    """Per tenant and model: metrics on the forecast days."""
+def _stored_fc(spark, sf):
+    """The fact and its baseline forecast, stored: every step that follows reads it."""
     fact, fc = _baseline_fc(spark, sf)
+    return fact, materialize(fc, "forecast")
+
+
+def _comparison(spark, sf, given=None):
+    """Per tenant and model: metrics on the forecast days (``given``: fact and stored forecast)."""
+    fact, fc = given or _stored_fc(spark, sf)
     means = fc.select(*G.SERIES, F.col("predicted_sales").alias("_m")).distinct().groupBy(ORG).agg(F.avg("_m").alias("_g"))
     flat = fc.join(per_tenant(means), ORG).withColumn("predicted_sales", F.col("_g")).drop("_g")
-    act = fact.select(*G.SERIES, "date", "sales")
+    act = R.actuals_on(fact.select(*G.SERIES, "date", "sales"), fc)
     parts = [G.metrics(p.join(act, [*G.SERIES, "date"]), [ORG], "sales", "predicted_sales").withColumn("model", F.lit(n))
              for n, p in (("series_mean", fc), ("tenant_mean", flat))]
     return parts[0].unionByName(parts[1]).withColumn("error", F.lit(None).cast("string"))
@@ -141,15 +147,14 @@ def _daily_runs(spark, sf, days):
     """The registry and accuracy tables after ``run_models`` on each of ``days``: forecasts of two
     days' runs are stored, and a registry whose active model is the tenant mean."""
     root = scratch_path(spark, f"daily-{uuid.uuid4().hex}")
-    fact, fc = _baseline_fc(spark, sf)
-    fact = materialize(fact, "fact")
+    fact, fc = _stored_fc(spark, sf)
     cut = fc.groupBy(ORG).agg(F.date_add(F.min("date"), 13).alias("_cut"))
     half = fc.join(per_tenant(cut), ORG).where(F.col("date") <= F.col("_cut")).drop("_cut")
     for rows, made in ((fc, FIRST), (half, SECOND)):
-        hdr, det = R.forecast_tables(materialize(rows, "forecast"), "baseline", made)
+        hdr, det = R.forecast_tables(rows, "baseline", made)
         hdr.write.mode("append").parquet(f"{root}/forecast_headers")
         det.write.mode("append").parquet(f"{root}/forecast_details")
-    comp = materialize(_comparison(spark, sf), "comparison")
+    comp = materialize(_comparison(spark, sf, (fact, fc)), "comparison")
     one = R.register_candidates(comp.where("model = 'tenant_mean'"), None, comp.select(ORG).distinct(), [], {}, FIRST)
     R.store_registry(R.promote(one, one.select(ORG, "version"), FIRST), root, FIRST[:10])
     out = None
